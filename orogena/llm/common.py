@@ -63,9 +63,9 @@ def key_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
 
 def _looked_up(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> tuple[DataFrame, Column]:
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    found = df.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(filt), "__word", "left")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__slot") % 64).cast("int"))
-    return found, F.coalesce(F.col("__mask"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    found = df.join(F.broadcast(filt), F.shiftright(slot, 6) == filt["__word"], "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    return found, F.coalesce(filt["__mask"], F.lit(0).cast("long")).bitwiseAND(bit) != 0
 
 
 def through_filter(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFrame:

@@ -54,8 +54,9 @@ def exact_dedup(
 
     bits = filter_bits(n_hits)
     bitmap = stash(key_filter(hits, "digest", bits), "filter")
+    texts = rows.select(digest(F.col("text")).alias("digest"), "text")
     doubtful = (
-        through_filter(rows.select(digest(F.col("text")).alias("digest"), "text"), F.col("digest"), bitmap, bits)
+        through_filter(texts, texts["digest"], bitmap, bits)
         .groupBy("digest")
         .agg(F.min("text").alias("least"), F.max("text").alias("most"))
         .where(F.col("least") != F.col("most"))

@@ -108,7 +108,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearParams, id_col: str, tex
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = filter_bits(ids.count())
     bitmap = stash(key_filter(ids, "id", bits), "filter")
-    own = through_filter(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL"), F.col("id"), bitmap, bits)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
+    own = through_filter(texts, texts["id"], bitmap, bits)
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

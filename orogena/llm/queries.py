@@ -11,6 +11,7 @@ from orogena.llm.exact_dedup import exact_dedup
 from orogena.llm.mixing import mix_sources
 from orogena.llm.near_dedup import NearParams, near_duplicates
 from orogena.llm.quality import score, train
+from orogena.llm.suffix_tree import suffix_tree_scores
 from orogena.llm.token_counts import length_histogram
 
 
@@ -46,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_bpe": op10_bpe,
 }
 
