@@ -11,6 +11,7 @@ from orogena.llm.exact_dedup import exact_dedup
 from orogena.llm.mixing import mix_sources
 from orogena.llm.near_dedup import NearParams, near_duplicates
 from orogena.llm.quality import score, train
+from orogena.llm.substring_dedup import repeated_spans
 from orogena.llm.suffix_tree import suffix_tree_scores
 from orogena.llm.token_counts import length_histogram
 
@@ -34,6 +35,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearParams(words=2))
 
@@ -58,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_pfair_mix": op3_pfair_mix,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
