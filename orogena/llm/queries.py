@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orogena.llm.bpe import bpe_round_trip
 from orogena.llm.exact_dedup import exact_dedup
+from orogena.llm.kmeans_tree import nearest
 from orogena.llm.mixing import mix_sources
 from orogena.llm.near_dedup import NearParams, near_duplicates
 from orogena.llm.quality import score, train
@@ -31,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_kmeans_tree": op2_kmeans_tree,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
