@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +112,50 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", "component")
         if after.where(F.col("was") != F.col("component")).isEmpty():
             return labels
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (id, n, key) whose key another row has too.
+
+    Keys that occur once, nearly all as a rule, are left out by a bitmap before the join.
+    """
+    shared = stash(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    bits = filter_bits(shared.count())
+    maybe = through_filter(rows, rows["key"], stash(key_filter(shared, "key", bits), "filter"), bits)
+    return stash(maybe.join(shared, "key"), "shared")
+
+
+def linked_components(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, pivots: int) -> DataFrame | None:
+    """Components (node, component) under the links that ``confirm`` finds among rows (id, n, key) that share a key.
+
+    Each round gives a bucket one pivot, which meets the members of other components; once the rounds are over, members
+    of a bucket that are still in different components all meet, so that no link is lost.  No pair is met twice,
+    and none whose sizes n alone rule out the similarity.  None if there is no link.
+    """
+    links = buckets.sparkSession.createDataFrame([], "a long, b long")
+    tried, owner = None, None
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  an intersection is no larger than either set
+    for turn in range(pivots + 1):
+        if owner is None:
+            now = buckets.withColumn("own", F.col("id"))
+        else:
+            now = buckets.join(owner, buckets["id"] == owner["node"], "left").select("id", "n", "key", F.coalesce("component", "id").alias("own"))
+            apart = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
+            now = stash(now.join(apart, "key"), "apart")
+            if now.isEmpty():
+                break
+        if turn < pivots:
+            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+            pivot = now.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id"), F.col("n"), F.col("own"))).alias("v"))
+            other = pivot.select("key", F.col("v.id").alias("b"), F.col("v.n").alias("bn"), F.col("v.own").alias("bown"))
+            meet = F.col("own") != F.col("bown")
+        else:
+            other = now.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("own").alias("bown"))
+            meet = F.col("own") < F.col("bown")
+        pairs = now.join(other, "key").where(meet & fits(F.col("n"), F.col("bn"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            links = links.unionByName(stash(confirm(pairs), "links"))
+            owner = components(links)
+    return owner

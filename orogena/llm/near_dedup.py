@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import components, filter_bits, key_filter, stash, through_filter
+from orogena.llm.common import filter_bits, key_filter, linked_components, shared_buckets, stash, through_filter
 from orogena.llm.kernels import STEP, U, mix, slices, word_hashes
 
 M = np.uint32
@@ -139,38 +139,9 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     sigs = stash(signatures(docs, p, id_col, text_col), "signatures")
     full = sigs.where("n > 0 AND id IS NOT NULL")
     classes = stash(full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")
-    buckets = full.join(classes, ["set_a", "set_b", "n"]).where("id = class_id").select(F.col("id"), F.col("n"), F.explode("bands").alias("key")).distinct()
-    buckets = stash(buckets, "buckets")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = stash(buckets.join(shared, "key"), "shared")
-
-    links = buckets.sparkSession.createDataFrame([], "a long, b long")
-    tried, owner = None, None
-    for turn in range(p.pivots + 1):
-        # owner: the component so far of each class that has a link
-        now = buckets if owner is None else buckets.join(owner, buckets["id"] == owner["node"], "left").select("id", "n", "key", F.coalesce("component", "id").alias("own"))
-        if owner is None:
-            now = now.withColumn("own", F.col("id"))
-        else:
-            apart = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
-            now = stash(now.join(apart, "key"), "apart")
-            if now.isEmpty():
-                break
-        fits = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)  # noqa: E731  exact: an intersection is no larger than either set
-        if turn < p.pivots:
-            pivot = now.groupBy("key").agg(F.min(F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("h"), F.col("id"), F.col("n"), F.col("own"))).alias("v"))
-            pivot = pivot.select("key", F.col("v.id").alias("b"), F.col("v.n").alias("bn"), F.col("v.own").alias("bown"))
-            pairs = now.join(pivot, "key").where((F.col("own") != F.col("bown")) & fits(F.col("n"), F.col("bn"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        else:
-            x, y = now.select("key", "id", "n", "own"), now.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("own").alias("bown"))
-            pairs = x.join(y, "key").where((F.col("own") < F.col("bown")) & fits(F.col("n"), F.col("bn"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        pairs = pairs.distinct()
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(stash(confirmed(pairs, docs, p, id_col, text_col), "links"))
-        owner = components(links)
+    first = full.join(classes, ["set_a", "set_b", "n"]).where("id = class_id").select(F.col("id"), F.col("n"), F.explode("bands").alias("key")).distinct()
+    buckets = shared_buckets(stash(first, "buckets"))
+    owner = linked_components(buckets, lambda pairs: confirmed(pairs, docs, p, id_col, text_col), p.percent, p.pivots)
     got = classes if owner is None else classes.join(owner, classes["class_id"] == owner["node"], "left").select("set_a", "set_b", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
     if owner is None:
         got = got.withColumn("component", F.col("class_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orogena.llm.bpe import bpe_round_trip
 from orogena.llm.exact_dedup import exact_dedup
 from orogena.llm.kmeans_tree import nearest
+from orogena.llm.line_dedup import line_duplicates
 from orogena.llm.mixing import mix_sources
 from orogena.llm.near_dedup import NearParams, near_duplicates
 from orogena.llm.quality import score, train
@@ -49,6 +50,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearParams(words=2))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_suffix_tree": op9_suffix_tree,
