@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogena.llm.bpe import loaded
+from orogena.llm.common import stash
 from orogena.llm.kernels import slices
 
 #: Lengths in a group.
@@ -34,7 +35,8 @@ def lengths(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFra
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """A row for each length that occurs: n_tokens, docs, and the suffix sums of :func:`with_suffix_sums`."""
-    return with_suffix_sums(lengths(docs, vocabulary, text_col).groupBy("n_tokens").agg(F.count("*").alias("docs")))
+    histogram = lengths(docs, vocabulary, text_col).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return with_suffix_sums(stash(histogram, "histogram"))  # it is read twice; encoding is not to be
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
