@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orogena.plans import places
+from orogena.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _plans in (places,):
+    QUERIES |= _plans.R.queries
+    ORACLES |= _plans.R.oracles
