@@ -68,7 +68,7 @@ def contour_segments(raster: DataFrame, step: int) -> DataFrame:
     squares = at.groupBy("cell", (F.col("row") - F.col("k.y")).alias("row"), (F.col("col") - F.col("k.x")).alias("col")).agg(F.count("*").alias("n"), pick(0, 0).alias("nw"), pick(0, 1).alias("ne"), pick(1, 1).alias("se"), pick(1, 0).alias("sw")).where("n = 4")
     low, high = F.least("nw", "ne", "se", "sw"), F.greatest("nw", "ne", "se", "sw")
     first, last = F.ceil(low / step), F.ceil(high / step) - 1
-    levels = squares.where(first <= last).withColumn("level", F.explode(F.sequence(first, last)) * step)
+    levels = squares.where(first <= last).withColumn("level", F.explode(F.sequence(first, last))).withColumn("level", F.col("level") * step)
     above = lambda c: (F.col(c) > F.col("level")).cast("int")
     kind = above("nw") * 8 + above("ne") * 4 + above("se") * 2 + above("sw")
     high_mean = F.col("nw") + F.col("ne") + F.col("se") + F.col("sw") > F.col("level") * 4

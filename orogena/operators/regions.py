@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def search(regions: DataFrame, text: str, most: int = 300) -> DataFrame:
@@ -104,7 +105,7 @@ def next_fit(items: DataFrame, group: str, order: list[str], weight: Column, lim
     A group is packed by one task, item by item, as its meaning is; groups are independent.
     """
     out = items.withColumn("_w", weight.cast("double"))
-    schema = out.drop("_w").schema.add("bin", "int")
+    schema = T.StructType([*out.drop("_w").schema.fields, T.StructField("bin", T.IntegerType())])
 
     def pack(rows):  # noqa: ANN001, ANN202
         rows = rows.sort_values(order, kind="stable")
