@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from orogena.plans import places, regions
+from orogena.plans import linkage, places, regions
 from orogena.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _plans in (places, regions):
+for _plans in (places, regions, linkage):
     QUERIES |= _plans.R.queries
     ORACLES |= _plans.R.oracles

@@ -49,7 +49,7 @@ def shifted(rules: DataFrame, windows: DataFrame) -> DataFrame:
     owner = windows.groupBy("family").agg(F.min_by("upper", "ord").alias("upper"))
     coarsest = rules.groupBy("family").agg(F.min("was").alias("coarsest"))
     moved = F.least(F.lit(24), F.greatest(F.lit(10), F.col("was") + F.col("upper") - F.col("coarsest")))
-    return rules.join(coarsest, "family").join(owner, "family", "left").select("rule", "was", F.coalesce(moved, F.col("was")).alias("moved"))
+    return rules.join(coarsest, "family").join(owner, "family", "left").select("rule", "was", F.when(F.col("upper").isNull(), F.col("was")).otherwise(moved).alias("moved"))
 
 
 def fitted(bands: DataFrame, ladder: list[int]) -> DataFrame:
