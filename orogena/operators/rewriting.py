@@ -35,7 +35,7 @@ def as_ways(lines: DataFrame, first_id: int = 1 << 42, medium: int = 5, major: i
 def spliced(rules: DataFrame, added: DataFrame) -> DataFrame:
     """(file, line, text): rules (file, line, text) with added lines (file, after, ord, text) behind the line they name."""
     both = rules.select("file", F.col("line").alias("at"), F.lit(-1).alias("ord"), "text").unionByName(added.select("file", F.col("after").alias("at"), "ord", "text"))
-    return both.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at", "ord")) - 1).alias("line"), "text")
+    return both.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at", "ord")) - 1).cast("long").alias("line"), "text")
 
 
 def dilated(cells: DataFrame, margin: int) -> DataFrame:
