@@ -125,12 +125,19 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return stash(maybe.join(shared, "key"), "shared")
 
 
-def linked_components(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, pivots: int) -> DataFrame | None:
+#: Members of a bucket that meet pair by pair at most; larger buckets go to ``confirm_blocks`` where there is one.
+SMALL_BUCKET = 32
+
+
+def linked_components(
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, pivots: int, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame | None:
     """Components (node, component) under the links that ``confirm`` finds among rows (id, n, key) that share a key.
 
     Each round gives a bucket one pivot, which meets the members of other components; once the rounds are over, members
-    of a bucket that are still in different components all meet, so that no link is lost.  No pair is met twice,
-    and none whose sizes n alone rule out the similarity.  None if there is no link.
+    of a bucket that are still in different components all meet, so that no link is lost: in large buckets block
+    by block, rows (key, id, n, own) being given to ``confirm_blocks``, and else pair by pair.  No pair is met twice that
+    way, and none whose sizes n alone rule out the similarity.  None if there is no link.
     """
     links = buckets.sparkSession.createDataFrame([], "a long, b long")
     tried, owner = None, None
@@ -144,6 +151,13 @@ def linked_components(buckets: DataFrame, confirm: Callable[[DataFrame], DataFra
             now = stash(now.join(apart, "key"), "apart")
             if now.isEmpty():
                 break
+        if turn == pivots and confirm_blocks:
+            size = now.groupBy("key").agg(F.count("*").alias("c"))
+            large = stash(now.join(size.where(F.col("c") > SMALL_BUCKET).select("key"), "key"), "large")
+            if not large.isEmpty():
+                links = links.unionByName(stash(confirm_blocks(large), "links"))
+                owner = components(links)
+            now = now.join(size.where(F.col("c") <= SMALL_BUCKET).select("key"), "key")
         if turn < pivots:
             order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
             pivot = now.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id"), F.col("n"), F.col("own"))).alias("v"))

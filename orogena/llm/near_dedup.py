@@ -23,8 +23,8 @@ from orogena.llm.kernels import STEP, U, mix, slices, word_hashes
 
 M = np.uint32
 _RING = M(0x7FEB352D), M(0x846CA68B)  # fixed odd multipliers of the second permutation
-#: Coordinates that are worked out side by side, and shingles at a time.
-_BLOCK = 2_048
+#: Shingles that are worked on at a time, and members of a bucket in a block.
+_BLOCK, BLOCK_ROWS = 2_048, 256
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearParams, id_col: str, tex
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def confirmed_in_blocks(rows: DataFrame, docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between members (key, id, n, own) of one bucket that are in different components.
+
+    Of a bucket, the members outside its largest component meet all members.  Both sides are dealt into blocks of
+    BLOCK_ROWS, and a task compares a block with a block and returns the links alone.
+    """
+    sizes = rows.groupBy("key", "own").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("own", F.struct("c", "own")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    parts = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    told = rows.join(sizes, "key").withColumn("ni", parts(F.col("all") - F.col("most"))).withColumn("nj", parts(F.col("all")))
+    own_i, own_j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("nj")).cast("int")
+    few = told.where("own <> main").select("key", "id", "own", own_i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("few"))
+    all_ = told.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own_j.alias("j"), F.lit(False).alias("few"))
+    ids = rows.select("id").distinct()
+    bits = filter_bits(ids.count())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
+    texts = through_filter(texts, texts["id"], stash(key_filter(ids, "id", bits), "filter"), bits)
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, own, few = (table[c].to_numpy() for c in ("id", "own", "few"))
+        raw = [x.as_py().encode() for x in table["text"]]
+        sets = [shingle_hashes(np.concatenate(word_hashes([x])), p.words) for x in raw]
+        n = np.array([len(s) for s in sets])
+        right = np.flatnonzero(~few)
+        links: set[tuple[int, int]] = set()
+        if len(right) and few.any():
+            flat, starts = np.concatenate([sets[j] for j in right]), np.cumsum(n[right]) - n[right]
+            for i in np.flatnonzero(few):
+                x = sets[i]
+                at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+                both = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
+                for k in np.flatnonzero((100 * both >= p.percent * (n[i] + n[right] - both)) & (own[right] != own[i])):
+                    j = right[k]
+                    a, b = _shingles(raw[i], p.words), _shingles(raw[j], p.words)
+                    m = len(a & b)
+                    if 100 * m >= p.percent * (len(a) + len(b) - m):
+                        links.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        pairs = sorted(links)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return few.unionByName(all_).join(texts, "id").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable), kept, class_id.
 
@@ -141,7 +183,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     classes = stash(full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")
     first = full.join(classes, ["set_a", "set_b", "n"]).where("id = class_id").select(F.col("id"), F.col("n"), F.explode("bands").alias("key")).distinct()
     buckets = shared_buckets(stash(first, "buckets"))
-    owner = linked_components(buckets, lambda pairs: confirmed(pairs, docs, p, id_col, text_col), p.percent, p.pivots)
+    owner = linked_components(buckets, lambda pairs: confirmed(pairs, docs, p, id_col, text_col), p.percent, p.pivots, lambda rows: confirmed_in_blocks(rows, docs, p, id_col, text_col))
     got = classes if owner is None else classes.join(owner, classes["class_id"] == owner["node"], "left").select("set_a", "set_b", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
     if owner is None:
         got = got.withColumn("component", F.col("class_id"))
