@@ -8,8 +8,8 @@ towards the parent's by as much weight as there are distinct next symbols.  The
 states of an automaton, so that the longest suffix of what was read is found by one look-up a symbol, in many
 segments of text side by side.
 
-Unigram counts of words come from the same pass.  Of those, the COMMON most frequent go to every task; other words
-meet their counts in a join.
+Unigram counts of words come from the same pass.  Of those, the most frequent ones, COMMON at most, go to every task; other
+words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -211,6 +211,18 @@ def learned(tallied: DataFrame) -> SuffixTree:
     return grown(column("context"), column("d"), column("symbol"), column("n"))
 
 
+def least_common(words: DataFrame) -> int:
+    """The least count such that at most COMMON words (key, n) have it or more, to a quarter of a power of two."""
+    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, held = 1 << 62, 0
+    for r in steps:  # a few hundred at most
+        held += r["words"]
+        if held > COMMON:
+            break
+        least = r["n"]
+    return least
+
+
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remainder: int = 1) -> DataFrame:
     """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -223,7 +235,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tree = learned(tallied)
     words = tallied.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = words.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common = words.where(F.col("n") >= least_common(words)).toArrow()
     order = np.argsort(common["key"].to_numpy())
     keys, of_key = common["key"].to_numpy()[order], common["n"].to_numpy()[order]
     whole = total + 0.5 * (distinct + 1)
