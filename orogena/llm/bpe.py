@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogena.llm.common import in_small_batches
 from orogena.llm.kernels import slices
 
 #: The blanks that the published split pattern means by \\s.
@@ -32,7 +33,7 @@ _S = r"\t-\r \x85\xa0  -     　"
 #: Words of up to this many bytes are rows of arrays.
 ROW = 48
 #: Words that a task remembers at most.
-MEMO = 400_000
+MEMO = 150_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -289,6 +290,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                     text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    in_small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 

@@ -31,6 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+#: Rows of whole texts that a Python task holds at a time.
+BATCH_ROWS = 512
+
+
+def in_small_batches(docs: DataFrame) -> None:
+    """Have the session send rows to Python tasks in batches that hold whole texts in bounded memory.
+
+    Spark's default of 10,000 rows, twice over for pairs of texts, is tens to hundreds of megabytes on both sides.  A
+    session that already asks for fewer rows keeps its own number.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orogena/{uuid.uuid4().hex}/{name}"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import filter_bits, key_filter, linked_components, shared_buckets, stash, through_filter
+from orogena.llm.common import filter_bits, in_small_batches, key_filter, linked_components, shared_buckets, stash, through_filter
 from orogena.llm.kernels import STEP, U, mix, slices, word_hashes
 
 M = np.uint32
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     is kept; rows that repeat an id belong to the same component; other columns are ignored; an empty table gives
     an empty result.
     """
+    in_small_batches(docs)
     sigs = stash(signatures(docs, p, id_col, text_col), "signatures")
     full = sigs.where("n > 0 AND id IS NOT NULL")
     classes = stash(full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")

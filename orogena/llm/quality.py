@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orogena.llm.common import in_small_batches
 from orogena.llm.kernels import MIX2, STEP, U, cut, mix, slices
 
 BUCKETS = 1 << 17
@@ -136,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                         [batch.column(0).slice(at + k, 1), batch.column(2).slice(at + k, 1), pa.array([at_], pa.list_(pa.int32())), pa.array([count[at_]], pa.list_(pa.float32()))], ["id", "y", "at", "n"]
                     )
 
+    in_small_batches(docs)
     rows = training_rows(docs, labels, label, sample, id_col, text_col)
     got = rows.select(F.col("id").cast("long"), "text", "y").mapInArrow(run, "id long, y int, at array<int>, n array<float>").toArrow()
     data = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), range(len(got))))
@@ -184,5 +186,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [model.scores(texts) for _, texts in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
 
+    in_small_batches(docs)
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
