@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample; every vector is then filed under its lea
 first: a priority queue holds the branches not taken, by the inner product of the query with their centre plus what the
 branch's spread may add, and gives the leaves in the order of their promise.  How many leaves a query visits is
 calibrated: on a bounded sample of queries, whose true neighbours come from a full scan in blocks, the visits widen
-until recall reaches the target.  A leaf's vectors are dealt into blocks of bounded size, so that a leaf that holds
-much of the table is worked on by many tasks; each block returns its best for each query, and the bests are merged.
+until recall reaches the target.  Vectors lie in blocks of bounded size: several leaves that are neighbours in the tree share one, and a
+leaf that holds much of the table has many.  A query meets the blocks of the leaves that it visits; each block
+returns its best for each query, and the bests are merged.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,23 +109,28 @@ def fitted(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, rounds: int =
     return Tree(np.array(centre), np.array(radius), children, np.array(number))
 
 
-def _best(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of some vectors for each query, ties to the smaller id, a query's own row left out."""
-    out = []
+def _best(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of some vectors for each query, ties to the smaller id, a query's own row left out."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    out = []
     for at in range(0, len(query), 512):
+        own = query[at : at + 512]
         s = q[at : at + 512] @ x.T
-        s[query[at : at + 512, None] == ids[None]] = -np.inf
-        for i, row in enumerate(s):
-            some = np.arange(len(row))
-            if len(row) > k:
-                floor = np.partition(row, -k)[-k]
-                some = np.flatnonzero(row >= floor)
-            top = some[np.lexsort((ids[some], -row[some]))][:k]
-            top = top[np.isfinite(row[top])]
-            out.append(pd.DataFrame({"query_id": query[at + i], "vec_id": ids[top], "score": row[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        for i in np.flatnonzero(ids[place] == own):
+            s[i, ids == own[i]] = -np.inf
+        if s.shape[1] > k:
+            some = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            floor = np.take_along_axis(s, some, 1).min(1)
+            for i in np.flatnonzero((s >= floor[:, None]).sum(1) > k):  # ties at the end: the smaller ids, which come first
+                some[i] = np.argsort(-s[i], kind="stable")[:k]
+        else:
+            some = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+        top = np.take_along_axis(s, some, 1)
+        good = np.isfinite(top)
+        out.append((np.broadcast_to(own[:, None], some.shape)[good], ids[some][good], top[good]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (ids[:0], ids[:0], np.zeros(0))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -151,7 +156,7 @@ def _scan(blocks: DataFrame, queries: np.ndarray, q: np.ndarray, k: int) -> Data
         for batch in batches:
             if batch.num_rows:
                 got = _best(queries, q, batch.column(0).to_numpy(), _matrix(batch.column(1), width), k)
-                yield pa.RecordBatch.from_pandas(got.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, got)], ["query_id", "vec_id", "score"])
 
     return blocks.select("vec_id", "v").mapInArrow(run, RESULT)
 
@@ -186,8 +191,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     filed = stash(good.mapInArrow(file, "vec_id long, v array<double>, leaf int"), "filed")
     sizes = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    # blocks of a leaf: its number comes from its exact size, and a hash of the id deals its vectors
-    parts = spark.createDataFrame([(leaf, -(-m // BLOCK)) for leaf, m in sizes.items()], "leaf int, parts int")
+    # neighbouring leaves share a block while they fit; a leaf beyond that has several, its vectors dealt by a hash of the id
+    first, parts = blocks_of(np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)]))
+    table = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, parts))], "leaf int, first int, parts int")
     queries = good.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     sample = queries.orderBy(order, "vec_id").limit(CALIBRATE).toArrow()
@@ -202,22 +208,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [tree.walk(v)[:visits] for v in _matrix(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["query_id", "q", "leaves"])
+            out = []
+            for v in _matrix(batch.column(1), width):
+                leaves = tree.walk(v)[:visits]
+                out.append(np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in leaves])).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["query_id", "q", "blocks"])
 
-    walked = queries.mapInArrow(walk, "query_id long, q array<double>, leaves array<int>").select("query_id", "q", F.explode("leaves").alias("leaf"))
-    asked = walked.join(F.broadcast(parts), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q")
-    dealt = filed.join(F.broadcast(parts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
+    asked = queries.mapInArrow(walk, "query_id long, q array<double>, blocks array<int>").select("query_id", "q", F.explode("blocks").alias("block"))
+    dealt = filed.join(F.broadcast(table), "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), "vec_id", "v")
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _best(a["query_id"].to_numpy(), np.stack(a["q"]), b["vec_id"].to_numpy(), np.stack(b["v"]), k)
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        got = _best(a["query_id"].to_numpy(), _matrix(a["q"], width), b["vec_id"].to_numpy(), _matrix(b["v"], width), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
-    best = asked.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInPandas(search, RESULT)
+    best = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(search, RESULT)
     return ranked(best, k)
 
 
+def blocks_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each leaf and how many it has, for leaves of these sizes in order."""
+    first, parts, block, full = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
+    for i, n in enumerate(sizes):
+        if full and full + n > BLOCK:
+            block, full = block + 1, 0
+        first[i], parts[i] = block, max(1, -(-n // BLOCK))
+        full += n
+        if parts[i] > 1:
+            block, full = block + int(parts[i]), 0
+    return first, parts
+
+
 def calibrated(tree: Tree, queries: dict[int, np.ndarray], query: list[int], leaf: list[int], target: float) -> int:
     """The least number of leaves, doubled from 4 and then halved into place, whose recall on the sample reaches the target."""
     place = {i: {int(x): p for p, x in enumerate(tree.walk(v))} for i, v in queries.items()}

@@ -63,3 +63,10 @@ def test_tree_files_and_walks_every_leaf():
     assert sorted(tree.walk(x[0])) == list(range(tree.leaves))
     same = fitted(np.ones((500, 4)))
     assert same.leaves == 1 and (same.file(np.ones((3, 4))) == 0).all()
+
+
+def test_blocks():
+    from orogena.llm.kmeans_tree import BLOCK, blocks_of
+
+    first, parts = blocks_of(np.array([10, 20, BLOCK - 30, 1, 3 * BLOCK + 1, 5, 0]))
+    assert first.tolist() == [0, 0, 0, 1, 2, 6, 6] and parts.tolist() == [1, 1, 1, 1, 4, 1, 1]
