@@ -1,15 +1,18 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the bytes of a text; of its 16 bits the top four are zero at a boundary, so that a boundary depends
-on the 16 bytes before it alone and an insertion moves no other.  Chunks of LEAST_CHUNK bytes or more are
-deduplicated by digest: one entry for each digest keeps its first place, the least (id, row, offset).  Chunks of a text
-whose digest occurs again are joined into spans where they lie close together.  A span of more than ``words`` words is a
-repeat as it stands; one of at least half as many is compared byte by byte with its first place and grown to both sides,
-because the edges of a repeated passage seldom are boundaries.
+on the 16 bytes before it alone and an insertion moves no other.  Chunks reach from every second boundary, as one more
+bit tells, to the first one LEAST_CHUNK bytes away or more, so that they overlap, and are counted by digest.  A passage
+that stands twice has only chunks that occur twice, so a window of ``words`` + 1 words that holds a chunk found once is
+no repeat; all other windows are looked up by their own digest, whose first place is the least (id, row, offset).
+Windows next to each other with the same offset to their first places are one repeat, which is compared byte by byte
+with its first place before it is reported.  Chunks only rule windows out: no repeat is lost to where they lie or to
+what else a phrase of it is part of.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orogena.llm.common import filter_bits, key_filter, stash, through_filter
+from orogena.llm.common import filter_bits, in_small_batches, key_filter, stash, through_filter
 from orogena.llm.kernels import slices, span_hashes, word_spans
 
 #: Bytes of the rolling window, and of the least chunk that is indexed.
-WINDOW = LEAST_CHUNK = 16
-#: Bytes between two repeated chunks of one span at most.
-GAP = 96
+WINDOW, LEAST_CHUNK = 16, 64
 _GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 16, 256, dtype=np.uint16)
 _GEAR[0] = 0
-OCCURRENCES = "doc_id long, row long, at int, size int, word_at int, word_to int, digest long"
+OCCURRENCES = "row long, at int, size int, digest long"
+WINDOWS = "doc_id long, row long, word int, at int, size int, digest long"
+RUNS = "doc_id long, row long, start long, end long, n_words long, first_doc_id long, first_row long, first_start long, kept boolean"
 
 
-def boundaries(buf: np.ndarray) -> np.ndarray:
-    """Whether a chunk ends after each byte; never inside a character."""
+def boundaries(buf: np.ndarray, bits: int = 4) -> np.ndarray:
+    """Whether a chunk ends after each byte, the hash's top ``bits`` being zero; never inside a character."""
     h = _GEAR[buf]
     for k in (1, 2, 4, 8):  # the rolling sum of WINDOW shifted values, by doubling
         h[k:] += h[:-k] << np.uint16(k)
     after = np.append(buf[1:], 0)
-    return (h >> np.uint16(12) == 0) & ((after & 0xC0) != 0x80)
+    return (h >> np.uint16(16 - bits) == 0) & ((after & 0xC0) != 0x80)
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +50,7 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each indexed chunk: its text, place, the words before its start and its end, digest."""
+    """A row for each indexed chunk: its text, place and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = bytes(WINDOW)
@@ -57,26 +60,20 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes = np.array([len(x) for x in part])
                 stops = np.cumsum(sizes + WINDOW) - WINDOW
                 begins = stops - sizes
-                ends = np.union1d(np.flatnonzero(boundaries(buf)) + 1, stops)
-                own = np.minimum(np.searchsorted(stops, ends), len(part) - 1)
-                inside = (ends > begins[own]) & (ends <= stops[own])
-                ends, own = ends[inside], own[inside]
-                starts = np.maximum(np.append(0, ends[:-1]), begins[own]) if len(ends) else ends
-                long = ends - starts >= LEAST_CHUNK
-                starts, ends, own = starts[long], ends[long], own[long]
-                word, _ = word_spans(buf)
-                base = np.searchsorted(word, begins)
+                edges, starts = (np.flatnonzero(boundaries(buf, bits)) + 1 for bits in (4, 5))
+                k = np.searchsorted(edges, starts + LEAST_CHUNK)
+                starts, ends = starts[k < len(edges)], edges[k[k < len(edges)]]
+                own = np.minimum(np.searchsorted(stops, starts), len(part) - 1)
+                inside = (starts >= begins[own]) & (ends < stops[own])
+                starts, ends, own = starts[inside], ends[inside], own[inside]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(first + own)),
                         batch.column(1).take(pa.array(first + own)),
                         pa.array((starts - begins[own]).astype(np.int32)),
                         pa.array((ends - starts).astype(np.int32)),
-                        pa.array((np.searchsorted(word, starts) - base[own]).astype(np.int32)),
-                        pa.array((np.searchsorted(word, ends) - base[own]).astype(np.int32)),
                         pa.array(span_hashes(buf, starts, ends).view(np.int64)),
                     ],
-                    ["doc_id", "row", "at", "size", "word_at", "word_to", "digest"],
+                    ["row", "at", "size", "digest"],
                 )
 
     return _rows(docs, id_col, text_col).mapInArrow(run, OCCURRENCES)
@@ -90,8 +87,11 @@ def grown(a: bytes, at: int, b: bytes, first: int, size: int) -> tuple[int, int]
     """How far a[at:at+size] == b[first:first+size] grows to the left and right; None if they differ."""
     if a[at : at + size] != b[first : first + size]:
         return None
-    left = _common(a[max(0, at - 4096) : at][::-1], b[max(0, first - 4096) : first][::-1])
-    right = _common(a[at + size : at + size + 4096], b[first + size : first + size + 4096])
+    left = right = 0
+    while n := _common(a[max(0, at - left - 4096) : at - left][::-1], b[max(0, first - left - 4096) : first - left][::-1]):
+        left += n
+    while n := _common(a[at + size + right : at + size + right + 4096], b[first + size + right : first + size + right + 4096]):
+        right += n
     return left, right
 
 
@@ -101,76 +101,131 @@ def _common(a: bytes, b: bytes) -> int:
     return int(x.argmax()) if x.any() else n
 
 
+def windows(rows: DataFrame, words: int) -> DataFrame:
+    """A row for each window of ``words`` + 1 words that holds no chunk of ``single``: doc_id, row, its first word, place, digest.
+
+    ``rows`` are (doc_id, row, text, single), single being the places (at, size) of chunks found once.  A chunk counts as
+    held if the 16 bytes that decide its start are in the window too and it ends before the window does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            n_single = np.asarray(lists.value_lengths().fill_null(0))
+            flat = lists.flatten()
+            at, size = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
+            edge = np.append(0, np.cumsum(n_single))
+            for first, part in slices(batch.column(2)):
+                buf = np.frombuffer(b"\n".join(part), np.uint8)
+                begins = np.append(0, np.cumsum([len(x) + 1 for x in part]))[:-1]
+                starts, ends = word_spans(buf)
+                if len(starts) <= words:
+                    continue
+                own = np.searchsorted(begins, starts, side="right") - 1
+                here = np.flatnonzero(own[words:] == own[: len(own) - words])
+                of = np.repeat(np.arange(len(part)), n_single[first : first + len(part)])
+                span = slice(edge[first], edge[first + len(part)])
+                s = at[span] + begins[of]
+                order = np.argsort(s)
+                s, e = s[order], (s + size[span])[order]
+                ws, we = starts[here], ends[here + words]
+                k = np.searchsorted(s, ws + WINDOW)
+                free = np.append(e, len(buf) + 1)[k] >= we
+                here, ws, we = here[free], ws[free], we[free]
+                text = own[here]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(first + text)),
+                        batch.column(1).take(pa.array(first + text)),
+                        pa.array((here - np.searchsorted(own, text)).astype(np.int32)),
+                        pa.array((ws - begins[text]).astype(np.int32)),
+                        pa.array((we - ws).astype(np.int32)),
+                        pa.array(span_hashes(buf, ws, we).view(np.int64)),
+                    ],
+                    ["doc_id", "row", "word", "at", "size", "digest"],
+                )
+
+    return rows.select("doc_id", "row", "text", "single").mapInArrow(run, WINDOWS)
+
+
 def repeated_spans(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each repeat: doc_id, row, start, end, n_words, first_doc_id, first_row, first_start, kept.
 
     start and end are byte offsets in the UTF-8 text, ``row`` numbers the input rows.  A repeat is a passage of more than
-    ``words`` words that stands at two places or more; ``kept`` marks its first place, which stays.  Chunk edges may leave
-    out some words at the ends of a repeat that is long by itself.  A null text has none; null and repeated ids are fine,
-    as places are rows; other columns are ignored; an empty table gives an empty result.
+    ``words`` whole words, blanks between them included, that stands at two places or more; ``kept`` marks its first
+    place, which stays.  A passage whose parts have different first places gives a row for each of these.  Places in one
+    text that overlap are no repeat of each other.  A null text has none; null and repeated ids are fine, as places
+    are rows; other columns are ignored; an empty table gives an empty result.
     """
-    found = occurrences(docs, id_col, text_col)
+    in_small_batches(docs)
+    once = occurrences(docs, id_col, text_col).groupBy("digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("row", "at", "size")]).where("n = 1")
+    single = once.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("single"))
+    rows = _rows(docs, id_col, text_col).where(F.length("text") > 2 * words)
+    found = stash(windows(rows.join(single, "row", "left"), words), "windows")
+
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
-    index = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    repeated = found.join(index, "digest").select(
-        "doc_id", "row", "at", "size", "word_at", "word_to", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")
-    )
-    by_row = Window.partitionBy("row").orderBy("at")
-    new = F.coalesce(F.col("at") - F.lag(F.col("at") + F.col("size")).over(by_row) > GAP, F.lit(True))
-    islands = (
-        repeated.withColumn("new", new.cast("int"))
-        .withColumn("island", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("own", (F.col("first_row") == F.col("row")) & (F.col("first_at") == F.col("at")))
-        .groupBy("row", "island")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.min("at").alias("start"),
-            F.max(F.col("at") + F.col("size")).alias("end"),
-            F.min("word_at").alias("word_at"),
-            F.max("word_to").alias("word_to"),
-            F.count("*").alias("n"),
-            F.bool_and("own").alias("kept"),
-            F.max(F.struct((~F.col("own")).alias("other"), F.col("size"), (-F.col("at")).alias("neg"), F.col("first_doc"), F.col("first_row"), F.col("first_at"))).alias("x"),
-        )
-        .select(
-            "doc_id", "row", "start", "end", (F.col("word_to") - F.col("word_at")).alias("n_words"), "n", "kept",
-            F.col("x.size").alias("size"), (-F.col("x.neg")).alias("at"), F.col("x.first_doc").alias("first_doc_id"), F.col("x.first_row").alias("first_row"), F.col("x.first_at").alias("first_at"),
-        )
-        .where((F.col("n_words") * 2 >= words) | ((F.col("n") == 1) & (F.col("n_words") * 4 >= words)))
-    )
-    islands = stash(islands, "islands")
-    sure = islands.where((F.col("n_words") > words) & (F.col("n") > 1))
-    doubtful = islands.where(((F.col("n_words") <= words) | (F.col("n") == 1)) & ((F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))))
-    out = sure.select("doc_id", "row", F.col("start").cast("long"), F.col("end").cast("long"), F.col("n_words").cast("long"), "first_doc_id", "first_row", (F.col("first_at") - F.col("at") + F.col("start")).cast("long").alias("first_start"), "kept")
-    return out.unionByName(_compared(doubtful, docs, words, id_col, text_col)).dropDuplicates(["row", "start", "end"])
-
-
-def _compared(doubtful: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Spans grown to their full length against their first place; both places of those that are long enough."""
-    rows = doubtful.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
+    index = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
+    overlaps = (F.col("row") == F.col("first_row")) & (F.col("at") > F.col("first_at")) & (F.col("at") < F.col("first_at") + F.col("size"))
+    places = found.join(index, "digest").where(~overlaps).groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("word", "at", "size", "first_at")).alias("places"))
+    runs = stash(_runs(places, words), "runs")
+    return runs.where("kept").unionByName(_compared(runs.where("NOT kept"), docs, id_col, text_col))
+
+
+def _runs(places: DataFrame, words: int) -> DataFrame:
+    """Windows of a pair of rows joined into repeats: neighbours at the same distance from their first places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(4).flatten()
+            if not len(flat):
+                continue
+            pair = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(4).value_lengths()))
+            word, at, size, first_at = (np.asarray(flat.field(k)).astype(np.int64) for k in range(4))
+            order = np.lexsort((word, first_at - at, pair))
+            pair, word, at, size, first_at = (x[order] for x in (pair, word, at, size, first_at))
+            away = first_at - at
+            new = np.append(True, (np.diff(pair) != 0) | (np.diff(away) != 0) | (np.diff(word) != 1))
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(new)) - 1
+            of = pa.array(pair[a])
+            doc, row, first_doc, first_row = (batch.column(k).take(of) for k in range(4))
+            kept = (np.asarray(row) == np.asarray(first_row)) & (away[a] == 0)
+            yield pa.RecordBatch.from_arrays(
+                [doc, row, pa.array(at[a]), pa.array(at[z] + size[z]), pa.array(word[z] - word[a] + words + 1), first_doc, first_row, pa.array(first_at[a]), pa.array(kept)],
+                ["doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start", "kept"],
+            )
+
+    return places.select("doc_id", "row", "first_doc_id", "first_row", "places").mapInArrow(run, RUNS)
+
+
+def _compared(runs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Repeats whose bytes are those of their first place; each pair of texts meets once."""
+    rows = runs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
     bits = filter_bits(rows.count())
     all_rows = _rows(docs, id_col, text_col).select("row", "text")
     own = through_filter(all_rows, all_rows["row"], stash(key_filter(rows, "row", bits), "filter"), bits)
-    pairs = doubtful.join(own.withColumnRenamed("text", "a"), "row").join(own.select(F.col("row").alias("first_row"), F.col("text").alias("b")), "first_row")
+    pairs = runs.groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("start", "end", "first_start")).alias("runs"))
+    pairs = pairs.join(own.withColumnRenamed("text", "a"), "row").join(own.select(F.col("row").alias("first_row"), F.col("text").alias("b")), "first_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
                 a, b = r["a"].encode(), r["b"].encode()
-                sides = grown(a, r["at"], b, r["first_at"], r["size"])
-                if sides is None:
-                    continue
-                start, end = r["at"] - sides[0], r["at"] + r["size"] + sides[1]
-                first = r["first_at"] - sides[0]
-                n = len(a[start:end].split())
-                if n > words and (r["row"] != r["first_row"] or first >= end or start >= first + end - start):
-                    out.append((r["doc_id"], r["row"], start, end, n, r["first_doc_id"], r["first_row"], first, False))
-                    out.append((r["first_doc_id"], r["first_row"], first, first + end - start, n, r["first_doc_id"], r["first_row"], first, True))
+                reach = -1
+                runs = sorted((x["start"], x["end"], x["first_start"]) for x in r["runs"])
+                for k, (start, end, first) in enumerate(runs):
+                    sides = grown(a, start, b, first, end - start) if end > reach else None
+                    if sides is None:
+                        continue
+                    # what the same bytes go on to is part of this repeat: a text of one word again and again is one
+                    reach = end + sides[1]
+                    end = max(e for _, e, _ in itertools.takewhile(lambda x: x[0] <= reach, runs[k:]) if e <= reach)
+                    out.append((r["doc_id"], r["row"], start, end, len(a[start:end].split()), r["first_doc_id"], r["first_row"], first, False))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
 
     schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start")] + [("kept", pa.bool_())])
-    return pairs.select("doc_id", "row", "at", "size", "first_doc_id", "first_row", "first_at", "a", "b").mapInArrow(run, "doc_id long, row long, start long, end long, n_words long, first_doc_id long, first_row long, first_start long, kept boolean")
+    return pairs.mapInArrow(run, RUNS)
 
 
 def without_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,3 +70,47 @@ def test_odd_rows(odd, none, clashing):
     assert repeated_spans(none).count() == 0
     assert repeated_spans(clashing, words=8).count() >= 3
     assert sorted(str(r.doc_id) for r in without_repeats(odd).collect()) == sorted(str(r.doc_id) for r in odd.collect())
+
+
+def windows_brute(rows, words=50):
+    """(row, byte) pairs that a repeat covers, and those of repeats that stand elsewhere first, by all windows of words."""
+    import re
+    from collections import defaultdict
+
+    places = defaultdict(list)
+    for i, text in sorted(rows):
+        spans = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", text.encode())]
+        for k in range(len(spans) - words):
+            s, e = spans[k][0], spans[k + words][1]
+            places[text.encode()[s:e]].append((i, s, e))
+    covered, gone = set(), set()
+    for found in places.values():
+        for i, s, e in found if len(found) > 1 else []:
+            if (i, s) == found[0][:2] or i != found[0][0] or s >= found[0][2]:
+                covered |= {(i, x) for x in range(s, e)}
+                if (i, s) != found[0][:2]:
+                    gone |= {(i, x) for x in range(s, e)}
+    return covered, gone
+
+
+def test_phrases_of_other_texts_hide_no_passage_and_make_none(spark):
+    """Every phrase of a passage stands in an earlier text; texts chained from such phrases repeat nothing."""
+    passage = [make_text(500 + k, 12) for k in range(8)]
+    rows = [(k, f"{make_text(100 + k, 30)} {p} {make_text(200 + k, 30)}") for k, p in enumerate(passage)]
+    rows += [(20 + j, f"{make_text(300 + j, 40)} {' '.join(passage)} {make_text(400 + j, 40)}") for j in range(3)]
+    rows += [(30 + j, " ".join(p + f" x{j}y" for p in passage[:: 1 - 2 * (j % 2)])) for j in range(4)]
+    rows += [(40, " ".join([make_text(600, 70), make_text(601, 30), make_text(600, 70)])), (41, make_text(602, 50) + " " + make_text(600, 51))]
+    rows += [(50 + j, " ".join("abcdefghijklmnopqrstuvwxyz"[(k * k + k // 7) % 26] for k in range(60)) + f" {j}") for j in range(2)]
+    rows += [(60, "orre " * 2_000), (61, "orre " * 300 + make_text(603, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeated_spans(docs).collect()
+    assert sum(r.doc_id in (60, 61) for r in got) < 6
+    covered, gone = windows_brute(rows)
+    texts = {i: t.encode() for i, t in rows}
+    assert {(r.doc_id, x) for r in got for x in range(r.start, r.end)} == covered
+    assert {(r.doc_id, x) for r in got if not r.kept for x in range(r.start, r.end)} == gone
+    for r in got:
+        assert texts[r.doc_id][r.start : r.end] == texts[r.first_doc_id][r.first_start : r.first_start + r.end - r.start]
+        assert r.n_words == len(texts[r.doc_id][r.start : r.end].split()) > 50
+    left = " ".join(r.text for r in without_repeats(docs).collect())
+    assert " ".join(passage) in left
