@@ -11,7 +11,7 @@ from orogena.llm.bpe import bpe_round_trip
 from orogena.llm.exact_dedup import exact_dedup
 from orogena.llm.kmeans_tree import nearest
 from orogena.llm.line_dedup import line_duplicates
-from orogena.llm.mixing import mix_sources
+from orogena.llm.mixing import TARGET_WEIGHTS, mix_sources
 from orogena.llm.near_dedup import NearParams, near_duplicates
 from orogena.llm.quality import score, train
 from orogena.llm.substring_dedup import repeated_spans
@@ -39,7 +39,7 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents"), TARGET_WEIGHTS)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

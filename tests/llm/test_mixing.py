@@ -71,6 +71,32 @@ def test_odd_rows(odd, odd_rows, none, clashing):
     assert mixed(odd, block=2).count() == len(odd_rows)
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys("abc", 1), dict.fromkeys("abcdefg", 1.0), {"a": 0.0001, "b": 0.9999}, {"a": 0.123456789, "b": 0.3, "c": 1e-7}])
+def test_no_source_is_a_block_away_from_its_exact_weight(weights):
+    from fractions import Fraction
+
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    n = 9_000
+    p = phases(dict.fromkeys(weights, n), whole_units(weights))[0]
+    w, total = sum(p.units.values()), sum(exact.values())
+    assert all(Fraction(u, w) == exact[s] / total for s, u in p.units.items())
+    for s in weights:
+        slots = [k // p.units[s] * w + p.slots[s][k % p.units[s]] for k in range(p.last[s])]
+        for k, x in enumerate(slots):
+            assert -1 < k - x * exact[s] / total and k + 1 - (x + 1) * exact[s] / total < 1
+
+
+def test_many_sources_keep_their_weights(spark):
+    """Each of 200 weighted sources takes its own turns; the query's weights are those of the table."""
+    weights = {f"s{i}": 1 + i % 3 for i in range(200)}
+    docs = spark.createDataFrame([(i * 1_000 + j, f"s{i}") for i in range(200) for j in range(12 * (1 + i % 3))], "doc_id long, source string")
+    got = mix_sources(docs, weights, block=2).collect()
+    assert sorted(r.position for r in got) == list(range(docs.count()))
+    assert {r.turn for r in got} == set(weights)
+    half = Counter(r.turn for r in got if r.position < len(got) // 2)
+    assert all(abs(half[s] - 6 * w) <= 2 for s, w in weights.items())
+
+
 def test_weights_must_be_positive():
     with pytest.raises(ValueError):
         whole_units({"a": 0.0})
