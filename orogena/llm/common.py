@@ -58,6 +58,14 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def key_name(df: DataFrame) -> str:
+    """A name for a row key that no column of ``df`` has, whatever its case."""
+    name, taken = "__row", {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def filter_bits(n: int) -> int:
     """Bits, as a power of two, of a filter for ``n`` keys: 16 to 32 a key, never above 2^25.
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import filter_bits, key_filter, stash, through_filter, without
+from orogena.llm.common import filter_bits, key_filter, key_name, stash, through_filter, without
 
 
 def _sha256(text: Column) -> Column:
@@ -36,15 +36,30 @@ def exact_dedup(
     dropped rows of the same group.  Other columns are ignored, whatever their names; an empty table gives an
     empty result.  ``digest`` may be weak: byte verification keeps different texts apart.
     """
+    settled = _found(docs, id_col, text_col, keep, normalise, digest)
+    return settled.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+
+
+def _found(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    keep: str,
+    normalise: Callable[[Column], Column] | None = None,
+    digest: Callable[[Column], Column] = _sha256,
+    row: Column | None = None,
+) -> DataFrame:
+    """Rows (row, id, keep_id, n, kept, sha); ``row`` is the key of a row, or else its number."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
+    number = F.monotonically_increasing_id() if row is None else row
     own = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(own) if normalise else own
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
     # memtables: a run for each task that reads, with no exchange
     runs = stash(
-        rows.select(F.monotonically_increasing_id().alias("row"), "id", digest(F.col("text")).alias("digest"), _sha256(F.col("text")).alias("sha")).sortWithinPartitions("digest"),
+        rows.select("row", "id", digest(F.col("text")).alias("digest"), _sha256(F.col("text")).alias("sha")).sortWithinPartitions("digest"),
         "runs",
         **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000", "parquet.bloom.filter.max.bytes": "262144"},
     )
@@ -66,11 +81,11 @@ def exact_dedup(
     settled = _marked(runs, index, "digest")
     if not doubtful.isEmpty():
         apart = stash(
-            rows.select(F.monotonically_increasing_id().alias("row"), "id", "text", digest(F.col("text")).alias("digest"), _sha256(F.col("text")).alias("sha")).join(doubtful, "digest", "left_semi"),
+            rows.select("row", "id", "text", digest(F.col("text")).alias("digest"), _sha256(F.col("text")).alias("sha")).join(doubtful, "digest", "left_semi"),
             "apart",
         )
         settled = _marked(runs.join(doubtful, "digest", "left_anti"), index, "digest").unionByName(_marked(apart, _compacted(apart, "text", keep), "text"))
-    return settled.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+    return settled
 
 
 def _compacted(runs: DataFrame, key: str, keep: str) -> DataFrame:
@@ -83,6 +98,7 @@ def _marked(runs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     found = runs.join(index.where("n > 1"), key, "left")
     alone = F.col("n").isNull()
     return found.select(
+        "row",
         "id",
         F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("n"),
@@ -92,10 +108,11 @@ def _marked(runs: DataFrame, index: DataFrame, key: str) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """``docs`` without the rows whose text another row stands for; same columns.
+    """``docs`` with one row for each text; same columns.
 
-    Whole rows are found again by id, so ids that several kept rows share stay with all of these rows.
+    Rows are found again by a key written with them, so that one row stays whether or not ids are null or repeated.
     """
-    found = stash(exact_dedup(docs, id_col, text_col, keep), "marked")
-    out, stays = found.where("NOT kept"), found.where("kept").select(F.col(id_col).alias("__stays"))
-    return without(docs, id_col, out.join(stays, out[id_col].eqNullSafe(stays["__stays"]), "left_anti"), id_col)
+    row = key_name(docs)
+    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = stash(_found(keyed, id_col, text_col, keep, row=F.col(row)), "marked")
+    return without(keyed, row, found.where("NOT kept"), "row").drop(row)

@@ -43,6 +43,14 @@ def test_empty_and_clashing(none, clashing):
     assert drop_exact_copies(clashing).columns == clashing.columns
 
 
+def test_rows_repeated_whole_leave_one(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (2, "other"), (None, "n"), (None, "n"), (None, "m"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in drop_exact_copies(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b"), (1, "other"), (None, "n"), (None, "m"), (3, "")], key=str)
+    assert sorted((r.doc_id for r in drop_exact_copies(docs.where("doc_id < 3"), keep="largest").collect())) == [1, 2]
+
+
 def test_normalise(odd):
     got = exact_dedup(odd, normalise=F.lower).where("doc_id IN (10, 11)").select("keep_id").distinct().collect()
     assert [r.keep_id for r in got] == [10]

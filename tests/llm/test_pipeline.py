@@ -64,3 +64,11 @@ def test_the_mix_is_the_order_of_the_rows(spark):
     sources = [r.source for r in corpus_pipeline.mixing(spark, docs, DATA).collect()]
     assert len(sources) == docs.count()
     assert sources[:10] == [sources[0]] * 10  # 200 documents of 20 sources: a block holds a whole source
+
+
+def test_near_copies_leave_one_row_whatever_ids_repeat(spark):
+    base = make_text(1, 80)
+    rows = [(5, base + " one"), (5, base + " two"), (None, base + " three"), (5, make_text(2, 80)), (None, make_text(3, 80)), (None, make_text(3, 80) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, DATA).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "5", "None"] and len({r.text[:60] for r in got}) == 3
