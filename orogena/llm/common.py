@@ -148,6 +148,24 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return stash(maybe.join(shared, "key"), "shared")
 
 
+#: Members of a bucket in a block, where two blocks meet in a task.
+BLOCK_ROWS = 256
+
+
+def dealt_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, own) of buckets as two sides (key, i, j, id, own) that meet block by block on (key, i, j).
+
+    Of a bucket, the members outside its largest component are the first side and all members the second.
+    """
+    sizes = rows.groupBy("key", "own").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("own", F.struct("c", "own")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    parts = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    told = rows.join(sizes, "key").withColumn("ni", parts(F.col("all") - F.col("most"))).withColumn("nj", parts(F.col("all")))
+    own_i, own_j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("nj")).cast("int")
+    few = told.where("own <> main").select("key", own_i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "own")
+    all_ = told.where("ni > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own_j.alias("j"), "id", "own")
+    return few, all_
+
+
 #: Members of a bucket that meet pair by pair at most; larger buckets go to ``confirm_blocks`` where there is one.
 SMALL_BUCKET = 32
 

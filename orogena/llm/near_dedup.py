@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import filter_bits, in_small_batches, key_filter, linked_components, shared_buckets, stash, through_filter
+from orogena.llm.common import dealt_pairs, filter_bits, in_small_batches, key_filter, linked_components, shared_buckets, stash, through_filter
 from orogena.llm.kernels import STEP, U, mix, slices, word_hashes
 
 M = np.uint32
 _RING = M(0x7FEB352D), M(0x846CA68B)  # fixed odd multipliers of the second permutation
-#: Shingles that are worked on at a time, and members of a bucket in a block.
-_BLOCK, BLOCK_ROWS = 2_048, 256
+#: Shingles that are worked on at a time.
+_BLOCK = 2_048
 
 
 @dataclass(frozen=True)
@@ -131,15 +131,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearParams, id_col: str, tex
 def confirmed_in_blocks(rows: DataFrame, docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between members (key, id, n, own) of one bucket that are in different components.
 
-    Of a bucket, the members outside its largest component meet all members.  Both sides are dealt into blocks of
-    BLOCK_ROWS, and a task compares a block with a block and returns the links alone.
+    Of a bucket, the members outside its largest component meet all members.  Both sides are dealt into blocks, and a task compares a block with a block and returns the links alone.
     """
-    sizes = rows.groupBy("key", "own").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("own", F.struct("c", "own")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    parts = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    told = rows.join(sizes, "key").withColumn("ni", parts(F.col("all") - F.col("most"))).withColumn("nj", parts(F.col("all")))
-    own_i, own_j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("nj")).cast("int")
-    few = told.where("own <> main").select("key", "id", "own", own_i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("few"))
-    all_ = told.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own_j.alias("j"), F.lit(False).alias("few"))
+    few, all_ = dealt_pairs(rows)
     ids = rows.select("id").distinct()
     bits = filter_bits(ids.count())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
@@ -167,7 +161,7 @@ def confirmed_in_blocks(rows: DataFrame, docs: DataFrame, p: NearParams, id_col:
         pairs = sorted(links)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return few.unionByName(all_).join(texts, "id").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+    return few.withColumn("few", F.lit(True)).unionByName(all_.withColumn("few", F.lit(False))).join(texts, "id").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
