@@ -138,11 +138,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows (id, n, key) whose key another row has too.
+    """Rows (id, n, key, c) whose key another row has too, c rows having it.
 
     Keys that occur once, nearly all as a rule, are left out by a bitmap before the join.
     """
-    shared = stash(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    shared = stash(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
     bits = filter_bits(shared.count())
     maybe = through_filter(rows, rows["key"], stash(key_filter(shared, "key", bits), "filter"), bits)
     return stash(maybe.join(shared, "key"), "shared")
@@ -158,59 +158,57 @@ def dealt_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of a bucket, the members outside its largest component are the first side and all members the second.
     """
     sizes = rows.groupBy("key", "own").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("own", F.struct("c", "own")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    parts = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
     told = rows.join(sizes, "key").withColumn("ni", parts(F.col("all") - F.col("most"))).withColumn("nj", parts(F.col("all")))
     own_i, own_j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("nj")).cast("int")
     few = told.where("own <> main").select("key", own_i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "own")
-    all_ = told.where("ni > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own_j.alias("j"), "id", "own")
+    all_ = told.where(F.col("all") > F.col("most")).select("key", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own_j.alias("j"), "id", "own")
     return few, all_
 
 
-#: Members of a bucket that meet pair by pair at most; larger buckets go to ``confirm_blocks`` where there is one.
-SMALL_BUCKET = 32
+#: Members of a bucket that meet pair by pair at most; those of larger ones meet pivots and then block by block.
+SMALL_BUCKET = 8
 
 
 def linked_components(
-    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, pivots: int, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None
+    buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], confirm_blocks: Callable[[DataFrame], DataFrame], percent: int, pivots: int
 ) -> DataFrame | None:
-    """Components (node, component) under the links that ``confirm`` finds among rows (id, n, key) that share a key.
+    """Components (node, component) under the links that ``confirm`` finds among rows (id, n, key, c) that share a key.
 
-    Each round gives a bucket one pivot, which meets the members of other components; once the rounds are over, members
-    of a bucket that are still in different components all meet, so that no link is lost: in large buckets block
-    by block, rows (key, id, n, own) being given to ``confirm_blocks``, and else pair by pair.  No pair is met twice that
-    way, and none whose sizes n alone rule out the similarity.  None if there is no link.
+    In a small bucket all members meet.  A large one has a pivot a round, which meets the members of other components;
+    after the rounds, members of a bucket that are still in different components all meet block by block, rows
+    (key, id, n, own) being given to ``confirm_blocks``, so that no link is lost.  No two meet whose sizes n alone rule out
+    the similarity.  None if there is no link.
     """
-    links = buckets.sparkSession.createDataFrame([], "a long, b long")
-    tried, owner = None, None
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  an intersection is no larger than either set
-    for turn in range(pivots + 1):
-        if owner is None:
-            now = buckets.withColumn("own", F.col("id"))
-        else:
-            now = buckets.join(owner, buckets["id"] == owner["node"], "left").select("id", "n", "key", F.coalesce("component", "id").alias("own"))
-            apart = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
-            now = stash(now.join(apart, "key"), "apart")
-            if now.isEmpty():
-                break
-        if turn == pivots and confirm_blocks:
-            size = now.groupBy("key").agg(F.count("*").alias("c"))
-            large = stash(now.join(size.where(F.col("c") > SMALL_BUCKET).select("key"), "key"), "large")
-            if not large.isEmpty():
-                links = links.unionByName(stash(confirm_blocks(large), "links"))
-                owner = components(links)
-            now = now.join(size.where(F.col("c") <= SMALL_BUCKET).select("key"), "key")
+
+    def met(rows: DataFrame, other: DataFrame, meet: Column) -> DataFrame:
+        return rows.join(other, "key").where(meet & fits(F.col("n"), F.col("bn"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+
+    def pivot(rows: DataFrame, turn: int) -> DataFrame:
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        first = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id"), F.col("n"), F.col("own"))).alias("v"))
+        return stash(first.select("key", F.col("v.id").alias("b"), F.col("v.n").alias("bn"), F.col("v.own").alias("bown")), "pivots")
+
+    small = buckets.where(F.col("c") <= SMALL_BUCKET).select("key", "id", "n")
+    large = buckets.where(F.col("c") > SMALL_BUCKET).select("key", "id", "n", F.col("id").alias("own"))
+    pairs = met(small, small.select("key", F.col("id").alias("b"), F.col("n").alias("bn")), F.col("id") < F.col("b"))
+    tried = stash(pairs.unionByName(met(large, pivot(large, 0), F.col("id") != F.col("b"))).distinct(), "pairs")
+    links = stash(confirm(tried), "links")
+    owner = components(links)
+    for turn in range(1, pivots + 1):
+        now = large.join(owner, large["id"] == owner["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("own"))
+        apart = stash(now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key"), "apart")
+        bits = filter_bits(apart.count())
+        large = stash(through_filter(now, now["key"], stash(key_filter(apart, "key", bits), "filter"), bits), "large")
+        if large.isEmpty():
+            break
         if turn < pivots:
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            pivot = now.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id"), F.col("n"), F.col("own"))).alias("v"))
-            other = pivot.select("key", F.col("v.id").alias("b"), F.col("v.n").alias("bn"), F.col("v.own").alias("bown"))
-            meet = F.col("own") != F.col("bown")
+            more = stash(met(large, pivot(large, turn), F.col("own") != F.col("bown")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried, found = tried.unionByName(more), stash(confirm(more), "links")
         else:
-            other = now.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("own").alias("bown"))
-            meet = F.col("own") < F.col("bown")
-        pairs = now.join(other, "key").where(meet & fits(F.col("n"), F.col("bn"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.isEmpty():
-            links = links.unionByName(stash(confirm(pairs), "links"))
+            found = stash(confirm_blocks(large), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
             owner = components(links)
-    return owner
+    return None if links.isEmpty() else owner

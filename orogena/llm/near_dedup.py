@@ -178,7 +178,9 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     classes = stash(full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("members")), "classes")
     first = full.join(classes, ["set_a", "set_b", "n"]).where("id = class_id").select(F.col("id"), F.col("n"), F.explode("bands").alias("key")).distinct()
     buckets = shared_buckets(stash(first, "buckets"))
-    owner = linked_components(buckets, lambda pairs: confirmed(pairs, docs, p, id_col, text_col), p.percent, p.pivots, lambda rows: confirmed_in_blocks(rows, docs, p, id_col, text_col))
+    owner = linked_components(
+        buckets, lambda pairs: confirmed(pairs, docs, p, id_col, text_col), lambda rows: confirmed_in_blocks(rows, docs, p, id_col, text_col), p.percent, p.pivots
+    )
     got = classes if owner is None else classes.join(owner, classes["class_id"] == owner["node"], "left").select("set_a", "set_b", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
     if owner is None:
         got = got.withColumn("component", F.col("class_id"))
