@@ -1,19 +1,20 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; of its 16 bits the top four are zero at a boundary, so that a boundary depends
-on the 16 bytes before it alone and an insertion moves no other.  Chunks reach from every second boundary, as one more
-bit tells, to the first one LEAST_CHUNK bytes away or more, so that they overlap, and are counted by digest.  A passage
-that stands twice has only chunks that occur twice, so a window of ``words`` + 1 words that holds a chunk found once is
-no repeat; all other windows are looked up by their own digest, whose first place is the least (id, row, offset).
-Windows next to each other with the same offset to their first places are one repeat, which is compared byte by byte
-with its first place before it is reported.  Chunks only rule windows out: no repeat is lost to where they lie or to
-what else a phrase of it is part of.
+A gear hash rolls over the words of a text.  A word is a boundary if its hash is the largest of some SPREAD words in a row, so
+boundaries depend on the words around them alone, an insertion moves no other, and no stretch lacks one.  A chunk reaches
+from a boundary to the one that is the largest LEAST to LEAST + SPREAD words on; every passage of 48 words holds one.  Chunks
+are counted by digest; one that occurs twice is compared byte by byte with its first place, the least by (id, row,
+offset), and grows as far as the bytes agree.  Grown passages of more than ``words`` words are repeats.
+
+What the first place of a chunk can't tell, because a phrase of a passage stands alone in an earlier text, is found by
+windows of ``words`` + 1 words: those in which every chunk occurs twice and none has led to a repeat over the whole window.
+They are looked up by digest and compared alike, so that no repeat is lost.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,62 +22,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogena.llm.common import filter_bits, in_small_batches, key_filter, stash, through_filter
-from orogena.llm.kernels import slices, span_hashes, word_spans
+from orogena.llm.kernels import mix, slices, span_hashes, word_spans
 
-#: Bytes of the rolling window, and of the least chunk that is indexed.
-WINDOW, LEAST_CHUNK = 16, 64
-_GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 16, 256, dtype=np.uint16)
-_GEAR[0] = 0
-OCCURRENCES = "row long, at int, size int, digest long"
+#: Words of the rolling window, words that a boundary stands out among, and the fewest words of a chunk.
+WINDOW, SPREAD, LEAST = 8, 16, 10
+OCCURRENCES = "doc_id long, row long, at int, size int, digest long"
 WINDOWS = "doc_id long, row long, word int, at int, size int, digest long"
+SEEDS = "doc_id long, row long, first_doc_id long, first_row long, start long, end long, first_start long"
 RUNS = "doc_id long, row long, start long, end long, n_words long, first_doc_id long, first_row long, first_start long, kept boolean"
-
-
-def boundaries(buf: np.ndarray, bits: int = 4) -> np.ndarray:
-    """Whether a chunk ends after each byte, the hash's top ``bits`` being zero; never inside a character."""
-    h = _GEAR[buf]
-    for k in (1, 2, 4, 8):  # the rolling sum of WINDOW shifted values, by doubling
-        h[k:] += h[:-k] << np.uint16(k)
-    after = np.append(buf[1:], 0)
-    return (h >> np.uint16(16 - bits) == 0) & ((after & 0xC0) != 0x80)
-
-
-def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all chunks of a text."""
-    buf = np.frombuffer(text, np.uint8)
-    ends = np.flatnonzero(boundaries(buf)) + 1
-    ends = np.union1d(ends, [len(buf)]) if len(buf) else ends[:0]
-    return np.append(0, ends[:-1])[: len(ends)], ends
-
-
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each indexed chunk: its text, place and digest."""
+_BLANK = b" \t\n\x0b\x0c\r"
+
+
+@dataclass
+class Chunked:
+    """Words and chunks of some texts laid end to end; ``held`` are the first and last word that decide a chunk."""
+
+    buf: np.ndarray
+    begins: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    own: np.ndarray
+    chunk: np.ndarray
+    until: np.ndarray
+    held: tuple[np.ndarray, np.ndarray]
+
+
+def rolled(words: np.ndarray) -> np.ndarray:
+    """The gear hash at each word: the sum of the WINDOW last words' values, each shifted once a step."""
+    h = words.copy()
+    for k in (1, 2, 4):  # by doubling
+        h[k:] += h[:-k] << np.uint64(k)
+    return mix(h)
+
+
+def chunked(run: list[bytes]) -> Chunked:
+    buf = np.frombuffer(b"\n".join(run), np.uint8)
+    begins = np.append(0, np.cumsum([len(x) + 1 for x in run]))[:-1]
+    starts, ends = word_spans(buf)
+    own = np.searchsorted(begins, starts, side="right") - 1
+    none = np.zeros(0, np.int64)
+    n = len(starts)
+    if n < WINDOW + SPREAD:
+        return Chunked(buf, begins, starts, ends, own, none, none, (none, none))
+    x = rolled(span_hashes(buf, starts, ends))
+    peak = np.lib.stride_tricks.sliding_window_view(x, SPREAD).argmax(1) + np.arange(n - SPREAD + 1)
+    m = len(peak)
+    in_text = np.arange(n) - np.searchsorted(own, own)
+    fit = (own[:m] == own[SPREAD - 1 :]) & (in_text[:m] >= WINDOW - 1)
+    at = np.flatnonzero(fit)
+    last = np.flatnonzero(np.append(peak[at][1:] != peak[at][:-1], True)) if len(at) else none
+    chunk, decides = peak[at][last], at[last]
+    ahead = np.minimum(chunk + LEAST, m - 1)
+    good = (chunk + LEAST < m) & fit[ahead] & (own[ahead] == own[chunk])
+    chunk, decides, ahead = chunk[good], decides[good], ahead[good]
+    return Chunked(buf, begins, starts, ends, own, chunk, peak[ahead], (decides - WINDOW + 1, ahead + SPREAD - 1))
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """A row for each chunk of rows (doc_id, row, text): its text, place and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = bytes(WINDOW)
         for batch in batches:
             for first, part in slices(batch.column(2)):
-                buf = np.frombuffer(pad.join([*part, b""]), np.uint8)
-                sizes = np.array([len(x) for x in part])
-                stops = np.cumsum(sizes + WINDOW) - WINDOW
-                begins = stops - sizes
-                edges, starts = (np.flatnonzero(boundaries(buf, bits)) + 1 for bits in (4, 5))
-                k = np.searchsorted(edges, starts + LEAST_CHUNK)
-                starts, ends = starts[k < len(edges)], edges[k[k < len(edges)]]
-                own = np.minimum(np.searchsorted(stops, starts), len(part) - 1)
-                inside = (starts >= begins[own]) & (ends < stops[own])
-                starts, ends, own = starts[inside], ends[inside], own[inside]
+                c = chunked(part)
+                starts, ends, own = c.starts[c.chunk], c.ends[c.until - 1], c.own[c.chunk]
+                text = pa.array(first + own)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(1).take(pa.array(first + own)),
-                        pa.array((starts - begins[own]).astype(np.int32)),
+                        batch.column(0).take(text),
+                        batch.column(1).take(text),
+                        pa.array((starts - c.begins[own]).astype(np.int32)),
                         pa.array((ends - starts).astype(np.int32)),
-                        pa.array(span_hashes(buf, starts, ends).view(np.int64)),
+                        pa.array(span_hashes(c.buf, starts, ends).view(np.int64)),
                     ],
-                    ["row", "at", "size", "digest"],
+                    ["doc_id", "row", "at", "size", "digest"],
                 )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, OCCURRENCES)
+    return rows.select("doc_id", "row", "text").mapInArrow(run, OCCURRENCES)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,77 +124,111 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def windows(rows: DataFrame, words: int) -> DataFrame:
-    """A row for each window of ``words`` + 1 words that holds no chunk of ``single``: doc_id, row, its first word, place, digest.
+    """A row for each window of ``words`` + 1 words that is still open: doc_id, row, its first word, place, digest.
 
-    ``rows`` are (doc_id, row, text, single), single being the places (at, size) of chunks found once.  A chunk counts as
-    held if the 16 bytes that decide its start are in the window too and it ends before the window does.
+    ``rows`` are (doc_id, row, text, seeds, spans): the places (at, first_row, first_at) of chunks found twice, and the
+    repeats (start, end, first_row, away) found so far.  A chunk closes the windows that hold all that decides it: all of
+    them if it was found once or is its own first place, else those inside its repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            n_single = np.asarray(lists.value_lengths().fill_null(0))
-            flat = lists.flatten()
-            at, size = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
-            edge = np.append(0, np.cumsum(n_single))
+            numbers = np.asarray(batch.column(1))
             for first, part in slices(batch.column(2)):
-                buf = np.frombuffer(b"\n".join(part), np.uint8)
-                begins = np.append(0, np.cumsum([len(x) + 1 for x in part]))[:-1]
-                starts, ends = word_spans(buf)
-                if len(starts) <= words:
+                c = chunked(part)
+                n = len(c.starts)
+                if n <= words:
                     continue
-                own = np.searchsorted(begins, starts, side="right") - 1
-                here = np.flatnonzero(own[words:] == own[: len(own) - words])
-                of = np.repeat(np.arange(len(part)), n_single[first : first + len(part)])
-                span = slice(edge[first], edge[first + len(part)])
-                s = at[span] + begins[of]
-                order = np.argsort(s)
-                s, e = s[order], (s + size[span])[order]
-                ws, we = starts[here], ends[here + words]
-                k = np.searchsorted(s, ws + WINDOW)
-                free = np.append(e, len(buf) + 1)[k] >= we
-                here, ws, we = here[free], ws[free], we[free]
-                text = own[here]
+                own = c.own[c.chunk]
+                at = c.starts[c.chunk] - c.begins[own]
+                low, high = c.held[1] - words, c.held[0]  # first words of the windows that a chunk closes
+                edges = np.searchsorted(own, np.arange(len(part) + 1))
+                for t in range(len(part)):
+                    seeds = batch.column(3)[first + t]
+                    if not seeds.is_valid or edges[t] == edges[t + 1]:
+                        continue
+                    seeds = seeds.values
+                    seed_at, first_row, first_at = (np.asarray(seeds.field(k)).astype(np.int64) for k in range(3))
+                    k = edges[t] + np.minimum(np.searchsorted(at[edges[t] : edges[t + 1]], seed_at), edges[t + 1] - edges[t] - 1)
+                    other = (first_row != numbers[first + t]) | (first_at != seed_at)
+                    k, seed_at, first_row, away = k[other], seed_at[other], first_row[other], (first_at - seed_at)[other]
+                    a, z = np.full(len(k), n), np.full(len(k), -1)
+                    spans = batch.column(4)[first + t]
+                    for span in spans.as_py() if spans.is_valid else []:
+                        mine = (first_row == span["first_row"]) & (away == span["away"]) & (seed_at >= span["start"]) & (seed_at < span["end"])
+                        a[mine] = np.searchsorted(c.starts, span["start"] + c.begins[t])
+                        z[mine] = np.searchsorted(c.ends, span["end"] + c.begins[t], side="right") - 1 - words
+                    low[k], high[k] = np.maximum(low[k], a), np.minimum(high[k], z)
+                closes = low <= high
+                shut = np.zeros(n + 1, np.int64)
+                np.add.at(shut, np.maximum(low[closes], 0), 1)
+                np.subtract.at(shut, high[closes] + 1, 1)
+                here = np.flatnonzero((np.cumsum(shut)[: n - words] == 0) & (c.own[words:] == c.own[: n - words]))
+                ws, we, text = c.starts[here], c.ends[here + words], c.own[here]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(first + text)),
                         batch.column(1).take(pa.array(first + text)),
-                        pa.array((here - np.searchsorted(own, text)).astype(np.int32)),
-                        pa.array((ws - begins[text]).astype(np.int32)),
+                        pa.array((here - np.searchsorted(c.own, text)).astype(np.int32)),
+                        pa.array((ws - c.begins[text]).astype(np.int32)),
                         pa.array((we - ws).astype(np.int32)),
-                        pa.array(span_hashes(buf, ws, we).view(np.int64)),
+                        pa.array(span_hashes(c.buf, ws, we).view(np.int64)),
                     ],
                     ["doc_id", "row", "word", "at", "size", "digest"],
                 )
 
-    return rows.select("doc_id", "row", "text", "single").mapInArrow(run, WINDOWS)
+    return rows.select("doc_id", "row", "text", "seeds", "spans").mapInArrow(run, WINDOWS)
+
+
+def _firsts(places: DataFrame) -> DataFrame:
+    """Places (doc_id, row, at, size, digest) of digests that occur twice or more, with the first place of their digest."""
+    again = stash(places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
+    bits = filter_bits(again.count())
+    maybe = through_filter(places, places["digest"], stash(key_filter(again, "digest", bits), "filter"), bits)
+    twice = stash(maybe.join(again, "digest"), "twice")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
+    first = twice.groupBy("digest").agg(F.min(place).alias("first"))
+    return twice.join(first, "digest").select(*[c for c in twice.columns if c != "digest"], F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
 
 
 def repeated_spans(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each repeat: doc_id, row, start, end, n_words, first_doc_id, first_row, first_start, kept.
 
     start and end are byte offsets in the UTF-8 text, ``row`` numbers the input rows.  A repeat is a passage of more than
-    ``words`` whole words, blanks between them included, that stands at two places or more; ``kept`` marks its first
-    place, which stays.  A passage whose parts have different first places gives a row for each of these.  Places in one
-    text that overlap are no repeat of each other.  A null text has none; null and repeated ids are fine, as places
-    are rows; other columns are ignored; an empty table gives an empty result.
+    ``words`` whole words, blanks between them included, that stands at two places or more; ``kept`` marks a place that
+    others repeat.  A passage whose parts have different first places gives a row for each of these.  A window of
+    ``words`` + 1 words isn't repeated by one that it overlaps.  A null text has none; null and repeated ids are fine, as
+    places are rows; other columns are ignored; an empty table gives an empty result.  ``words`` must be 47 or more for
+    chunks to find all; below that, windows find what chunks don't.
     """
-    in_small_batches(docs)
-    once = occurrences(docs, id_col, text_col).groupBy("digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("row", "at", "size")]).where("n = 1")
-    single = once.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("single"))
-    rows = _rows(docs, id_col, text_col).where(F.length("text") > 2 * words)
-    found = stash(windows(rows.join(single, "row", "left"), words), "windows")
+    return _repeats(stash(_rows(docs, id_col, text_col).where(F.length("text") > 2 * words), "rows"), words)
 
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
-    index = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
-    overlaps = (F.col("row") == F.col("first_row")) & (F.col("at") > F.col("first_at")) & (F.col("at") < F.col("first_at") + F.col("size"))
-    places = found.join(index, "digest").where(~overlaps).groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("word", "at", "size", "first_at")).alias("places"))
-    runs = stash(_runs(places, words), "runs")
-    return runs.where("kept").unionByName(_compared(runs.where("NOT kept"), docs, id_col, text_col))
 
+def _repeats(rows: DataFrame, words: int) -> DataFrame:
+    """The repeats of written rows (doc_id, row, text)."""
+    in_small_batches(rows)
+    seeds = stash(_firsts(stash(occurrences(rows), "chunks")), "seeds")
+    apart = seeds.where((F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at")))
+    places = apart.groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("at", "size", "first_at")).alias("places"))
+    told = stash(_compared(stash(_joined(places), "runs"), rows, words), "told")
 
-def _runs(places: DataFrame, words: int) -> DataFrame:
-    """Windows of a pair of rows joined into repeats: neighbours at the same distance from their first places."""
+    known = seeds.groupBy("row").agg(F.collect_list(F.struct("at", "first_row", "first_at")).alias("seeds"))
+    spans = told.where("NOT kept").groupBy("row").agg(F.collect_list(F.struct("start", "end", "first_row", (F.col("first_start") - F.col("start")).alias("away"))).alias("spans"))
+    bits = filter_bits(seeds.select("row").distinct().count())
+    some = through_filter(rows, rows["row"], stash(key_filter(seeds, "row", bits), "filter"), bits) if words >= 47 else rows
+    open_ = stash(windows(some.join(known, "row", "inner" if words >= 47 else "left").join(spans, "row", "left"), words), "windows")
+    found = _firsts(open_)
+    overlaps = (F.col("row") == F.col("first_row")) & (F.col("at") < F.col("first_at") + F.col("size"))
+    places = found.where(~overlaps).groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("at", "size", "first_at")).alias("places"))
+    told = told.unionByName(stash(_compared(stash(_joined(places), "runs"), rows, words), "told"))
+
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = told.where("kept").distinct().withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).drop("reach")  # the longest ones
+    return told.where("NOT kept").distinct().unionByName(kept)
+
+
+def _joined(places: DataFrame) -> DataFrame:
+    """Places of a pair of rows joined into runs: those at the same distance from their first places that touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,30 +236,60 @@ def _runs(places: DataFrame, words: int) -> DataFrame:
             if not len(flat):
                 continue
             pair = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(4).value_lengths()))
-            word, at, size, first_at = (np.asarray(flat.field(k)).astype(np.int64) for k in range(4))
-            order = np.lexsort((word, first_at - at, pair))
-            pair, word, at, size, first_at = (x[order] for x in (pair, word, at, size, first_at))
-            away = first_at - at
-            new = np.append(True, (np.diff(pair) != 0) | (np.diff(away) != 0) | (np.diff(word) != 1))
+            at, size, first_at = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+            order = np.lexsort((at, first_at - at, pair))
+            pair, at, size, first_at = (x[order] for x in (pair, at, size, first_at))
+            away, end = first_at - at, at + size
+            new = np.append(True, (np.diff(pair) != 0) | (np.diff(away) != 0) | (at[1:] > end[:-1] + 1))
             a = np.flatnonzero(new)
-            z = np.append(a[1:], len(new)) - 1
-            of = pa.array(pair[a])
-            doc, row, first_doc, first_row = (batch.column(k).take(of) for k in range(4))
-            kept = (np.asarray(row) == np.asarray(first_row)) & (away[a] == 0)
-            yield pa.RecordBatch.from_arrays(
-                [doc, row, pa.array(at[a]), pa.array(at[z] + size[z]), pa.array(word[z] - word[a] + words + 1), first_doc, first_row, pa.array(first_at[a]), pa.array(kept)],
-                ["doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start", "kept"],
-            )
-
-    return places.select("doc_id", "row", "first_doc_id", "first_row", "places").mapInArrow(run, RUNS)
-
-
-def _compared(runs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Repeats whose bytes are those of their first place; each pair of texts meets once."""
-    rows = runs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
-    bits = filter_bits(rows.count())
-    all_rows = _rows(docs, id_col, text_col).select("row", "text")
-    own = through_filter(all_rows, all_rows["row"], stash(key_filter(rows, "row", bits), "filter"), bits)
+            doc, row, first_doc, first_row = (batch.column(k).take(pa.array(pair[a])) for k in range(4))
+            yield pa.RecordBatch.from_arrays([doc, row, first_doc, first_row, pa.array(at[a]), pa.array(np.maximum.reduceat(end, a)), pa.array(first_at[a])], ["doc_id", "row", "first_doc_id", "first_row", "start", "end", "first_start"])
+
+    return places.select("doc_id", "row", "first_doc_id", "first_row", "places").mapInArrow(run, SEEDS)
+
+
+def _whole(a: bytes, start: int, end: int, b: bytes, first: int) -> tuple[int, int]:
+    """start and end moved inwards to whole words of both texts, ``first`` being start's place in the other."""
+    edge = lambda x, i: i in (0, len(x)) or x[i - 1] in _BLANK or x[i] in _BLANK
+    if not (edge(a, start) and edge(b, first)):
+        while start < end and a[start] not in _BLANK:
+            start, first = start + 1, first + 1
+    while start < end and a[start] in _BLANK:
+        start, first = start + 1, first + 1
+    stop = first + end - start
+    if not (edge(a, end) and edge(b, stop)):
+        while end > start and a[end - 1] not in _BLANK:
+            end -= 1
+    while end > start and a[end - 1] in _BLANK:
+        end -= 1
+    return start, end
+
+
+def _stretches(text: bytes, start: int, end: int, words: int, most: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What the windows of ``words`` + 1 words from start to end of at most ``most`` bytes cover, and what the first ones of these cover.
+
+    Windows with the same bytes have one first place, in the whole text with ``most`` and else from start on.
+    """
+    base = 0 if most else start
+    buf = np.frombuffer(text[base : None if most else end], np.uint8)
+    starts, ends = word_spans(buf)
+    if len(starts) <= words:
+        return [], []
+    ws, we = starts[: len(starts) - words], ends[words:]
+    good = np.flatnonzero((ws >= start - base) & (we <= end - base) & (we - ws <= (most or len(buf))))
+    _, first, of = np.unique(span_hashes(buf, ws, we), return_index=True, return_inverse=True)
+    out = []
+    for w in (good, np.unique(first[of[good]])):
+        cut = np.flatnonzero(np.diff(w) > 1)
+        out.append([(base + int(ws[x]), base + int(we[y])) for x, y in zip(w[np.append(0, cut + 1)], w[np.append(cut, len(w) - 1)])] if len(w) else [])
+    return out[0], out[1]
+
+
+def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Repeats of more than ``words`` words that runs grow to, byte for byte, and their first places; each pair of texts meets once."""
+    named = runs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
+    bits = filter_bits(named.count())
+    own = through_filter(rows, rows["row"], stash(key_filter(named, "row", bits), "filter"), bits).select("row", "text")
     pairs = runs.groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("start", "end", "first_start")).alias("runs"))
     pairs = pairs.join(own.withColumnRenamed("text", "a"), "row").join(own.select(F.col("row").alias("first_row"), F.col("text").alias("b")), "first_row")
 
@@ -212,16 +298,30 @@ def _compared(runs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
             out: list[tuple] = []
             for r in batch.to_pylist():
                 a, b = r["a"].encode(), r["b"].encode()
-                reach = -1
-                runs = sorted((x["start"], x["end"], x["first_start"]) for x in r["runs"])
-                for k, (start, end, first) in enumerate(runs):
-                    sides = grown(a, start, b, first, end - start) if end > reach else None
+                reach: dict[int, int] = {}
+                done: list[tuple[int, int, int]] = []
+                for start, end, first in sorted((x["start"], x["end"], x["first_start"]) for x in r["runs"]):
+                    away = first - start
+                    # what the same bytes go on to at the same distance is part of that repeat
+                    sides = grown(a, start, b, first, end - start) if end > reach.get(away, -1) else None
                     if sides is None:
                         continue
-                    # what the same bytes go on to is part of this repeat: a text of one word again and again is one
-                    reach = end + sides[1]
-                    end = max(e for _, e, _ in itertools.takewhile(lambda x: x[0] <= reach, runs[k:]) if e <= reach)
-                    out.append((r["doc_id"], r["row"], start, end, len(a[start:end].split()), r["first_doc_id"], r["first_row"], first, False))
+                    reach[away] = end + sides[1]
+                    whole = _whole(a, start - sides[0], end + sides[1], b, first - sides[0])
+                    # a text of one word again and again tells the same of many distances
+                    if any(s <= whole[0] and whole[1] <= e and s + x <= whole[0] + away and whole[1] + away <= e + x for s, e, x in done):
+                        continue
+                    if r["row"] != r["first_row"]:
+                        found, stays = [whole], _stretches(b, whole[0] + away, whole[1] + away, words)[1]
+                    else:
+                        found, stays = _stretches(a, *whole, words, -away)
+                    named = r["first_doc_id"], r["first_row"]
+                    for s, e in found:
+                        n = len(a[s:e].split())
+                        if n > words:
+                            done.append((s, e, away))
+                            out.append((r["doc_id"], r["row"], s, e, n, *named, s + away, False))
+                    out += [(*named, s, e, n, *named, s, True) for s, e in stays if (n := len(b[s:e].split())) > words]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
 
     schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start")] + [("kept", pa.bool_())])
@@ -230,7 +330,8 @@ def _compared(runs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 def without_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): each text without the repeats whose first place is elsewhere. Null texts stay null."""
-    spans = stash(repeated_spans(docs, words, id_col, text_col).where("NOT kept"), "spans")
+    rows = stash(_rows(docs, id_col, text_col), "numbered")
+    spans = stash(_repeats(rows, words).where("NOT kept"), "spans")
     cuts = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,5 +348,5 @@ def without_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", te
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    joined = _rows(docs, id_col, text_col).join(cuts, "row", "left").select("doc_id", "text", "cuts")
+    joined = rows.join(cuts, "row", "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, text string")

@@ -93,12 +93,11 @@ def test_components(spark):
 
 
 def test_block_by_block_finds_what_pairs_find(spark, monkeypatch):
-    """Without pivots and with tiny blocks, every link of a large group comes from the blocks."""
+    """With one pivot and tiny blocks, every link of a large group comes from the blocks."""
     import orogena.llm.common as common
-    import orogena.llm.near_dedup as near
 
     monkeypatch.setattr(common, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(common, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(6)
     base = make_text(5, 60).split()
     rows = []
@@ -107,5 +106,5 @@ def test_block_by_block_finds_what_pairs_find(spark, monkeypatch):
         for at in rng.choice(60, rng.integers(0, 6), replace=False):
             words[at] = f"w{i}x{at}"
         rows.append((i, " ".join(words)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NearParams(words=2, pivots=0)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NearParams(words=2, pivots=1)).collect()}
     assert got == brute(rows, 2)

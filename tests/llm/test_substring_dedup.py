@@ -3,33 +3,45 @@ from __future__ import annotations
 import numpy as np
 from conftest import make_text
 
-from orogena.llm.substring_dedup import boundaries, chunks, grown, repeated_spans, without_repeats
+from orogena.llm.kernels import mix, span_hashes, word_spans
+from orogena.llm.substring_dedup import LEAST, SPREAD, WINDOW, chunked, grown, repeated_spans, without_repeats
 
 
-def rolled(text: bytes) -> list[int]:
-    """Boundaries by rolling the hash byte by byte."""
-    from orogena.llm.substring_dedup import _GEAR
+def boundary_words(text: str) -> set[tuple[int, int]]:
+    """(first word, word after the last) of each chunk, by looking at each stretch of words by itself."""
+    words = text.split()
+    buf = text.encode()
+    starts, ends = word_spans(np.frombuffer(buf, np.uint8))
+    value = span_hashes(np.frombuffer(buf, np.uint8), starts, ends).tolist()
+    h = [None if i < WINDOW - 1 else int(mix(np.array([sum(value[i - k] << k for k in range(WINDOW)) & (1 << 64) - 1], np.uint64))[0]) for i in range(len(words))]
+    peak = {s: max(range(s, s + SPREAD), key=lambda i: (h[i], -i)) for s in range(WINDOW - 1, len(words) - SPREAD + 1)}
+    return {(i, peak[i + LEAST]) for i in peak.values() if i + LEAST in peak}
 
-    h, out = 0, []
-    for i, b in enumerate(text):
-        h = (h << 1) + int(_GEAR[b]) & 0xFFFF
-        if h >> 12 == 0 and (i + 1 == len(text) or text[i + 1] & 0xC0 != 0x80):
-            out.append(i + 1)
-    return out
+
+def chunk_words(text: str) -> set[tuple[int, int]]:
+    c = chunked([text.encode()])
+    return set(zip(c.chunk.tolist(), c.until.tolist()))
 
 
 def test_boundaries_are_those_of_the_rolling_hash():
-    for text in (make_text(1, 400).encode(), "é—数".encode() * 300, b"", b"a"):
-        assert (np.flatnonzero(boundaries(np.frombuffer(text, np.uint8))) + 1).tolist() == rolled(text)
-        s, e = chunks(text)
-        assert b"".join(text[a:b] for a, b in zip(s, e)) == text
+    for text in (make_text(1, 400), "é— 数字 " * 60, "orre " * 70, "", "a"):
+        assert chunk_words(text) == boundary_words(text)
+    both = chunked([make_text(1, 60).encode(), make_text(2, 60).encode()])
+    assert set(zip(both.chunk.tolist(), both.until.tolist())) == chunk_words(make_text(1, 60)) | {(i + 60, j + 60) for i, j in chunk_words(make_text(2, 60))}
 
 
 def test_insertion_moves_no_other_boundary():
-    text = make_text(3, 500).encode()
-    moved = text[:700] + b"INSERTED" + text[700:]
-    a, b = set(rolled(text)), set(rolled(moved))
-    assert {x for x in a if x <= 700} <= b and {x + 8 for x in a if x > 730} <= b
+    words = make_text(3, 500).split()
+    a, b = chunk_words(" ".join(words)), chunk_words(" ".join([*words[:200], "inserted", *words[200:]]))
+    assert {x for x in a if x[1] < 180} <= b and {(i + 1, j + 1) for i, j in a if i > 225} <= b
+
+
+def test_every_passage_of_48_words_holds_a_chunk():
+    for seed in range(40):
+        passage = make_text(seed, 48)
+        texts = [f"{make_text(100 + seed, 60)} {passage} {make_text(200 + seed, 60)}", f"{make_text(300 + seed, 30)} {passage} {make_text(400 + seed, 90)}"]
+        (x, y) = ({(i - n, j - n) for i, j in chunk_words(t) if i >= n and j <= n + 48} for t, n in zip(texts, (60, 30)))
+        assert x & y
 
 
 def test_planted_passages_are_found_and_others_left_alone(spark):
