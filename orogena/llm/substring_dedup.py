@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Literal
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ OCCURRENCES = "doc_id long, row long, at int, size int, digest long"
 WINDOWS = "doc_id long, row long, word int, at int, size int, digest long"
 SEEDS = "doc_id long, row long, first_doc_id long, first_row long, start long, end long, first_start long"
 RUNS = "doc_id long, row long, start long, end long, n_words long, first_doc_id long, first_row long, first_start long, kept boolean"
+_RUNS = pa.schema([(k, pa.int64()) for k in ("doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start")] + [("kept", pa.bool_())])
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -109,18 +111,30 @@ def grown(a: bytes, at: int, b: bytes, first: int, size: int) -> tuple[int, int]
     """How far a[at:at+size] == b[first:first+size] grows to the left and right; None if they differ."""
     if a[at : at + size] != b[first : first + size]:
         return None
-    left = right = 0
-    while n := _common(a[max(0, at - left - 4096) : at - left][::-1], b[max(0, first - left - 4096) : first - left][::-1]):
-        left += n
-    while n := _common(a[at + size + right : at + size + right + 4096], b[first + size + right : first + size + right + 4096]):
-        right += n
+    left, most, step = 0, min(at, first), 64
+    while left < most:
+        n = min(step, most - left)
+        same = _agree(a[at - left - n : at - left], b[first - left - n : first - left], "big")
+        left += same
+        if same < n:
+            break
+        step = 4096
+    a_end, b_end = at + size, first + size
+    right, most, step = 0, min(len(a) - a_end, len(b) - b_end), 64
+    while right < most:
+        n = min(step, most - right)
+        same = _agree(a[a_end + right : a_end + right + n], b[b_end + right : b_end + right + n], "little")
+        right += same
+        if same < n:
+            break
+        step = 4096
     return left, right
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
-    return int(x.argmax()) if x.any() else n
+def _agree(a: bytes, b: bytes, order: Literal["big", "little"]) -> int:
+    """How many bytes of two strings of one length agree, from the start ("little") or the end ("big")."""
+    x = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+    return (x & -x).bit_length() - 1 >> 3 if x else len(a)
 
 
 def windows(rows: DataFrame, words: int) -> DataFrame:
@@ -213,7 +227,7 @@ def _repeats(rows: DataFrame, words: int) -> DataFrame:
     told = stash(_compared(stash(_joined(places), "runs"), rows, words), "told")
 
     known = seeds.groupBy("row").agg(F.collect_list(F.struct("at", "first_row", "first_at")).alias("seeds"))
-    spans = told.where("NOT kept").groupBy("row").agg(F.collect_list(F.struct("start", "end", "first_row", (F.col("first_start") - F.col("start")).alias("away"))).alias("spans"))
+    spans = told.groupBy("row").agg(F.collect_list(F.struct("start", "end", "first_row", (F.col("first_start") - F.col("start")).alias("away"))).alias("spans"))
     bits = filter_bits(seeds.select("row").distinct().count())
     some = through_filter(rows, rows["row"], stash(key_filter(seeds, "row", bits), "filter"), bits) if words >= 47 else rows
     open_ = stash(windows(some.join(known, "row", "inner" if words >= 47 else "left").join(spans, "row", "left"), words), "windows")
@@ -222,9 +236,33 @@ def _repeats(rows: DataFrame, words: int) -> DataFrame:
     places = found.where(~overlaps).groupBy("row", "first_row").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("at", "size", "first_at")).alias("places"))
     told = told.unionByName(stash(_compared(stash(_joined(places), "runs"), rows, words), "told"))
 
+    told = told.distinct()
+    return told.unionByName(_kept(told, rows, words))
+
+
+def _kept(told: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The first places that repeats name; of windows that stand there more than once, the first."""
+    spans = told.select(F.col("first_doc_id").alias("doc_id"), F.col("first_row").alias("row"), F.col("first_start").alias("start"), (F.col("first_start") + F.col("end") - F.col("start")).alias("end")).distinct()
     before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = told.where("kept").distinct().withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).drop("reach")  # the longest ones
-    return told.where("NOT kept").distinct().unionByName(kept)
+    longest = spans.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("end") > F.col("reach")))
+    lists = stash(longest.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "firsts")
+    bits = filter_bits(lists.count())
+    some = through_filter(rows, rows["row"], stash(key_filter(lists, "row", bits), "filter"), bits).select("row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                text, seen = r["text"].encode(), 0
+                for x in r["spans"]:
+                    for s, e in _first_ones(text[x["start"] : x["end"]], words):
+                        s, e = s + x["start"], e + x["start"]
+                        if e > seen:
+                            seen = e
+                            out.append((r["doc_id"], r["row"], s, e, len(text[s:e].split()), r["doc_id"], r["row"], s, True))
+            yield pa.RecordBatch.from_pylist([dict(zip(_RUNS.names, x)) for x in out], _RUNS)
+
+    return lists.join(some, "row").select("row", "doc_id", "spans", "text").mapInArrow(run, RUNS)
 
 
 def _joined(places: DataFrame) -> DataFrame:
@@ -265,28 +303,35 @@ def _whole(a: bytes, start: int, end: int, b: bytes, first: int) -> tuple[int, i
     return start, end
 
 
-def _stretches(text: bytes, start: int, end: int, words: int, most: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """What the windows of ``words`` + 1 words from start to end of at most ``most`` bytes cover, and what the first ones of these cover.
+def _window_spans(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all windows of ``words`` + 1 words."""
+    starts, ends = word_spans(np.frombuffer(text, np.uint8))
+    return starts[: max(0, len(starts) - words)], ends[words:]
+
+
+def _covered(ws: np.ndarray, we: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+    """What the windows of these numbers, in order, cover."""
+    if not len(which):
+        return []
+    cut = np.flatnonzero(np.diff(which) > 1)
+    return [(int(ws[x]), int(we[y])) for x, y in zip(which[np.append(0, cut + 1)], which[np.append(cut, len(which) - 1)])]
 
-    Windows with the same bytes have one first place, in the whole text with ``most`` and else from start on.
-    """
-    base = 0 if most else start
-    buf = np.frombuffer(text[base : None if most else end], np.uint8)
-    starts, ends = word_spans(buf)
-    if len(starts) <= words:
-        return [], []
-    ws, we = starts[: len(starts) - words], ends[words:]
-    good = np.flatnonzero((ws >= start - base) & (we <= end - base) & (we - ws <= (most or len(buf))))
-    _, first, of = np.unique(span_hashes(buf, ws, we), return_index=True, return_inverse=True)
-    out = []
-    for w in (good, np.unique(first[of[good]])):
-        cut = np.flatnonzero(np.diff(w) > 1)
-        out.append([(base + int(ws[x]), base + int(we[y])) for x, y in zip(w[np.append(0, cut + 1)], w[np.append(cut, len(w) - 1)])] if len(w) else [])
-    return out[0], out[1]
+
+def _apart(ws: np.ndarray, we: np.ndarray, start: int, end: int, most: int) -> list[tuple[int, int]]:
+    """What the windows from start to end of at most ``most`` bytes cover: those that don't overlap their first places."""
+    a, z = np.searchsorted(ws, start), np.searchsorted(we, end, side="right")
+    return _covered(ws, we, a + np.flatnonzero(we[a:z] - ws[a:z] <= most)) if a < z else []
+
+
+def _first_ones(text: bytes, words: int) -> list[tuple[int, int]]:
+    """What the windows cover whose bytes stand nowhere before."""
+    ws, we = _window_spans(text, words)
+    first = np.unique(span_hashes(np.frombuffer(text, np.uint8), ws, we), return_index=True)[1] if len(ws) else ws
+    return _covered(ws, we, np.sort(first))
 
 
 def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Repeats of more than ``words`` words that runs grow to, byte for byte, and their first places; each pair of texts meets once."""
+    """Repeats of more than ``words`` words that runs grow to, byte for byte; each pair of texts meets once."""
     named = runs.select(F.explode(F.array("row", "first_row")).alias("row")).distinct()
     bits = filter_bits(named.count())
     own = through_filter(rows, rows["row"], stash(key_filter(named, "row", bits), "filter"), bits).select("row", "text")
@@ -300,6 +345,7 @@ def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 a, b = r["a"].encode(), r["b"].encode()
                 reach: dict[int, int] = {}
                 done: list[tuple[int, int, int]] = []
+                spans = None
                 for start, end, first in sorted((x["start"], x["end"], x["first_start"]) for x in r["runs"]):
                     away = first - start
                     # what the same bytes go on to at the same distance is part of that repeat
@@ -311,20 +357,20 @@ def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                     # a text of one word again and again tells the same of many distances
                     if any(s <= whole[0] and whole[1] <= e and s + x <= whole[0] + away and whole[1] + away <= e + x for s, e, x in done):
                         continue
+                    if whole[1] - whole[0] <= 2 * words:
+                        continue
                     if r["row"] != r["first_row"]:
-                        found, stays = [whole], _stretches(b, whole[0] + away, whole[1] + away, words)[1]
+                        found = [whole]
                     else:
-                        found, stays = _stretches(a, *whole, words, -away)
-                    named = r["first_doc_id"], r["first_row"]
+                        spans = spans or _window_spans(a, words)
+                        found = _apart(*spans, *whole, -away)
                     for s, e in found:
                         n = len(a[s:e].split())
                         if n > words:
                             done.append((s, e, away))
-                            out.append((r["doc_id"], r["row"], s, e, n, *named, s + away, False))
-                    out += [(*named, s, e, n, *named, s, True) for s, e in stays if (n := len(b[s:e].split())) > words]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
+                            out.append((r["doc_id"], r["row"], s, e, n, r["first_doc_id"], r["first_row"], s + away, False))
+            yield pa.RecordBatch.from_pylist([dict(zip(_RUNS.names, x)) for x in out], _RUNS)
 
-    schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_row", "first_start")] + [("kept", pa.bool_())])
     return pairs.mapInArrow(run, RUNS)
 
 
