@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 def search(regions: DataFrame, text: str, most: int = 300) -> DataFrame:
     """The best regions for a text, best first: where it starts in the name, then the name's length.
 
-    100 a character before the match, plus the name's length, plus 5000 without a file; a match in the id alone costs 20 more.
+    100 a character before the match, plus the name's length, plus 5000 without a file; a match in the id alone counts as 20
+    characters further on.  Blanks around the text don't count, and an empty text finds nothing.
     """
-    t = text.lower()
+    t = text.strip(" \t").lower()
     in_name, in_id = F.instr(F.lower("name"), t), F.instr(F.lower("id"), t)
-    at = F.when(in_name > 0, in_name - 1).otherwise(in_id - 1 + F.lit(0))
-    score = at * 100 + F.length("name") + F.when(F.col("url").isNull(), 5000).otherwise(0) + F.when(in_name > 0, 0).otherwise(20)
-    return regions.where((in_name > 0) | (in_id > 0)).select("id", "name", score.cast("long").alias("score")).orderBy("score", "name", "id").limit(most)
+    at = F.when(in_name > 0, in_name - 1).otherwise(in_id - 1 + 20)
+    score = at * 100 + F.length("name") + F.when(F.col("url").isNull(), 5000).otherwise(0)
+    return regions.where(F.lit(bool(t)) & ((in_name > 0) | (in_id > 0))).select("id", "name", score.cast("long").alias("score")).orderBy("score", "name", "id").limit(most)
 
 
 def listing(regions: DataFrame, text: str) -> DataFrame:

@@ -69,26 +69,26 @@ def points_by_cell(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     v.with_(v.NODES, CELLED)
-    + """SELECT p.id AS element, min(meaning) AS meaning FROM p JOIN n ON abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 WHERE n.id % 29 = 0 GROUP BY p.id HAVING count(DISTINCT meaning) = 1"""
+    + """SELECT p.id AS element, min(meaning) AS meaning FROM p JOIN n ON abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 GROUP BY p.id HAVING count(DISTINCT meaning) = 1"""
 )
 def rescued_points(spark: SparkSession, d: str) -> DataFrame:
     points, n = _celled(spark, d)
-    return linkage.rescued(points, n.where("id % 29 = 0"))
+    return linkage.rescued(points, n)
 
 
 @R.add(
-    """WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 12 AS y, l_suppkey % 12 AS x FROM lineitem WHERE l_orderkey % 2 = 0),
-         w AS (SELECT DISTINCT p_partkey % 12 AS y, s_suppkey % 12 AS x, p_type AS meaning FROM part JOIN supplier ON (p_partkey + s_suppkey) % 17 = 0 WHERE p_partkey < 300),
+    """WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 40 AS y, l_suppkey % 40 AS x FROM lineitem),
+         w AS (SELECT DISTINCT p_partkey % 40 AS y, s_suppkey % 40 AS x, p_type AS meaning FROM part JOIN supplier ON (p_partkey + s_suppkey) % 199 = 0),
          m AS (SELECT id, meaning, count(*) AS n FROM e JOIN w USING (y, x) GROUP BY ALL),
          r AS (SELECT *, row_number() OVER o AS r, coalesce(lead(n) OVER o, 0) AS nx FROM m WINDOW o AS (PARTITION BY id ORDER BY n DESC, meaning))
        SELECT id AS element, meaning FROM r JOIN (SELECT id, greatest(2, count(*) // 3) AS wanted FROM e GROUP BY id) USING (id) WHERE r = 1 AND n >= wanted AND n >= 2 * nx"""
 )
 def coarse_matches(spark: SparkSession, d: str) -> DataFrame:
-    lines = v.table(spark, d, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 12).alias("y"), (F.col("l_suppkey") % 12).alias("x"))
-    part, supp = v.table(spark, d, "part").where("p_partkey < 300"), v.table(spark, d, "supplier")
-    # (p + s) % 17 = 0 as an equality of remainders
-    met = part.withColumn("k", F.col("p_partkey") % 17).join(supp.withColumn("k", (17 - F.col("s_suppkey") % 17) % 17), "k")
-    return linkage.coarse(lines, met.select((F.col("p_partkey") % 12).alias("y"), (F.col("s_suppkey") % 12).alias("x"), F.col("p_type").alias("meaning")), least=2)
+    lines = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 40).alias("y"), (F.col("l_suppkey") % 40).alias("x"))
+    part, supp = v.table(spark, d, "part"), v.table(spark, d, "supplier")
+    # (p + s) % 199 = 0 as an equality of remainders
+    met = part.withColumn("k", F.col("p_partkey") % 199).join(supp.withColumn("k", (199 - F.col("s_suppkey") % 199) % 199), "k")
+    return linkage.coarse(lines, met.select((F.col("p_partkey") % 40).alias("y"), (F.col("s_suppkey") % 40).alias("x"), F.col("p_type").alias("meaning")), least=2)
 
 
 @R.add(
@@ -128,12 +128,12 @@ def modal_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    """WITH b AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey < 40 AND l_orderkey % 50 = 0), c AS (SELECT s, count(*) AS n FROM b GROUP BY s)
+    """WITH b AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey), c AS (SELECT s, count(*) AS n FROM b GROUP BY s)
        SELECT x.s AS a, y.s AS b, count(*) AS shared FROM b x JOIN b y ON x.b = y.b AND x.s < y.s JOIN c cx ON cx.s = x.s JOIN c cy ON cy.s = y.s GROUP BY x.s, y.s, cx.n, cy.n HAVING 2 * count(*) >= least(cx.n, cy.n)"""
 )
 def layers_alike(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of layers that share half of the smaller one's drawings; found by what they share."""
-    line, part = v.table(spark, d, "lineitem").where("l_suppkey < 40 AND l_orderkey % 50 = 0"), v.table(spark, d, "part")
+    line, part = v.table(spark, d, "lineitem"), v.table(spark, d, "part")
     own = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s"), F.col("p_brand").alias("k")).distinct()
     size = own.groupBy("s").agg(F.count("*").alias("n"))
     a, b = own.select("k", F.col("s").alias("a")), own.select("k", F.col("s").alias("b"))
@@ -144,13 +144,13 @@ def layers_alike(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     """WITH o AS (SELECT p_type AS meaning, p_size AS ours, row_number() OVER (PARTITION BY p_type ORDER BY p_size) AS place FROM (SELECT DISTINCT p_type, p_size FROM part WHERE p_partkey % 3 = 0)),
-       t AS (SELECT p_type AS meaning, code AS theirs, row_number() OVER (PARTITION BY p_type ORDER BY code) AS at, count(*) OVER (PARTITION BY p_type) AS n FROM (SELECT DISTINCT p_type, p_size + 100 AS code FROM part WHERE p_partkey % 50 = 1))
+       t AS (SELECT p_type AS meaning, code AS theirs, row_number() OVER (PARTITION BY p_type ORDER BY code) AS at, count(*) OVER (PARTITION BY p_type) AS n FROM (SELECT DISTINCT p_type, p_size + 100 AS code FROM part WHERE p_partkey % 3 <> 0))
        SELECT o.meaning, CAST(place AS INTEGER) AS place, ours, theirs FROM o JOIN t ON t.meaning = o.meaning AND t.at = least(place, n)"""
 )
 def ported_ladders(spark: SparkSession, d: str) -> DataFrame:
     p = v.table(spark, d, "part")
     ours = p.where("p_partkey % 3 = 0").select(F.col("p_type").alias("meaning"), F.col("p_size").alias("code")).distinct()
-    theirs = p.where("p_partkey % 50 = 1").select(F.col("p_type").alias("meaning"), (F.col("p_size") + 100).alias("code")).distinct()
+    theirs = p.where("p_partkey % 3 <> 0").select(F.col("p_type").alias("meaning"), (F.col("p_size") + 100).alias("code")).distinct()
     return style.ported(ours, theirs)
 
 
@@ -287,14 +287,14 @@ def archive_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     v.with_(v.WAY_REFS)
-    + """(SELECT node_id, 'shared' AS side FROM way_refs WHERE way_id % 4 = 0 INTERSECT SELECT node_id, 'shared' FROM way_refs WHERE way_id % 4 = 1)
-         UNION ALL (SELECT node_id, 'only' FROM way_refs WHERE way_id % 4 = 0 EXCEPT SELECT node_id, 'only' FROM way_refs WHERE way_id % 4 = 1)
-         UNION ALL SELECT node_id, 'either' FROM (SELECT node_id FROM way_refs WHERE way_id % 4 = 0 UNION SELECT node_id FROM way_refs WHERE way_id % 4 = 1)"""
+    + """(SELECT node_id, 'shared' AS side FROM way_refs WHERE way_id % 4 = 0 INTERSECT SELECT node_id, 'shared' FROM way_refs WHERE way_id % 4 <> 0)
+         UNION ALL (SELECT node_id, 'only' FROM way_refs WHERE way_id % 4 = 0 EXCEPT SELECT node_id, 'only' FROM way_refs WHERE way_id % 4 <> 0)
+         UNION ALL SELECT node_id, 'either' FROM (SELECT node_id FROM way_refs WHERE way_id % 4 = 0 UNION SELECT node_id FROM way_refs WHERE way_id % 4 <> 0)"""
 )
 def node_sets(spark: SparkSession, d: str) -> DataFrame:
     """Union, intersection and difference of the nodes of two halves of the ways."""
     refs = v.way_refs(spark, d)
-    a, b = refs.where("way_id % 4 = 0").select("node_id"), refs.where("way_id % 4 = 1").select("node_id")
+    a, b = refs.where("way_id % 4 = 0").select("node_id"), refs.where("way_id % 4 <> 0").select("node_id")
     told = lambda df, side: df.withColumn("side", F.lit(side))
     return told(a.intersect(b), "shared").unionByName(told(a.subtract(b), "only")).unionByName(told(a.union(b).distinct(), "either"))
 

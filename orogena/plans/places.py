@@ -167,12 +167,12 @@ def shape_tiles(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.col("id").alias("node_id")).agg(F.array_sort(F.collect_set("tile")).alias("tiles"))
 
 
-WAY_TILES = "way_tiles AS (SELECT way_id, list(DISTINCT tile ORDER BY tile) AS tiles FROM way_refs JOIN point_tiles USING (node_id) WHERE node_id % 5 <> 0 GROUP BY way_id)"
+WAY_TILES = "way_tiles AS (SELECT way_id, list(DISTINCT tile ORDER BY tile) AS tiles FROM way_refs JOIN point_tiles USING (node_id) GROUP BY way_id)"
 TILED = (v.NODES, v.TILES, POINT_TILES, v.WAY_REFS, WAY_TILES)
 
 
 def _way_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return tiling.way_tiles(v.way_refs(spark, d).where("node_id % 5 <> 0"), point_tiles(spark, d))
+    return tiling.way_tiles(v.way_refs(spark, d), point_tiles(spark, d))
 
 
 @R.add(v.with_(*TILED) + "SELECT * FROM way_tiles")
@@ -192,11 +192,11 @@ def relation_tiles(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     v.with_(*TILED, v.MEMBERS)
     + """, rel AS (SELECT relation_id, unnest(tiles) AS tile FROM members JOIN way_tiles ON way_id = ref WHERE kind = 1)
-         SELECT ref AS way_id, list(DISTINCT tile ORDER BY tile) AS tiles FROM members JOIN rel USING (relation_id) WHERE kind = 1 AND relation_id % 10 = 0 GROUP BY ref"""
+         SELECT ref AS way_id, list(DISTINCT tile ORDER BY tile) AS tiles FROM members JOIN rel USING (relation_id) WHERE kind = 1 GROUP BY ref"""
 )
 def carried_members(spark: SparkSession, d: str) -> DataFrame:
-    """Member ways with all tiles of their relation, for a tenth of the relations that are carried whole."""
-    held = v.members(spark, d).where("kind = 1 AND relation_id % 10 = 0")
+    """Member ways with all tiles of their relation; relations are carried whole."""
+    held = v.members(spark, d).where("kind = 1")
     of_relation = tiling.member_tiles(held, _way_tiles(spark, d)).select("relation_id", F.explode("tiles").alias("tile"))
     return held.join(of_relation, "relation_id").groupBy(F.col("ref").alias("way_id")).agg(F.array_sort(F.collect_set("tile")).alias("tiles"))
 
@@ -211,12 +211,21 @@ SEGS = """segs AS (SELECT way_id, CAST(row_number() OVER w - 1 AS INTEGER) AS se
     lead(node_id) OVER w AS b, lead(lat_u) OVER w AS b_lat, lead(lon_u) OVER w AS b_lon
   FROM way_refs JOIN nodes ON id = node_id WINDOW w AS (PARTITION BY way_id ORDER BY pos))"""
 
+SHORT = """short AS (SELECT * REPLACE (CAST(a_lat + trunc((b_lat - a_lat) / 16) AS INTEGER) AS b_lat, CAST(a_lon + trunc((b_lon - a_lon) / 16) AS INTEGER) AS b_lon) FROM segs WHERE b IS NOT NULL)"""
+
+
+def _short_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The first sixteenth of each segment of all ways: the tables' nodes are neighbours by chance, streets' nodes aren't."""
+    segs = places.segments(v.way_refs(spark, d), v.nodes(spark, d))
+    return segs.withColumns({c: F.expr(f"cast(a_{x} + (b_{x} - a_{x}) div 16 as int)") for x, c in (("lat", "b_lat"), ("lon", "b_lon"))})
+
+
 
 @R.add(
-    v.with_(v.NODES, v.WAY_REFS, SEGS)
+    v.with_(v.NODES, v.WAY_REFS, SEGS, SHORT)
     + """, ends AS (SELECT node_id, way_id AS from_way, lat_u AS y, lon_u AS x FROM way_refs JOIN nodes ON id = node_id
-           WHERE pos = 0 AND way_id % 40 = 0 AND node_id IN (SELECT node_id FROM way_refs GROUP BY node_id HAVING count(*) = 1)),
-       s AS (SELECT *, CAST(b_lat - a_lat AS HUGEINT) AS dy, CAST(b_lon - a_lon AS HUGEINT) AS dx FROM segs WHERE b IS NOT NULL AND abs(b_lat - a_lat) + abs(b_lon - a_lon) < 9000),
+           WHERE pos = 0 AND node_id IN (SELECT node_id FROM way_refs GROUP BY node_id HAVING count(*) = 1)),
+       s AS (SELECT *, CAST(b_lat - a_lat AS HUGEINT) AS dy, CAST(b_lon - a_lon AS HUGEINT) AS dx FROM short),
        near AS (SELECT node_id, way_id AS to_way, seg, CASE WHEN t <= 0 THEN py * py + px * px WHEN t >= n THEN qy * qy + qx * qx ELSE c * c END AS num, CASE WHEN t <= 0 OR t >= n THEN 1 ELSE n END AS den
          FROM (SELECT *, y - a_lat AS py, x - a_lon AS px, y - b_lat AS qy, x - b_lon AS qx, dy * dy + dx * dx AS n,
                       (y - a_lat) * dy + (x - a_lon) * dx AS t, (y - a_lat) * dx - (x - a_lon) * dy AS c
@@ -225,48 +234,52 @@ SEGS = """segs AS (SELECT way_id, CAST(row_number() OVER w - 1 AS INTEGER) AS se
        SELECT node_id, to_way, seg FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY CAST(num AS DOUBLE) / CAST(den AS DOUBLE), to_way, seg) AS r FROM near WHERE num <= 40000 * den) WHERE r = 1"""
 )
 def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
-    """Loose ends of some ways and the nearest short segment of another way within 200 units."""
+    """Loose ends of ways and the nearest segment of another way within 200 units."""
     refs, nodes = v.way_refs(spark, d), v.nodes(spark, d)
-    segs = places.segments(refs, nodes).where("abs(b_lat - a_lat) + abs(b_lon - a_lon) < 9000")
-    ends = refs.where("pos = 0 AND way_id % 40 = 0").join(places.referred_once(refs), "node_id").join(nodes.select(F.col("id").alias("node_id"), "lat_u", "lon_u"), "node_id")
+    segs = _short_segments(spark, d)
+    ends = refs.where("pos = 0").join(places.referred_once(refs), "node_id").join(nodes.select(F.col("id").alias("node_id"), "lat_u", "lon_u"), "node_id")
     return places.nearest_segments(ends, segs, cell=1024, limit=200).select("node_id", "to_way", "seg")
 
 
 @R.add(
-    v.with_(v.NODES, v.WAY_REFS, SEGS)
-    + """, l AS (SELECT way_id AS link_id, a_lat AS y1, a_lon AS x1, b_lat AS y2, b_lon AS x2 FROM segs WHERE b IS NOT NULL AND seg = 0 AND way_id % 20 = 0 AND abs(b_lat - a_lat) + abs(b_lon - a_lon) < 9000),
-       w AS (SELECT way_id AS wall_id, * FROM segs WHERE b IS NOT NULL AND seg = 1 AND way_id % 20 = 7 AND abs(b_lat - a_lat) + abs(b_lon - a_lon) < 9000)
-       SELECT DISTINCT link_id, wall_id FROM l, w WHERE
+    v.with_(v.NODES, v.WAY_REFS, SEGS, SHORT)
+    + """, l AS (SELECT way_id AS link_id, a_lat AS y1, a_lon AS x1, b_lat AS y2, b_lon AS x2 FROM short WHERE seg = 0),
+       w AS (SELECT way_id AS wall_id, * FROM short WHERE seg = 1)
+       SELECT DISTINCT link_id, wall_id FROM l JOIN w ON least(x1, x2) <= greatest(a_lon, b_lon) AND least(a_lon, b_lon) <= greatest(x1, x2) AND least(y1, y2) <= greatest(a_lat, b_lat) AND least(a_lat, b_lat) <= greatest(y1, y2) WHERE
          sign(CAST(x2 - x1 AS BIGINT) * (a_lat - y1) - CAST(y2 - y1 AS BIGINT) * (a_lon - x1)) * sign(CAST(x2 - x1 AS BIGINT) * (b_lat - y1) - CAST(y2 - y1 AS BIGINT) * (b_lon - x1)) < 0
          AND sign(CAST(b_lon - a_lon AS BIGINT) * (y1 - a_lat) - CAST(b_lat - a_lat AS BIGINT) * (x1 - a_lon)) * sign(CAST(b_lon - a_lon AS BIGINT) * (y2 - a_lat) - CAST(b_lat - a_lat AS BIGINT) * (x2 - a_lon)) < 0"""
 )
 def crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Links and walls that cross."""
-    segs = places.segments(v.way_refs(spark, d), v.nodes(spark, d)).where("abs(b_lat - a_lat) + abs(b_lon - a_lon) < 9000")
-    links = segs.where("seg = 0 AND way_id % 20 = 0").select(F.col("way_id").alias("link_id"), F.col("a_lat").alias("y1"), F.col("a_lon").alias("x1"), F.col("b_lat").alias("y2"), F.col("b_lon").alias("x2"))
-    walls = segs.where("seg = 1 AND way_id % 20 = 7").select(F.col("way_id").alias("wall_id"), "a_lat", "a_lon", "b_lat", "b_lon")
+    """First segments of ways and the second ones of others that cross them."""
+    segs = _short_segments(spark, d)
+    links = segs.where("seg = 0").select(F.col("way_id").alias("link_id"), F.col("a_lat").alias("y1"), F.col("a_lon").alias("x1"), F.col("b_lat").alias("y2"), F.col("b_lon").alias("x2"))
+    walls = segs.where("seg = 1").select(F.col("way_id").alias("wall_id"), "a_lat", "a_lon", "b_lat", "b_lon")
     return places.crossings(links, walls, 4096)
 
 
-RINGS = """rings AS (SELECT way_id, list({'y': lat_u, 'x': lon_u} ORDER BY pos) AS r, min(lat_u) AS lo_y, max(lat_u) AS hi_y, min(lon_u) AS lo_x, max(lon_u) AS hi_x
-  FROM way_refs JOIN nodes ON id = node_id WHERE way_id % 50 = 0 GROUP BY way_id HAVING count(*) >= 3)"""
+RINGS = """rings AS (SELECT way_id, list({'y': lat_u, 'x': lon_u} ORDER BY pos) AS r
+  FROM way_refs JOIN nodes ON id = node_id GROUP BY way_id HAVING count(*) >= 3)"""
+KITES = """edges AS (SELECT way_id, y - 600 AS lo_y, y + 900 AS hi_y, x - 500 AS lo_x, x + 400 AS hi_x, r[i] AS a, r[i % 4 + 1] AS b
+  FROM (SELECT *, [{'y': y - 600, 'x': x}, {'y': y, 'x': x + 400}, {'y': y + 900, 'x': x + 100}, {'y': y, 'x': x - 500}] AS r, unnest(range(1, 5)) AS i
+        FROM (SELECT way_id, lat_u AS y, lon_u AS x FROM way_refs JOIN nodes ON id = node_id WHERE pos = 0)))"""
 
 
 @R.add(
-    v.with_(v.NODES, v.WAY_REFS, RINGS)
-    + """, edges AS (SELECT way_id, lo_y, hi_y, lo_x, hi_x, r[i] AS a, r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END] AS b FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM rings)),
-       p AS (SELECT id, lat_u, lon_u FROM nodes WHERE id % 11 = 0 AND t_type = 'PROMO')
+    v.with_(v.NODES, v.WAY_REFS, KITES)
+    + """, p AS (SELECT id, lat_u, lon_u FROM nodes)
        SELECT way_id, id AS node_id FROM edges JOIN p ON lat_u BETWEEN lo_y AND hi_y AND lon_u BETWEEN lo_x AND hi_x
        GROUP BY way_id, id HAVING count(*) FILTER ((a.y > lat_u) <> (b.y > lat_u) AND
          CASE WHEN b.y > a.y THEN CAST(lon_u - a.x AS BIGINT) * (b.y - a.y) < CAST(lat_u - a.y AS BIGINT) * (b.x - a.x)
               ELSE CAST(lon_u - a.x AS BIGINT) * (b.y - a.y) > CAST(lat_u - a.y AS BIGINT) * (b.x - a.x) END) % 2 = 1"""
 )
 def nodes_in_rings(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes inside the rings of ways, found by grid cell and box before the ring is tried."""
-    shapes = places.way_shapes(v.way_refs(spark, d).where("way_id % 50 = 0"), v.nodes(spark, d), least=3)
-    box = lambda f, c: f(F.transform("points", lambda p: p[c]))
-    rings = shapes.select("way_id", "points", box(F.array_min, "lat_u").alias("min_lat"), box(F.array_min, "lon_u").alias("min_lon"), box(F.array_max, "lat_u").alias("max_lat"), box(F.array_max, "lon_u").alias("max_lon"))
-    points = v.nodes(spark, d).where("id % 11 = 0 AND tags['type'] = 'PROMO'").select("id", "lat_u", "lon_u")
+    """Nodes inside a kite around the first node of each way, found by grid cell and box before the ring is tried."""
+    firsts = v.way_refs(spark, d).where("pos = 0").join(v.nodes(spark, d), F.col("node_id") == F.col("id"))
+    at = lambda y, x: F.struct((F.col("lat_u") + y).alias("lat_u"), (F.col("lon_u") + x).alias("lon_u"))
+    kite = F.array(at(-600, 0), at(0, 400), at(900, 100), at(0, -500))
+    low = lambda c, by: (F.col(c) + by).cast("int")
+    rings = firsts.select("way_id", kite.alias("points"), low("lat_u", -600).alias("min_lat"), low("lon_u", -500).alias("min_lon"), low("lat_u", 901).alias("max_lat"), low("lon_u", 401).alias("max_lon"))
+    points = v.nodes(spark, d).select("id", "lat_u", "lon_u")
     met = tiling.point_tiles(points, rings.withColumnRenamed("way_id", "tile"), bits=14).join(rings.select("way_id", "points"), F.col("tile") == F.col("way_id"))
     return met.where(places.in_ring(F.col("lat_u"), F.col("lon_u"), F.col("points"))).select("way_id", F.col("id").alias("node_id"))
 
@@ -277,7 +290,7 @@ def nodes_in_rings(spark: SparkSession, d: str) -> DataFrame:
          FROM (SELECT way_id, r[i] AS a, r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END] AS b FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM rings)) GROUP BY way_id"""
 )
 def ring_areas(spark: SparkSession, d: str) -> DataFrame:
-    shapes = places.way_shapes(v.way_refs(spark, d).where("way_id % 50 = 0"), v.nodes(spark, d), least=3)
+    shapes = places.way_shapes(v.way_refs(spark, d), v.nodes(spark, d), least=3)
     return shapes.select("way_id", places.ring_area2(F.col("points")).alias("area2"))
 
 

@@ -27,7 +27,7 @@ TREE = """tree AS (SELECT 'r' || r_regionkey AS id, r_name AS name, NULL AS pare
 
 @R.add(
     v.with_(TREE)
-    + """SELECT id, name, CAST((CASE WHEN a > 0 THEN a - 1 ELSE b - 1 END) * 100 + length(name) + CASE WHEN url IS NULL THEN 5000 ELSE 0 END + CASE WHEN a > 0 THEN 0 ELSE 20 END AS BIGINT) AS score
+    + """SELECT id, name, CAST((CASE WHEN a > 0 THEN a - 1 ELSE b - 1 + 20 END) * 100 + length(name) + CASE WHEN url IS NULL THEN 5000 ELSE 0 END AS BIGINT) AS score
          FROM (SELECT *, instr(lower(name), '12') AS a, instr(lower(id), '12') AS b FROM tree) WHERE a > 0 OR b > 0 ORDER BY score, name, id LIMIT 300"""
 )
 def region_search(spark: SparkSession, d: str) -> DataFrame:

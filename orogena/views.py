@@ -83,7 +83,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("cell", "row", "col", F.when((r * 128 + c + k) % 97 != 0, height.cast("int")).alias("height"))
 
 
-RASTER = """raster AS (
+RASTER = """raster AS MATERIALIZED (
   SELECT cell, "row", col, CASE WHEN ("row" * 128 + col + cell) % 97 <> 0
            THEN CAST(("row" * "row" + 3 * col * col + "row" * col * (cell + 2) + 17 * cell) % 211 + floor(("row" + col) / 4) AS INTEGER) END AS height
   FROM (SELECT CAST(r_regionkey AS INTEGER) AS cell FROM region),
