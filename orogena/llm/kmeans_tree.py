@@ -4,9 +4,9 @@ The tree is fitted on a bounded sample; every vector is then filed under its lea
 first: a priority queue holds the branches not taken, by the inner product of the query with their centre plus what the
 branch's spread may add, and gives the leaves in the order of their promise.  How many leaves a query visits is
 calibrated: on a bounded sample of queries, whose true neighbours come from a full scan in blocks, the visits widen
-until recall reaches the target.  Vectors lie in blocks of bounded size: several leaves that are neighbours in the tree share one, and a
-leaf that holds much of the table has many.  A query meets the blocks of the leaves that it visits; each block
-returns its best for each query, and the bests are merged.
+until recall reaches the target.  A query meets the leaves that it visits and no others: a leaf's vectors lie in blocks of
+bounded size, its queries in chunks of bounded size, and each block returns its best for each query of a chunk; the
+bests are merged.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from orogena.llm.common import stash
 #: Bounds of the samples that fit the tree and calibrate the visits.
 FIT, CALIBRATE = 8_192, 128
 BRANCH, LEAF = 8, 64
-#: Vectors in a block of a leaf.
-BLOCK = 2_048
+#: Vectors in a block of a leaf, and queries in a chunk of those that visit it.
+BLOCK = CHUNK = 2_048
 #: Recall that the calibration sample reaches before visits stop widening.
-TARGET = 0.97
+TARGET = 0.95
 
 
 @dataclass
@@ -58,12 +58,16 @@ class Tree:
             open_ = open_[[bool(self.children[i]) for i in at[open_]]]
         return self.leaf[at]
 
-    def walk(self, q: np.ndarray) -> np.ndarray:
-        """All leaves, best bin first: by the largest inner product that a branch's centre and spread promise."""
+    def walk(self, q: np.ndarray, visits: int | None = None, sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """The first leaves, or all, best bin first: by the largest inner product that a branch's centre and spread promise.
+
+        It goes on beyond ``visits`` until the leaves hold ``least`` vectors by their ``sizes``.
+        """
+        held = 0
         size = float(np.sqrt(q @ q))
         queue = [(0.0, 0)]
         out: list[int] = []
-        while queue:
+        while queue and (visits is None or len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             while kids := self.children[node]:
                 promise = self.centre[kids] @ q + 0.5 * size * self.radius[kids]
@@ -72,6 +76,7 @@ class Tree:
                     heapq.heappush(queue, (-float(promise[k]), kids[k]))
                 node = kids[order[0]]
             out.append(int(self.leaf[node]))
+            held += int(sizes[out[-1]]) if sizes is not None else 0
         return np.array(out, np.int32)
 
 
@@ -127,8 +132,11 @@ def _best(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
                 some[i] = np.argsort(-s[i], kind="stable")[:k]
         else:
             some = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        top = np.take_along_axis(s, some, 1)
-        good = np.isfinite(top)
+        good = np.isfinite(np.take_along_axis(s, some, 1))
+        # in one order of terms, so that equal vectors have equal scores in whatever block they lie
+        top = np.zeros(some.shape)
+        for d in range(x.shape[1]):
+            top += q[at : at + 512, d, None] * x[some, d]
         out.append((np.broadcast_to(own[:, None], some.shape)[good], ids[some][good], top[good]))
     return tuple(map(np.concatenate, zip(*out))) if out else (ids[:0], ids[:0], np.zeros(0))
 
@@ -172,14 +180,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Nearness is the inner product in double precision, ties go to the smaller id.  ``is_query`` is a condition on
     vec_id.  Vectors that are null, zero or hold a null or a component that isn't finite take no part, nor do rows with a
-    null id; vectors must be of one length.  Of rows that repeat an id each is a candidate of its own for other ids, and the least vector is that id's query.
+    null id, nor vectors of another length than the most frequent one (of several, the longest).  Of rows that repeat an id each is a candidate of its own for other ids, and the least vector is that id's query.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    good = stash(usable(vectors, id_col, vec_col), "vectors")
-    n = good.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = stash(usable(vectors, id_col, vec_col).withColumn("width", F.size("v")), "vectors")
+    widths = good.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if not widths:
+        return empty
+    good = good.where(F.col("width") == widths["width"]).select("vec_id", "v")
     order = F.xxhash64("vec_id")
     fit = good.orderBy(order, "vec_id").limit(FIT).toArrow()
     width = len(fit["v"][0])
@@ -191,14 +201,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     filed = stash(good.mapInArrow(file, "vec_id long, v array<double>, leaf int"), "filed")
     sizes = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    # neighbouring leaves share a block while they fit; a leaf beyond that has several, its vectors dealt by a hash of the id
-    first, parts = blocks_of(np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)]))
-    table = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, parts))], "leaf int, first int, parts int")
     queries = good.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     sample = queries.orderBy(order, "vec_id").limit(CALIBRATE).toArrow()
     if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return empty
     ids, q = sample["vec_id"].to_numpy(), _matrix(sample["v"], width)
     ids, at = np.unique(ids, return_index=True)
     q = q[at]
@@ -206,16 +213,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     leaf_of = truth.join(filed.select("vec_id", "leaf").groupBy("vec_id").agg(F.min("leaf").alias("leaf")), "vec_id").select("query_id", "leaf").toArrow()
     visits = calibrated(tree, dict(zip(ids.tolist(), q)), leaf_of["query_id"].to_pylist(), leaf_of["leaf"].to_pylist(), target)
 
+    held = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in _matrix(batch.column(1), width):
-                leaves = tree.walk(v)[:visits]
-                out.append(np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in leaves])).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["query_id", "q", "blocks"])
-
-    asked = queries.mapInArrow(walk, "query_id long, q array<double>, blocks array<int>").select("query_id", "q", F.explode("blocks").alias("block"))
-    dealt = filed.join(F.broadcast(table), "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), "vec_id", "v")
+            out = [tree.walk(v, visits, held, k + 1).astype(np.int32) for v in _matrix(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["query_id", "q", "leaves"])
+
+    asked = stash(queries.repartition("vec_id").mapInArrow(walk, "query_id long, q array<double>, leaves array<int>"), "asked")
+    # a leaf's vectors are dealt into blocks and its queries into chunks, both by a hash of the id; each block meets each chunk
+    called = {r["leaf"]: r["n"] for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    deal = [(leaf, max(1, -(-sizes.get(leaf, 0) // BLOCK)), max(1, -(-called.get(leaf, 0) // CHUNK))) for leaf in range(tree.leaves)]
+    deal = F.broadcast(spark.createDataFrame(deal, "leaf int, blocks int, chunks int"))
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(deal, "leaf").select("leaf", part("query_id", "chunks").alias("chunk"), upto("blocks").alias("block"), "query_id", "q")
+    dealt = filed.join(deal, "leaf").select("leaf", upto("chunks").alias("chunk"), part("vec_id", "blocks").alias("block"), "vec_id", "v")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -223,23 +236,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         got = _best(a["query_id"].to_numpy(), _matrix(a["q"], width), b["vec_id"].to_numpy(), _matrix(b["v"], width), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
-    best = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(search, RESULT)
+    key = ["leaf", "chunk", "block"]
+    best = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(search, RESULT)
     return ranked(best, k)
 
 
-def blocks_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first block of each leaf and how many it has, for leaves of these sizes in order."""
-    first, parts, block, full = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
-    for i, n in enumerate(sizes):
-        if full and full + n > BLOCK:
-            block, full = block + 1, 0
-        first[i], parts[i] = block, max(1, -(-n // BLOCK))
-        full += n
-        if parts[i] > 1:
-            block, full = block + int(parts[i]), 0
-    return first, parts
-
-
 def calibrated(tree: Tree, queries: dict[int, np.ndarray], query: list[int], leaf: list[int], target: float) -> int:
     """The least number of leaves, doubled from 4 and then halved into place, whose recall on the sample reaches the target."""
     place = {i: {int(x): p for p, x in enumerate(tree.walk(v))} for i, v in queries.items()}

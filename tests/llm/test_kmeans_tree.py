@@ -65,8 +65,22 @@ def test_tree_files_and_walks_every_leaf():
     assert same.leaves == 1 and (same.file(np.ones((3, 4))) == 0).all()
 
 
-def test_blocks():
-    from orogena.llm.kmeans_tree import BLOCK, blocks_of
+def test_a_query_meets_few_leaves(spark):
+    """Where vectors lie in clusters the walk ends early, and what it has met holds the neighbours."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=16) * 0.3]) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    check(nearest(df, F.col("vec_id") % 20 == 0).collect(), brute(rows, 20), 0.9)
+    x = np.array([v for _, v in rows])
+    tree = fitted(x)
+    sizes = np.bincount(tree.file(x), minlength=tree.leaves)
+    walked = [tree.walk(q, 8, sizes, 21) for q in x[::200]]
+    assert all(sizes[w].sum() >= 21 and sizes[w].sum() < 0.5 * len(x) for w in walked)
+    assert all((tree.walk(q)[: len(w)] == w).all() for q, w in zip(x[::200], walked))
+
 
-    first, parts = blocks_of(np.array([10, 20, BLOCK - 30, 1, 3 * BLOCK + 1, 5, 0]))
-    assert first.tolist() == [0, 0, 0, 1, 2, 6, 6] and parts.tolist() == [1, 1, 1, 1, 4, 1, 1]
+def test_another_length_takes_no_part(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(100, [1.0]), (120, [1.0, 2.0, 3.0]), (7, [])], "vec_id long, embedding array<float>")
+    got = nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(0, 1), (0, 2), (0, 3), (20, 29), (20, 28), (20, 27)]
