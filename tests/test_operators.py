@@ -158,3 +158,11 @@ def test_entry_is_the_census(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_an_id_match_ranks_behind_names(spark):
+    from orogena.operators import regions
+
+    tree = spark.createDataFrame([("xalps", "Some", None, "u"), ("b", "The long name before the alps", None, "u"), ("c", "Alps", None, None)], "id string, name string, parent string, url string")
+    assert [(r.id, r.score) for r in regions.search(tree, " alps ").collect()] == [("xalps", 2104), ("b", 2529), ("c", 5004)]
+    assert regions.search(tree, "  ").count() == 0
