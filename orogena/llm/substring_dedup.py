@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogena.llm.common import filter_bits, in_small_batches, key_filter, stash, through_filter
-from orogena.llm.kernels import mix, slices, span_hashes, word_spans
+from orogena.llm.kernels import mix, slices, span_hashes, texts, word_spans
 
 #: Words of the rolling window, words that a boundary stands out among, and the fewest words of a chunk.
 WINDOW, SPREAD, LEAST = 8, 16, 10
@@ -168,10 +168,13 @@ def windows(rows: DataFrame, words: int) -> DataFrame:
                     k, seed_at, first_row, away = k[other], seed_at[other], first_row[other], (first_at - seed_at)[other]
                     a, z = np.full(len(k), n), np.full(len(k), -1)
                     spans = batch.column(4)[first + t]
-                    for span in spans.as_py() if spans.is_valid else []:
-                        mine = (first_row == span["first_row"]) & (away == span["away"]) & (seed_at >= span["start"]) & (seed_at < span["end"])
-                        a[mine] = np.searchsorted(c.starts, span["start"] + c.begins[t])
-                        z[mine] = np.searchsorted(c.ends, span["end"] + c.begins[t], side="right") - 1 - words
+                    if spans.is_valid:
+                        start, end, of_row, of_away = (np.asarray(spans.values.field(k)).astype(np.int64) for k in range(4))
+                        low_of = np.searchsorted(c.starts, start + c.begins[t])
+                        high_of = np.searchsorted(c.ends, end + c.begins[t], side="right") - 1 - words
+                        for x in range(len(start)):
+                            mine = (first_row == of_row[x]) & (away == of_away[x]) & (seed_at >= start[x]) & (seed_at < end[x])
+                            a[mine], z[mine] = low_of[x], high_of[x]
                     low[k], high[k] = np.maximum(low[k], a), np.minimum(high[k], z)
                 closes = low <= high
                 shut = np.zeros(n + 1, np.int64)
@@ -341,25 +344,29 @@ def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_pylist():
-                a, b = r["a"].encode(), r["b"].encode()
+            row, first_row, doc, first_doc = (batch.column(k).to_pylist() for k in ("row", "first_row", "doc_id", "first_doc_id"))
+            flat, edges = batch.column("runs").flatten(), [0, *np.cumsum(np.asarray(batch.column("runs").value_lengths())).tolist()]
+            runs = list(zip(*(np.asarray(flat.field(k)).tolist() for k in range(3))))
+            for i, (a, b) in enumerate(zip(texts(batch.column("a")), texts(batch.column("b")))):
                 reach: dict[int, int] = {}
                 done: list[tuple[int, int, int]] = []
                 spans = None
-                for start, end, first in sorted((x["start"], x["end"], x["first_start"]) for x in r["runs"]):
+                for start, end, first in sorted(runs[edges[i] : edges[i + 1]]):
                     away = first - start
                     # what the same bytes go on to at the same distance is part of that repeat
                     sides = grown(a, start, b, first, end - start) if end > reach.get(away, -1) else None
                     if sides is None:
                         continue
                     reach[away] = end + sides[1]
+                    if end + sides[1] - start + sides[0] <= 2 * words:
+                        continue
                     whole = _whole(a, start - sides[0], end + sides[1], b, first - sides[0])
                     # a text of one word again and again tells the same of many distances
                     if any(s <= whole[0] and whole[1] <= e and s + x <= whole[0] + away and whole[1] + away <= e + x for s, e, x in done):
                         continue
                     if whole[1] - whole[0] <= 2 * words:
                         continue
-                    if r["row"] != r["first_row"]:
+                    if row[i] != first_row[i]:
                         found = [whole]
                     else:
                         spans = spans or _window_spans(a, words)
@@ -368,8 +375,9 @@ def _compared(runs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                         n = len(a[s:e].split())
                         if n > words:
                             done.append((s, e, away))
-                            out.append((r["doc_id"], r["row"], s, e, n, r["first_doc_id"], r["first_row"], s + away, False))
-            yield pa.RecordBatch.from_pylist([dict(zip(_RUNS.names, x)) for x in out], _RUNS)
+                            out.append((doc[i], row[i], s, e, n, first_doc[i], first_row[i], s + away, False))
+            columns = zip(*out) if out else [()] * len(_RUNS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _RUNS)], schema=_RUNS)
 
     return pairs.mapInArrow(run, RUNS)
 
