@@ -1,12 +1,12 @@
 """Scoring texts by a probabilistic suffix tree.
 
 A text is its words, A-Z lowered, with one blank between them and one end; the tree's symbols are the bytes of that.
-Tasks count every run of DEPTH + 1 symbols of the training texts, so what is shuffled grows with the corpus.  A
-context of up to DEPTH symbols is a candidate if it makes up at least LEAST of all places, which bounds the tree whatever the
-corpus, and is retained if its next-symbol distribution diverges from its parent's.  Distributions are smoothed
-towards the parent's by as much weight as there are distinct next symbols.  The retained contexts, with their prefixes, are the
-states of an automaton, so that the longest suffix of what was read is found by one look-up a symbol, in many
-segments of text side by side.
+Tasks count every run of DEPTH + 1 symbols of the training texts.  A context of up to DEPTH symbols that occurs LEAST times is a
+candidate, whatever the corpus, and is retained, with all runs inside it, if its next-symbol distribution diverges from its parent's.
+Distributions are smoothed towards the parent's by as much weight as there are distinct next symbols.  The tree is a written
+table that grows with the corpus.  Its most frequent contexts, HEAD at most, are the states of an automaton that every task has, so
+that the longest suffix of what was read is found by one look-up a symbol, in many segments of text side by side.  Where a filter
+can't rule out that a longer suffix is retained, the symbol and its context meet the tree in a join, so HEAD decides no score.
 
 Unigram counts of words come from the same pass.  Of those, the most frequent ones, COMMON at most, go to every task; other
 words meet their counts in a join.
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import stash
+from orogena.llm.common import filter_bits, stash
 from orogena.llm.kernels import slices, word_hashes
 from orogena.llm.quality import held_out
 
 DEPTH = 5
-#: Least share of all places that a context makes up; at most DEPTH / LEAST contexts do.
-LEAST = 1e-5
+#: Least occurrences of a context, and the contexts that every task has.
+LEAST, HEAD = 64, 1 << 15
 #: Least divergence of a context from its parent, in nats a symbol, and in nats over all its places.
 DIVERGENCE, EVIDENCE = 0.02, 20.0
 #: Words whose counts every task has.
@@ -54,17 +54,22 @@ def _padded(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(pad + pad.join(streams), np.uint8), ends - sizes, ends
 
 
-def grams(run: list[bytes]) -> np.ndarray:
-    """The code of each symbol with the DEPTH symbols before it, eight bits each."""
-    s, starts, ends = _padded(run)
+def _codes(s: np.ndarray) -> np.ndarray:
+    """The code of each symbol, from the one at DEPTH on, with the DEPTH symbols before it, eight bits each."""
     m = len(s) - DEPTH
     code = np.zeros(m, np.uint64)
     for k in range(DEPTH + 1):
         code = code << np.uint64(8) | s[k : k + m].astype(np.uint64)
-    told = np.zeros(m + 1, np.int8)
+    return code
+
+
+def grams(run: list[bytes]) -> np.ndarray:
+    """The codes of the texts' own symbols."""
+    s, starts, ends = _padded(run)
+    told = np.zeros(len(s) - DEPTH + 1, np.int8)
     told[starts - DEPTH] += 1
     np.subtract.at(told, ends - DEPTH, 1)
-    return code[np.cumsum(told[:-1]) > 0]
+    return _codes(s)[np.cumsum(told[:-1]) > 0]
 
 
 class _Tally:
@@ -122,17 +127,18 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class SuffixTree:
-    """The automaton: symbol of each byte, next state and log10 probability by state and symbol."""
+    """The automaton: symbol of each byte, next state and log10 probability by state and symbol; a filter over contexts beyond it."""
 
     symbol: np.ndarray
     to: np.ndarray
     log10: np.ndarray
     contexts: list[bytes]
+    beyond: np.ndarray | None = None
 
-    def scores(self, run: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text."""
-        s, starts, ends = _padded(run)
-        s = self.symbol[s]
+    def scores(self, run: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The log10 probability of each text, without the symbols whose codes and times follow: those that may have a longer context."""
+        raw, starts, ends = _padded(run)
+        s = self.symbol[raw]
         width = self.to.shape[1]
         to, log10 = self.to.ravel(), self.log10.ravel()
         per = -(-(ends - starts) // SEGMENT)
@@ -144,17 +150,40 @@ class SuffixTree:
         at, own, size = at[order] - DEPTH, own[order], size[order]
         live = np.searchsorted(-size, -np.arange(SEGMENT) - 0.5)  # segments longer than each number
         state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
+        before = None if self.beyond is None else np.full(len(s), -1, np.int32)
         for t in range(DEPTH + (int(size[0]) if len(size) else 0)):
             m = len(at) if t < DEPTH else live[t - DEPTH]
             cell = state[:m] * width + s[at[:m] + t]
             if t >= DEPTH:
                 total[:m] += log10[cell]
+                if before is not None:
+                    before[at[:m] + t] = state[:m]
             state[:m] = to[cell]
-        return np.bincount(own, total, len(run))
+        score, none = np.bincount(own, total, len(run)), np.zeros(0, np.int64)
+        if before is None:
+            return score, [none] * len(run), [none] * len(run)
+        depth = np.array([len(c) for c in self.contexts], np.uint64)
+        place = np.flatnonzero(before >= 0)
+        code, longer = _codes(raw)[place - DEPTH], depth[before[place]] + np.uint64(1)
+        suffix = (code >> np.uint64(8)) & ((np.uint64(1) << np.uint64(8) * longer) - np.uint64(1))
+        slot = (_slot(suffix, longer) % np.uint64(64 * len(self.beyond))).astype(np.int64)
+        may = (longer <= DEPTH) & (self.beyond[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) > 0)
+        place, code = place[may], code[may].astype(np.int64)
+        text = np.searchsorted(ends, place, side="right")
+        score -= np.bincount(text, log10[before[place] * np.int64(width) + s[place]], len(run))
+        got = [np.unique(x, return_counts=True) for x in np.split(code, np.searchsorted(text, np.arange(1, len(run))))]
+        return score, [x for x, _ in got], [n for _, n in got]
+
+
+def _slot(context, length):
+    """A number that spreads contexts, for columns and arrays alike; nothing overflows."""
+    low, high = (context % 1048576, F.shiftright(context, 20)) if not isinstance(context, np.ndarray) else (context % np.uint64(1 << 20), context >> np.uint64(20))
+    own = (lambda x: x) if not isinstance(context, np.ndarray) else np.uint64
+    return low * own(1048573) + high * own(40503) + length * own(7919)
 
 
 def grown(context: np.ndarray, length: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> SuffixTree:
-    """The tree of candidate contexts: rows (context code, its length, next symbol, count), the empty context included."""
+    """The automaton of contexts: rows (context code, its length, next symbol, count), the empty one and all runs inside one included."""
     seen = np.unique(np.concatenate([symbol[length == 0], [END]]))
     code_of = np.full(256, len(seen), np.int64)  # bytes never seen share the last symbol, each as one byte of its chance
     code_of[seen] = np.arange(len(seen))
@@ -162,62 +191,107 @@ def grown(context: np.ndarray, length: np.ndarray, symbol: np.ndarray, n: np.nda
     root = np.zeros(width)
     root[code_of[symbol[length == 0]]] = n[length == 0]
     root = (root + 0.5) / (root.sum() + 0.5 * 256)
-    candidates: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     rows = np.lexsort((symbol, context, length))
     context, length, symbol, n = context[rows], length[rows], symbol[rows], n[rows]
     first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (length[1:] != length[:-1])])) if len(n) else np.zeros(0, int)
-    for a, b in zip(first, [*first[1:], len(n)]):
-        if length[a]:
-            candidates[int(length[a]), int(context[a])] = code_of[symbol[a:b]], n[a:b]
     smooth: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
-    kept: set[tuple[int, int]] = {(0, 0)}
-    for d, c in sorted(candidates):
-        at, x = candidates[d, c]
-        up = smooth.get((d - 1, c & ((1 << 8 * (d - 1)) - 1)))
-        if up is None:
-            continue
-        p = up * (len(at) / (x.sum() + len(at)))
-        p[at] += x / (x.sum() + len(at))
-        smooth[d, c] = p
-        share = x / x.sum()
-        gain = float((share * np.log(share / up[at])).sum())
-        if gain >= DIVERGENCE and gain * x.sum() >= EVIDENCE:
-            for k in range(d, 0, -1):  # with its suffixes and prefixes, which are at least as frequent
-                for shift in range(d - k + 1):
-                    kept.add((k, c >> 8 * shift & ((1 << 8 * k) - 1)))
-    states = [s for s in sorted(kept) if s in smooth]
-    number = {s: i for i, s in enumerate(states)}
-    to, log10 = np.zeros((len(states), width), np.int32), np.zeros((len(states), width), np.float32)
-    for i, (d, c) in enumerate(states):
-        log10[i] = np.log10(smooth[d, c])
+    for a, b in zip(first, [*first[1:], len(n)]):
+        d, c = int(length[a]), int(context[a])
+        if d:
+            at, x = code_of[symbol[a:b]], n[a:b]
+            p = smooth[d - 1, c & ((1 << 8 * (d - 1)) - 1)] * (len(at) / (x.sum() + len(at)))
+            p[at] += x / (x.sum() + len(at))
+            smooth[d, c] = p
+    number = {s: i for i, s in enumerate(smooth)}
+    to, log10 = np.zeros((len(smooth), width), np.int32), np.zeros((len(smooth), width), np.float32)
+    for i, ((d, c), p) in enumerate(smooth.items()):
+        log10[i] = np.log10(p)
         if d:
             to[i] = to[number[d - 1, c & ((1 << 8 * (d - 1)) - 1)]]
-        for b in seen:
-            if d < DEPTH and (j := number.get((d + 1, c << 8 | int(b)))) is not None:
+        for b in seen if d < DEPTH else ():
+            if (j := number.get((d + 1, c << 8 | int(b)))) is not None:
                 to[i, code_of[b]] = j
-    return SuffixTree(code_of.astype(np.int64), to, log10, [c.to_bytes(d, "big") for d, c in states])
+    return SuffixTree(code_of.astype(np.int64), to, log10, [c.to_bytes(d, "big") for d, c in smooth])
 
 
-def learned(tallied: DataFrame) -> SuffixTree:
-    """The tree from a written table of :func:`counts`."""
+def retained(tallied: DataFrame) -> DataFrame:
+    """The tree, a written table (d, context, symbol, n, total, p, b) of the symbols seen after each context that is retained.
+
+    p is the log10 probability of the symbol, b the log10 weight that the context and its suffixes leave to the root.
+    """
     symbols = tallied.where(F.col("kind") == SYMBOL)
-    places = symbols.agg(F.sum("n")).first()[0] or 0
     lengths = F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("run")) for d in range(DEPTH + 1)])
     runs = symbols.select(F.explode(lengths).alias("x"), "n").groupBy("x.d", "x.run").agg(F.sum("n").alias("n"))
-    runs = stash(runs.select("d", F.shiftright("run", 8).alias("context"), F.col("run").bitwiseAND(255).cast("int").alias("symbol"), "n"), "runs")
-    frequent = runs.groupBy("d", "context").agg(F.sum("n").alias("total")).where((F.col("d") == 0) | (F.col("total") >= LEAST * places)).drop("total")
-    got = runs.join(F.broadcast(frequent), ["d", "context"]).select("context", "d", "symbol", "n").toArrow()
+    runs = runs.select("d", F.shiftright("run", 8).alias("context"), F.col("run").bitwiseAND(255).cast("int").alias("symbol"), "n")
+    totals = runs.groupBy("d", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("symbol", "n")).alias("next"))
+    runs = stash(totals.where((F.col("d") == 0) | (F.col("total") >= LEAST)).select("d", "context", "total", "kinds", F.inline("next")), "runs")
+    root = F.log10((F.col("n") + 0.5) / (F.col("total") + 0.5 * 256))
+    levels = [stash(runs.where("d = 0").select("d", "context", "symbol", "n", "total", root.alias("p"), F.lit(0.0).alias("b"), F.lit(0.0).alias("up")), "level")]
+    for d in range(1, DEPTH + 1):
+        up = levels[-1].select(F.col("context").alias("parent"), F.col("symbol").alias("s"), F.col("p").alias("up"), F.col("b").alias("up_b"))
+        here = runs.where(F.col("d") == d).withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (d - 1)) - 1))
+        met = here.join(up, (here["parent"] == up["parent"]) & (here["symbol"] == up["s"]))
+        p = F.log10((F.col("n") + F.col("kinds") * F.pow(F.lit(10.0), "up")) / (F.col("total") + F.col("kinds")))
+        b = F.col("up_b") + F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))
+        levels.append(stash(met.select("d", "context", "symbol", "n", "total", p.alias("p"), b.alias("b"), "up"), "level"))
+    told = levels[0]
+    for level in levels[1:]:
+        told = told.unionByName(level)
+    share = F.col("n") / F.col("total")
+    gain = F.sum(share * (F.ln(share) - F.col("up") * F.ln(F.lit(10.0))))
+    apart = told.where("d > 0").groupBy("d", "context").agg(gain.alias("gain"), F.max("total").alias("total")).where((F.col("gain") >= DIVERGENCE) & (F.col("gain") * F.col("total") >= EVIDENCE))
+    # with the runs inside a context, which are at least as frequent
+    inside = F.flatten(F.transform(F.sequence(F.lit(1), "d"), lambda k: F.transform(F.sequence(F.lit(0), F.col("d") - k), lambda x: F.struct(k.alias("d"), _part("context", k, x).alias("context")))))
+    kept = apart.select(F.explode(inside).alias("x")).select("x.d", "x.context").distinct()
+    return stash(told.where("d = 0").unionByName(told.join(kept, ["d", "context"], "left_semi")).drop("up"), "tree")
+
+
+def _part(context: str, length, shift):
+    """The symbols of a context before its last ``shift`` ones, as many as ``length``."""
+    right, low = (F.call_function(f, F.col(context) if f == "shiftright" else F.lit(1).cast("long"), n) for f, n in (("shiftright", shift * 8), ("shiftleft", length * 8)))
+    return right.bitwiseAND(low - 1)
+
+
+def learned(tree: DataFrame) -> SuffixTree:
+    """The automaton of the most frequent contexts of a written tree, and the filter over the others."""
+    contexts = tree.groupBy("d", "context").agg(F.max("total").alias("n"))
+    least = least_common(contexts, HEAD)
+    got = tree.where((F.col("d") == 0) | (F.col("total") >= least)).select("context", "d", "symbol", "n").toArrow()
     column = lambda k: got[k].to_numpy().astype(np.int64)
-    return grown(column("context"), column("d"), column("symbol"), column("n"))
-
-
-def least_common(words: DataFrame) -> int:
-    """The least count such that at most COMMON words (key, n) have it or more, to a quarter of a power of two."""
-    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    out = grown(column("context"), column("d"), column("symbol"), column("n"))
+    others = contexts.where((F.col("d") > 0) & (F.col("n") < least))
+    count = others.count()
+    if count:
+        bits = filter_bits(count)
+        slot = _slot(F.col("context"), F.col("d")) % (1 << bits)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+        words = others.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()  # 2^19 at most
+        out.beyond = np.zeros(1 << bits - 6, np.uint64)
+        out.beyond[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def resolved(codes: DataFrame, tree: DataFrame) -> DataFrame:
+    """(key, value): the log10 probability of each distinct symbol with its context, a column key of codes, by the longest suffix that the tree has."""
+    keys = F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1).alias("context"), s.alias("symbol")) for d in range(DEPTH + 1) for s in (F.col("key").bitwiseAND(255).cast("int"), F.lit(-1))])
+    wanted = codes.select("key", F.explode(keys).alias("x")).select("key", "x.d", "x.context", "x.symbol")
+    seen = tree.select("d", "context", "symbol", (F.col("p") - F.col("b")).alias("v"))
+    left = tree.groupBy("d", "context").agg(F.lit(-1).alias("symbol"), F.max("b").alias("v"))
+    total = tree.where("d = 0").agg(F.max("total")).first()[0]
+    found = wanted.join(seen.unionByName(left), ["d", "context", "symbol"])
+    own = F.max_by(F.when(F.col("symbol") >= 0, F.col("v")), F.when(F.col("symbol") >= 0, F.col("d")))
+    weight = F.max_by(F.when(F.col("symbol") < 0, F.col("v")), F.when(F.col("symbol") < 0, F.col("d")))
+    # a byte never seen has half a count
+    return found.groupBy("key").agg((F.coalesce(own, F.log10(F.lit(0.5 / (total + 0.5 * 256)))) + weight).alias("value"))
+
+
+def least_common(counted: DataFrame, most: int) -> int:
+    """The least count n such that at most ``most`` rows of ``counted`` have it or more, to a quarter of a power of two."""
+    steps = counted.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
     least, held = 1 << 62, 0
     for r in steps:  # a few hundred at most
-        held += r["words"]
-        if held > COMMON:
+        held += r["rows"]
+        if held > most:
             break
         least = r["n"]
     return least
@@ -232,10 +306,11 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tallied = stash(counts(rows.where(~held_out(F.col("doc_id"), remainder))), "counts")
-    tree = learned(tallied)
+    contexts = retained(tallied)
+    tree = learned(contexts)
     words = tallied.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = words.where(F.col("n") >= least_common(words)).toArrow()
+    common = words.where(F.col("n") >= least_common(words, COMMON)).toArrow()
     order = np.argsort(common["key"].to_numpy())
     keys, of_key = common["key"].to_numpy()[order], common["n"].to_numpy()[order]
     whole = total + 0.5 * (distinct + 1)
@@ -245,7 +320,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(1)):
-                scores = tree.scores(part)
+                scores, codes, often = tree.scores(part)
                 n, base, known, rare, times = [], [], [], [], []
                 for h in word_hashes(part):
                     word, x = np.unique(np.append(h, np.uint64(END_HASH)).view(np.int64), return_counts=True)
@@ -259,26 +334,33 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     rare.append(word[~done])
                     times.append(x[~done])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    ["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "times"],
+                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
+                    ["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "times", "codes", "often"],
                 )
 
-    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
-    if not complete:
-        # each rare word takes its count from the join; a document's own figures travel with its first entry, whose
-        # key is a hash of the row so that these entries spread
-        head = scored.select("row", F.array(F.struct(F.lit(None).cast("long").alias("rare"), F.lit(0).cast("long").alias("times"))).alias("first"), "doc_id", "n_tokens", "known", "base", "score", "rare", "times")
-        entries = head.select("row", F.posexplode(F.concat("first", F.arrays_zip("rare", "times"))).alias("at", "e"), "doc_id", "n_tokens", "known", "base", "score")
-        own = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
-        entries = entries.select("row", (F.col("at") > 0).alias("told"), F.when(F.col("at") > 0, F.col("e.rare")).otherwise(F.xxhash64("row")).alias("key"), F.col("e.times").alias("times"), *map(own, ("doc_id", "n_tokens", "known", "base", "score")))
-        met = entries.join(words, "key", "left")
-        part = F.when(F.col("told"), F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole)))
+    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        run, "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>, codes array<long>, often array<long>"
+    )
+    if not complete or tree.beyond is not None:
+        # rare words and symbols of rare contexts take their figures from a join; a document's own figures travel with its
+        # first entry, whose key is a hash of the row so that these entries spread
+        scored = stash(scored, "scored")
+        codes = scored.select(F.explode("codes").alias("key")).distinct()
+        figures = words.select(F.lit(WORD).alias("kind"), "key", F.log10((F.col("n") + 0.5) / F.lit(whole)).alias("value"))
+        figures = figures.unionByName(resolved(codes, contexts).select(F.lit(SYMBOL).alias("kind"), "key", "value"))
+        entry = lambda kind, key, times: F.transform(F.arrays_zip(key, times), lambda x: F.struct(F.lit(kind).alias("kind"), x[key].alias("key"), x[times].alias("times")))
+        first = F.array(F.struct(F.lit(-1).alias("kind"), F.xxhash64("row").alias("key"), F.lit(0).cast("long").alias("times")))
+        own = lambda c: F.when(F.col("e.kind") < 0, F.col(c)).alias(c)
+        entries = scored.select("row", F.explode(F.concat(first, entry(WORD, "rare", "times"), entry(SYMBOL, "codes", "often"))).alias("e"), "doc_id", "n_tokens", "known", "base", "score")
+        met = entries.select("row", "e.kind", "e.key", "e.times", *map(own, ("doc_id", "n_tokens", "known", "base", "score"))).join(figures, ["kind", "key"], "left")
+        word, unseen = F.col("kind") == WORD, F.log10(F.lit(0.5 / whole))
+        sum_of = lambda told, x: F.coalesce(F.sum(F.when(told, F.col("times") * x)), F.lit(0))
         scored = met.groupBy("row").agg(
             F.max("doc_id").alias("doc_id"),
             F.max("n_tokens").alias("n_tokens"),
-            (F.max("known") + F.coalesce(F.sum(F.when(F.col("told") & F.col("n").isNotNull(), F.col("times"))), F.lit(0))).alias("known"),
-            (F.max("base") + F.coalesce(F.sum(part), F.lit(0.0))).alias("base"),
-            F.max("score").alias("score"),
+            (F.max("known") + sum_of(word & F.col("value").isNotNull(), F.lit(1))).alias("known"),
+            (F.max("base") + sum_of(word, F.coalesce("value", unseen))).alias("base"),
+            (F.max("score") + sum_of(F.col("kind") == SYMBOL, F.col("value"))).alias("score"),
         )
     return scored.select(
         "doc_id",

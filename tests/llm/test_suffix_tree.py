@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import orogena.llm.suffix_tree as st
-from orogena.llm.suffix_tree import DEPTH, grams, learned, stream, suffix_tree_scores
+from orogena.llm.suffix_tree import DEPTH, grams, learned, retained, stream, suffix_tree_scores
 
 
 def unigram(rows):
@@ -37,22 +38,22 @@ def plain_score(tree, text):
     read, total = b"\n" * DEPTH, 0.0
     for b in stream(text):
         k = next(k for k in range(DEPTH, -1, -1) if read[len(read) - k :] in states)
-        total += tree.log10[states[read[len(read) - k :]], tree.symbol[b]]
+        total += float(tree.log10[states[read[len(read) - k :]], tree.symbol[b]])
         read += bytes([b])
     return total
 
 
 def test_automaton_finds_the_longest_suffix(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    tree = learned(st.counts(docs.where("doc_id < 400")))
+    tree = learned(retained(st.counts(docs.where("doc_id < 400"))))
     assert max(map(len, tree.contexts)) >= 3
     texts = [r.text.encode() for r in docs.where("doc_id BETWEEN 400 AND 412").collect()] + [b"", b"  ", b"\xff\x00 odd", b"word " * 3_000]
-    got = tree.scores(texts)
+    got = tree.scores(texts)[0]
     assert np.allclose(got, [plain_score(tree, t) for t in texts], rtol=1e-5)
 
 
 def test_distributions_sum_to_one(spark):
-    tree = learned(st.counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    tree = learned(retained(st.counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))))
     p = 10.0 ** tree.log10.astype(float)
     unseen = 256 - (p.shape[1] - 1)
     assert np.allclose(p[:, :-1].sum(axis=1) + unseen * p[:, -1], 1, atol=1e-3)
@@ -77,3 +78,23 @@ def test_counts_are_those_of_plain_python():
 def test_empty_and_clashing(none, clashing):
     assert suffix_tree_scores(none).count() == 0
     assert suffix_tree_scores(clashing).count() == 6
+
+
+@pytest.mark.parametrize("head", [1, 60, 700])
+def test_the_automaton_decides_no_score(spark, monkeypatch, odd, head):
+    """Contexts beyond the automaton give by the join what they give inside it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id > 4").select(F.col("doc_id") + 10**9, "text").toDF("doc_id", "text"))
+    scores = lambda: {r.doc_id: r for r in suffix_tree_scores(docs).collect()}
+    whole = scores()
+    monkeypatch.setattr(st, "HEAD", head)
+    got = scores()
+    assert got.keys() == whole.keys()
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known) == (whole[i].n_tokens, whole[i].n_known)
+        assert math.isclose(r.score, whole[i].score, rel_tol=1e-5) and math.isclose(r.base_score, whole[i].base_score, rel_tol=1e-9)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    size = lambda frame: retained(st.counts(frame)).select("d", "context").distinct().count()
+    assert size(docs) > 1.5 * size(docs.where("doc_id % 10 = 0"))
