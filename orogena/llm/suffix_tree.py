@@ -28,7 +28,7 @@ from orogena.llm.quality import held_out
 
 DEPTH = 5
 #: Least occurrences of a context, and the contexts that every task has.
-LEAST, HEAD = 64, 1 << 15
+LEAST, HEAD = 64, 1 << 16
 #: Least divergence of a context from its parent, in nats a symbol, and in nats over all its places.
 DIVERGENCE, EVIDENCE = 0.02, 20.0
 #: Words whose counts every task has.
@@ -163,11 +163,12 @@ class SuffixTree:
         if before is None:
             return score, [none] * len(run), [none] * len(run)
         depth = np.array([len(c) for c in self.contexts], np.uint64)
-        place = np.flatnonzero(before >= 0)
-        code, longer = _codes(raw)[place - DEPTH], depth[before[place]] + np.uint64(1)
+        place = np.flatnonzero((before >= 0) & (depth < DEPTH)[before])
+        longer = depth[before[place]] + np.uint64(1)
+        code = _codes(raw)[place - DEPTH]
         suffix = (code >> np.uint64(8)) & ((np.uint64(1) << np.uint64(8) * longer) - np.uint64(1))
-        slot = (_slot(suffix, longer) % np.uint64(64 * len(self.beyond))).astype(np.int64)
-        may = (longer <= DEPTH) & (self.beyond[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) > 0)
+        slot = _slot(suffix, longer) & np.uint64(64 * len(self.beyond) - 1)
+        may = self.beyond[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
         place, code = place[may], code[may].astype(np.int64)
         text = np.searchsorted(ends, place, side="right")
         score -= np.bincount(text, log10[before[place] * np.int64(width) + s[place]], len(run))
@@ -177,7 +178,7 @@ class SuffixTree:
 
 def _slot(context, length):
     """A number that spreads contexts, for columns and arrays alike; nothing overflows."""
-    low, high = (context % 1048576, F.shiftright(context, 20)) if not isinstance(context, np.ndarray) else (context % np.uint64(1 << 20), context >> np.uint64(20))
+    low, high = (context % 1048576, F.shiftright(context, 20)) if not isinstance(context, np.ndarray) else (context & np.uint64((1 << 20) - 1), context >> np.uint64(20))
     own = (lambda x: x) if not isinstance(context, np.ndarray) else np.uint64
     return low * own(1048573) + high * own(40503) + length * own(7919)
 
