@@ -7,11 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orogena.functions.units import leading_number
+from orogena.functions.units import elevation, leading_number
 
 # Fixed values of the data model: tag values in the order that the classes are tried.
 FENCES = ["fence", "wall", "city_wall", "retaining_wall", "hedge", "guard_rail"]
 RAVINES = ["valley", "gully", "ravine"]
+ROADS = [
+    "motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service", "track", "path", "footway", "cycleway",
+    "bridleway", "living_street", "road", "steps", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "pedestrian", "construction",
+]
+POINT_KEYS = ["natural", "amenity", "tourism", "historic", "shop", "leisure", "man_made", "waterway", "mountain_pass", "information", "office", "craft", "aerialway", "place"]
+DESCRIPTION_KEYS = ["description:ru", "description", "description:en"]
 
 
 def closed(refs: Column) -> Column:
@@ -38,6 +44,27 @@ def obstacle(tags: Column) -> Column:
     )
 
 
+def routable(tags: Column) -> Column:
+    """Whether a way is a road; false without tags."""
+    return F.coalesce(tags["highway"].isin(ROADS), F.lit(False))
+
+
+def contour(tags: Column) -> Column:
+    return F.coalesce(tags["contour"] == "elevation", F.lit(False))
+
+
+def summit_height(tags: Column) -> Column:
+    """The height of a peak or volcano, from ele or, where that can't be read, from ele:ft in feet; null for others."""
+    feet = elevation(F.concat(tags["ele:ft"], F.lit(" ft")))
+    return F.when(tags["natural"].isin("peak", "volcano"), F.coalesce(elevation(tags["ele"]), feet))
+
+
+def described_point(tags: Column) -> Column:
+    """Whether tags have a key of points worth carrying and a key of descriptions, whatever their values."""
+    has = lambda keys: F.arrays_overlap(F.map_keys(tags), F.array(*map(F.lit, keys)))
+    return F.coalesce(has(POINT_KEYS) & has(DESCRIPTION_KEYS), F.lit(False))
+
+
 def meaning(tags: Column, keys: list[str]) -> Column:
     """key=value of the first key, in the order given, that has a value; null if none has."""
     return F.coalesce(*[F.when(tags[k] != "", F.concat(F.lit(k + "="), tags[k])) for k in keys])

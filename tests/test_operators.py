@@ -166,3 +166,20 @@ def test_an_id_match_ranks_behind_names(spark):
     tree = spark.createDataFrame([("xalps", "Some", None, "u"), ("b", "The long name before the alps", None, "u"), ("c", "Alps", None, None)], "id string, name string, parent string, url string")
     assert [(r.id, r.score) for r in regions.search(tree, " alps ").collect()] == [("xalps", 2104), ("b", 2529), ("c", 5004)]
     assert regions.search(tree, "  ").count() == 0
+
+
+def test_tag_filters(spark):
+    rows = [
+        ({"highway": "steps"},),
+        ({"highway": "proposed", "contour": "elevation"},),
+        ({"natural": "peak", "ele": "1527 m"},),
+        ({"natural": "volcano", "ele": "high", "ele:ft": "5000"},),
+        ({"natural": "tree", "ele": "12", "description": ""},),
+        ({"description": "alone"},),
+        ({},),
+        (None,),
+    ]
+    t = F.col("t")
+    got = values(spark, rows, "t map<string, string>", tags.routable(t), tags.contour(t), F.round(tags.summit_height(t), 1), tags.described_point(t))
+    none = (False, False, None, False)
+    assert got == [(True, False, None, False), (False, True, None, False), (False, False, 1527.0, False), (False, False, 1524.0, False), (False, False, None, True), none, none, none]
