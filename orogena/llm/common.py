@@ -92,10 +92,10 @@ def _looked_up(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> tuple[
     return found, F.coalesce(filt["__mask"], F.lit(0).cast("long")).bitwiseAND(bit) != 0
 
 
-def through_filter(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``df`` whose key may be in the filter; the filter has at most 2^bits / 64 rows."""
+def through_filter(df: DataFrame, key: Column, filt: DataFrame, bits: int, within: bool = True) -> DataFrame:
+    """Rows of ``df`` whose key may be in the filter, or else those that can't; the filter has at most 2^bits / 64 rows."""
     found, may = _looked_up(df, key, filt, bits)
-    return found.where(may).select(*[df[c] for c in df.columns])
+    return found.where(may if within else ~may).select(*[df[c] for c in df.columns])
 
 
 def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
