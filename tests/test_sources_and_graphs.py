@@ -32,7 +32,7 @@ def test_pbf_refusals(tmp_path, bad):
     path = tmp_path / "b.osm.pbf"
     path.write_bytes(bad)
     with pytest.raises((ValueError, KeyError)):
-        osm_pbf.PbfReader(str(path), 4).partitions()
+        osm_pbf.PbfReader({"path": str(path)}).partitions()
 
 
 def test_poly(spark, tmp_path):
