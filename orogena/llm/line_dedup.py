@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's character shingles are the runs from the start of each word to the third character of the next one; lines of
-few or very long words, and scripts without blanks, take all runs of CHARS characters.  One permutation, a hash, orders them, and
-the least ones are the signature.  Bands are neighbours in that order: sets at a similarity of 0.8 have some run of four
-in common, wherever either set has others in between.  They propose candidates, which are confirmed by the exact Jaccard
-similarity of their shingles; distributed union-find then keeps one line of each component, the first by document, row and place.
-Lines that are equal are one line from the start.
+A line's shingles are all its runs of CHARS characters; a shorter line is one run.  One permutation, a hash, orders them, and
+the least ones are the signature.  Bands are neighbours in that order: of two sets at a similarity of 0.8 or more, at most a fifth of
+the union is in one set alone, so that runs of neighbours in common are left wherever the others stand.  Runs of two do for sets of
+up to five, of three for larger ones (see ``bands_of``).  Bands propose candidates, which are
+confirmed by the exact Jaccard similarity of their shingles; distributed union-find then keeps one line of each component, the first by
+document, row and place.  Lines that are equal are one line from the start.
 """
 
 from __future__ import annotations
@@ -13,57 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import dealt_pairs, filter_bits, key_filter, linked_components, shared_buckets, stash, through_filter
+from orogena.llm.common import dealt_pairs, filter_bits, key_filter, key_name, linked_components, shared_buckets, stash, through_filter
 
-#: Characters in a run, and of the next word in a word's run.
-CHARS, NEXT = 7, 3
-#: Lines of at least MANY words of less than LONG characters have runs of words; those of less than FEW words, or with words of
-#: more than LONGISH characters, have all runs. Between these bounds a line has both sets, and like is compared with like.
-MANY, FEW, LONG, LONGISH = 8, 10, 16, 14
-#: Hashes in a band, the number of bands, and the set sizes from which on and up to which bands of four and of three are in use.
-BANDS, LEAST_FOUR, MOST_THREE = 20, 25, 32
-
-
-def word_runs(line: Column) -> Column:
-    """The hash of each word with the first characters of the next; words are the parts between blanks."""
-    parts = F.split(line, " ")
-    return F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda x, y: F.xxhash64(x, F.substring(y, 1, NEXT)))
-
-
-def all_runs(line: Column) -> Column:
-    """The hashes of all runs of CHARS characters; a shorter line is one run."""
-    runs = F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))
-    return F.transform(runs, lambda x: F.xxhash64(x))
+#: Characters in a run, and characters of a line that are cut at once: finding a character's place costs its distance from the start.
+CHARS, CUT = 7, 64
+#: Bands of each size: hashes in a band -> the least and the greatest set that has such bands.
+SIZES = {2: (1, 5), 3: (5, None)}
+#: Bands of a size at most.
+BANDS = 20
 
 
 def shingles(line: Column) -> Column:
-    """A line's sets: an array of (kind, h), h being sorted and distinct; one entry or two."""
-    words, size = F.size(F.split(line, " ")), F.length(line)
-    own = lambda h: F.array_distinct(F.sort_array(h))
-    by_word = F.when((words >= MANY) & (words * LONG >= size), F.struct(F.lit(0).alias("kind"), own(word_runs(line)).alias("h")))
-    by_char = F.when((words < FEW) | (words * LONGISH < size), F.struct(F.lit(1).alias("kind"), own(all_runs(line)).alias("h")))
-    return F.array_compact(F.array(by_word, by_char))
+    """A line's set: the sorted distinct hashes of its runs."""
+    n = F.length(line)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - CHARS) / CUT).cast("int")), lambda k: F.substring(line, k * CUT + 1, F.lit(CUT + CHARS - 1)))
+    runs = F.flatten(F.transform(parts, lambda part: F.transform(F.sequence(F.lit(1), F.length(part) - (CHARS - 1)), lambda i: F.xxhash64(F.substring(part, i, F.lit(CHARS))))))
+    return F.array_distinct(F.sort_array(F.when(n < CHARS, F.array(F.xxhash64(line))).otherwise(runs)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # two 64-bit hashes name a line; blank lines have no name
     told = F.col("line").rlike(r"[^ \t\n\x0B\f\r]")
     return lines.select("doc_id", "row", "line_no", "line", F.when(told, F.xxhash64("line")).alias("h1"), F.when(told, F.xxhash64(F.lit("second"), "line")).alias("h2"))
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """(h1, h2, kind, n, bands) for each set of a row with a line: n counts its shingles, bands has a key for each band."""
-    sets = lines.select("h1", "h2", F.explode(shingles(F.col("line"))).alias("s")).select("h1", "h2", "s.kind", "s.h")
-    n = F.size("h")
+def bands_of(h: Column) -> Column:
+    """A key for each band of a set: runs of neighbours among its least hashes.
+
+    Of a union of u hashes, at least 4/5 in both sets, some run of r neighbours is in both: r = 2 for u = 5, r = 3 from 6 on.  So sets
+    of at most BANDS + 2 lose nothing; larger ones lose a pair that has no such run among its first bands, which tests measure.
+    """
+    n = F.size(h)
 
     def runs(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BANDS), n - size + 1))), lambda i: F.xxhash64(F.lit(size), F.col("kind"), F.slice("h", i, size)))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BANDS), n - size + 1))), lambda i: F.xxhash64(F.lit(size), F.slice(h, i, size)))
 
     none = F.array().cast("array<long>")
-    bands = F.concat(F.when(n >= LEAST_FOUR, runs(4)).otherwise(none), F.when(n <= MOST_THREE, runs(3)).otherwise(none))
-    return sets.select("h1", "h2", "kind", n.cast("long").alias("n"), bands.alias("bands"))
+    return F.concat(*[F.when((n >= lo) & (F.lit(True) if hi is None else n <= hi), runs(size)).otherwise(none) for size, (lo, hi) in SIZES.items()])
 
 
 def line_duplicates(docs: DataFrame, percent: int = 80, pivots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,40 +62,38 @@ def line_duplicates(docs: DataFrame, percent: int = 80, pivots: int = 3, id_col:
     and stay.  A null text counts as an empty one, of one blank line; repeated rows have places of their own; other
     columns are ignored; an empty table gives an empty result.
     """
-    lines = _lines(docs, id_col, text_col)
+    return _found(docs, percent, pivots, id_col, text_col, F.monotonically_increasing_id())
+
+
+def _found(docs: DataFrame, percent: int, pivots: int, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """The rows of :func:`line_duplicates`; ``row`` is the number of a row of ``docs``."""
+    lines = _lines(docs, id_col, text_col, row)
     places = stash(lines.select("doc_id", "row", "line_no", "h1", "h2"), "places")
-    named = lines.where(F.col("h1").isNotNull())
-    banded = with_bands(named).groupBy("h1", "h2").agg(*[F.first(F.when(F.col("kind") == k, F.col(c)), ignorenulls=True).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "bands")])
-    distinct = stash(banded.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n0", "bands0", "n1", "bands1"), "distinct")
-    keys = F.explode(F.array(F.struct(F.col("n0").alias("n"), F.col("bands0").alias("bands")), F.struct(F.col("n1").alias("n"), F.col("bands1").alias("bands"))))
-    buckets = shared_buckets(distinct.select("id", keys.alias("s")).select("id", "s.n", F.explode("s.bands").alias("key")))
+    own = lines.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    own = stash(own.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "line"), "lines")
+    least = stash(own.select("id", shingles(F.col("line")).alias("h")).select("id", F.size("h").cast("long").alias("n"), bands_of(F.col("h")).alias("bands")), "bands")
+    buckets = shared_buckets(least.select("id", "n", F.explode("bands").alias("key")))
 
     # the sets of the lines that share a key with another one
-    wanted = distinct.select("id", "h1", "h2").join(buckets.select("id").distinct(), "id", "left_semi")
-    wanted = stash(wanted, "wanted")
-    bits = filter_bits(wanted.count())
-    texts = through_filter(named.select("h1", "h2", "line"), named["h1"], stash(key_filter(wanted, "h1", bits), "filter"), bits)
-    texts = texts.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, ["h1", "h2"]).select("id", shingles(F.col("line")).alias("s"))
-    of_kind = lambda k: F.get(F.filter("s", lambda x: x["kind"] == k), F.lit(0))["h"].alias(f"h{k}")
-    sets = stash(texts.select("id", of_kind(0), of_kind(1)), "sets")
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("h0").alias(f"{x}0"), F.col("h1").alias(f"{x}1"))
-
-    def like(k: int) -> Column:
-        both, sizes = F.size(F.array_intersect(f"a{k}", f"b{k}")), F.size(f"a{k}") + F.size(f"b{k}")
-        return F.coalesce(100 * both >= percent * (sizes - both), F.lit(False))
+    wanted = buckets.select("id").distinct()
+    sets = stash(own.join(wanted, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "sets")
+    distinct = own.select("id", "h1", "h2")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("h").alias(f"{x}h"))
+    both = F.size(F.array_intersect("ah", "bh"))
+    like = 100 * both >= percent * (F.size("ah") + F.size("bh") - both)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(like(0) | like(1)).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")
 
     def confirm_blocks(rows: DataFrame) -> DataFrame:
         few, all_ = dealt_pairs(rows)
-        few = few.join(side("a"), few["id"] == F.col("a")).select("key", "i", "j", F.col("own").alias("own_a"), "a", "a0", "a1")
-        all_ = all_.join(side("b"), all_["id"] == F.col("b")).select("key", "i", "j", F.col("own").alias("own_b"), "b", "b0", "b1")
-        met = few.join(all_, (few["key"] == all_["key"]) & (few["i"] == all_["i"]) & (few["j"] == all_["j"]) & (F.col("own_a") != F.col("own_b")) & (like(0) | like(1)))
+        few = few.join(side("a"), few["id"] == F.col("a")).select("key", "i", "j", F.col("own").alias("own_a"), "a", "ah")
+        all_ = all_.join(side("b"), all_["id"] == F.col("b")).select("key", "i", "j", F.col("own").alias("own_b"), "b", "bh")
+        met = few.join(all_, (few["key"] == all_["key"]) & (few["i"] == all_["i"]) & (few["j"] == all_["j"]) & (F.col("own_a") != F.col("own_b")) & like)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     owner = linked_components(buckets, confirm, confirm_blocks, percent, pivots)
-    ids = distinct.select("id", "h1", "h2")
+    ids = distinct
     ids = ids.withColumn("component", F.col("id")) if owner is None else ids.join(owner, ids["id"] == owner["node"], "left").select("id", "h1", "h2", F.coalesce("component", "id").alias("component"))
     ids = stash(ids.select("h1", "h2", "component"), "components")
     told = stash(places.join(ids, ["h1", "h2"], "left"), "told")
@@ -121,8 +107,10 @@ def line_duplicates(docs: DataFrame, percent: int = 80, pivots: int = 3, id_col:
 
 def without_line_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): each text with only its lines that stay. A null text becomes an empty one."""
-    gone = stash(line_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("NOT kept"), "gone")
+    number = key_name(docs)
+    keyed = stash(docs.withColumn(number, F.monotonically_increasing_id()), "keyed")  # numbered once
+    gone = stash(_found(keyed, percent, 3, id_col, text_col, F.col(number)).where("NOT kept"), "gone")
     drops = gone.groupBy("row").agg(F.collect_set("line_no").alias("drops"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(number).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("drops"), i.cast("long")))
     return rows.join(drops, "row", "left").select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))

@@ -2,17 +2,15 @@ from __future__ import annotations
 
 import random
 
-from orogena.llm.line_dedup import CHARS, line_duplicates, without_line_copies
+import pytest
+from pyspark.sql import functions as F
 
+from orogena.llm.line_dedup import bands_of, line_duplicates, shingles, without_line_copies
 
-def sets_of(line):
-    """The sets of a line by kind: runs of words, all runs."""
-    parts, out = line.split(" "), {}
-    if len(parts) >= 8 and len(parts) * 16 >= len(line):
-        out[0] = {(x, y[:3]) for x, y in zip(parts, [*parts[1:], ""])}
-    if len(parts) < 10 or len(parts) * 14 < len(line):
-        out[1] = {line} if len(line) < CHARS else {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)}
-    return out
+
+def set_of(line):
+    """All runs of seven characters; a shorter line is one."""
+    return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
 
 
 def brute(rows):
@@ -22,7 +20,7 @@ def brute(rows):
         for k, x in enumerate((t or "").split("\n")):
             lines.setdefault(x, []).append((d, k))
     names = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
-    s = {x: sets_of(x) for x in names}
+    s = {x: set_of(x) for x in names}
     up = {x: x for x in names}
 
     def root(x):
@@ -32,19 +30,17 @@ def brute(rows):
 
     by = {}
     for x in names:
-        for kind, own in s[x].items():
-            for g in own:
-                by.setdefault((kind, g), []).append(x)
+        for g in s[x]:
+            by.setdefault(g, []).append(x)
     seen = set()
     for group in by.values():
         for a in group:
             for b in group:
                 if a < b and (a, b) not in seen:
                     seen.add((a, b))
-                    for kind in s[a].keys() & s[b].keys():
-                        n = len(s[a][kind] & s[b][kind])
-                        if 100 * n >= 80 * (len(s[a][kind]) + len(s[b][kind]) - n):
-                            up[root(a)] = root(b)
+                    n = len(s[a] & s[b])
+                    if 100 * n >= 80 * (len(s[a]) + len(s[b]) - n):
+                        up[root(a)] = root(b)
     first = {}
     for x in names:
         first[root(x)] = min(first.get(root(x), (float("inf"), 0)), min(lines[x]))
@@ -82,3 +78,60 @@ def test_odd_rows(spark, odd, odd_rows, none, clashing):
     out = {r.doc_id: r.text for r in without_line_copies(clashing).collect()}
     assert out[0] and not out[3]
     assert without_line_copies(odd).count() == len(odd_rows)
+
+
+def pair_rows(pairs):
+    return [(2 * i + k, f"{text}") for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+
+
+def linked(spark, pairs):
+    """Of pairs of lines, how many are linked."""
+    got = {r.doc_id: r.keep_doc_id for r in line_duplicates(spark.createDataFrame(pair_rows(pairs), "doc_id long, text string")).collect()}
+    return sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_lines_of_few_long_words_and_of_more_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(13))
+    pairs = [(x, x + " a b c") for x in (" ".join(word() for _ in range(7)) for _ in range(20))]
+    assert linked(spark, pairs) == 20
+
+
+def test_short_lines_that_share_four_of_five_runs(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 1)) + "z"
+    pairs = [(x, x + rng.choice("abc")) for x in (text(10) for _ in range(300))]
+    assert linked(spark, pairs) == 300
+
+
+@pytest.mark.parametrize("sizes", [range(2, 23), (24, 26, 30, 32, 33, 40), (60, 100, 200, 400)])
+def test_bands_meet_at_every_size(spark, sizes):
+    """Sets of any sizes at a similarity of just 0.8 share a band."""
+    rng = random.Random(5)
+    rows = []
+    for u in sizes:
+        for k in range(120):
+            union = sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(u))
+            rng.shuffle(union)
+            apart = u // 5
+            left = rng.randint(0, apart)
+            a, b = union[: u - left], union[: u - apart] + union[u - left :]
+            rows.append((u, k, sorted(a), sorted(b)))
+    frame = spark.createDataFrame(rows, "u int, k int, a array<long>, b array<long>")
+    met = frame.select("u", (F.size(F.array_intersect(bands_of(F.col("a")), bands_of(F.col("b")))) > 0).alias("met")).groupBy("u").agg(F.avg(F.col("met").cast("int")).alias("recall")).collect()
+    for r in met:
+        assert r.recall == 1 if r.u <= 22 else r.recall >= 0.99, (r.u, r.recall)
+
+
+def test_runs_of_characters(spark):
+    rng = random.Random(6)
+    lines = ["", "a", "abcdef", "abcdefg", "é字" * 40, "x" * 300, *["".join(rng.choice("ab字é ") for _ in range(n)) for n in (69, 70, 71, 134, 135, 5000)]]
+    own = spark.createDataFrame([(i, x, sorted(set_of(x))) for i, x in enumerate(lines)], "i int, line string, runs array<string>")
+    want = F.array_sort(F.transform("runs", lambda x: F.xxhash64(x)))
+    assert own.where(shingles(F.col("line")) != want).count() == 0
+
+
+def test_rows_are_numbered_once(spark):
+    docs = spark.createDataFrame([(i % 50, f"own line {i} {i * 7919}\nthe same long line of many words here") for i in range(400)], "doc_id long, text string").repartition(7, "text").repartition(5)
+    out = [r.text for r in without_line_copies(docs).collect()]
+    assert sum("the same" in x for x in out) == 1 and sum("own line" in x for x in out) == 400
