@@ -72,3 +72,30 @@ def test_near_copies_leave_one_row_whatever_ids_repeat(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
     got = corpus_pipeline.near_copies(spark, docs, DATA).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "5", "None"] and len({r.text[:60] for r in got}) == 3
+
+
+def test_the_classifier_judges_rows_and_not_ids(spark):
+    """Of rows that share an id, or have none, only those rejected go."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    marks = score(docs, train(docs, labels)).select("doc_id", "predicted").collect()
+    told = {p: [m.doc_id for m in marks if m.predicted == p][:3] for p in (0, 1)}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    more = [(i, text[k], "en", "a", 1) for i in (7, None) for p in (0, 1) for k in told[p]]
+    every = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    out = corpus_pipeline.quality(spark, every, DATA)
+    kept = {r.doc_id for r in out.collect()} - {None}
+    assert kept >= set(told[1]) and not kept & set(told[0])
+    assert out.where("doc_id IS NULL").count() == 3
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_tables_in_every_stage(spark, odd, none, clashing, stage):
+    name, run = corpus_pipeline.STAGES[stage]
+    for docs in (odd, none, clashing):
+        out = run(spark, docs, DATA)
+        n = out.count()
+        assert n <= docs.count(), name
+        if stage in (3, 4):
+            assert n == docs.count()
+        if stage < 4:
+            assert out.columns == docs.columns
