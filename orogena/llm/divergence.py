@@ -23,7 +23,7 @@ from orogena.llm.kernels import gathered, span_array, span_classes, xxh64
 #: Bytes of text that a pass takes at a time.
 PASS = 1 << 22
 #: Entries of a block's matrix, about, and sources of a tile of it.
-BLOCK_ENTRIES, TILE = 1 << 18, 256
+BLOCK_ENTRIES, TILE = 1 << 15, 256
 
 _TERM = np.zeros(256, np.uint8)
 _TERM[65:91] = np.arange(97, 123)
