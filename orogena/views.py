@@ -107,3 +107,36 @@ TILES = """tiles AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def density_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell, row, col, height): nodes in each of 128 x 128 squares of the map, as four rasters that share their inner borders; every 97th is void."""
+    nodes_of = nodes(spark, sf_dir).groupBy(F.shiftright(F.col("lat_u") + 32768, 9).alias("y"), F.shiftright(F.col("lon_u") + 32768, 9).alias("x")).agg(F.count("*").cast("int").alias("n"))
+    grid = spark.range(128 * 128).select(F.floor(F.col("id") / 128).cast("int").alias("y"), (F.col("id") % 128).cast("int").alias("x"))
+    y, x = F.col("y"), F.col("x")
+    samples = grid.join(nodes_of, ["y", "x"], "left").select("y", "x", F.when((y * 128 + x) % 97 != 0, F.coalesce("n", F.lit(0))).alias("height"))
+    two = lambda c: F.explode(F.array_compact(F.array(F.when(c <= 64, 0), F.when(c >= 64, 1))))
+    at = samples.select("y", "x", "height", two(y).alias("cy")).select("*", two(x).alias("cx"))
+    return at.select((F.col("cy") * 2 + F.col("cx")).alias("cell"), (y - F.col("cy") * 64).alias("row"), (x - F.col("cx") * 64).alias("col"), "height")
+
+
+DENSITY_RASTER = """raster AS MATERIALIZED (
+  WITH c AS (SELECT (lat_u + 32768) >> 9 AS y, (lon_u + 32768) >> 9 AS x, CAST(count(*) AS INTEGER) AS n FROM nodes GROUP BY ALL),
+  g AS (SELECT CAST(range // 128 AS INTEGER) AS y, CAST(range % 128 AS INTEGER) AS x FROM range(16384)),
+  s AS (SELECT g.y, g.x, CASE WHEN (g.y * 128 + g.x) % 97 <> 0 THEN coalesce(n, 0) END AS height FROM g LEFT JOIN c ON c.y = g.y AND c.x = g.x)
+  SELECT CAST(cy * 2 + cx AS INTEGER) AS cell, CAST(y - cy * 64 AS INTEGER) AS "row", CAST(x - cx * 64 AS INTEGER) AS col, height
+  FROM s, (VALUES (0), (1)) AS a(cy), (VALUES (0), (1)) AS b(cx)
+  WHERE (cy = 0 AND y <= 64 OR cy = 1 AND y >= 64) AND (cx = 0 AND x <= 64 OR cx = 1 AND x >= 64))"""
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, lat, lon, refs, members, tags): nodes (a degree for 1,000 map units), ways and relations as a map file holds them."""
+    none = lambda kind: F.lit(None).cast(kind)
+    member = "array<struct<kind: byte, ref: long, role: string>>"
+    found = nodes(spark, sf_dir).select(F.lit(0).cast("byte").alias("kind"), "id", (F.col("lat_u") / 1000).alias("lat"), (F.col("lon_u") / 1000).alias("lon"), none("array<long>").alias("refs"), none(member).alias("members"), "tags")
+    refs = way_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"))
+    w = ways(spark, sf_dir)
+    of_ways = w.join(refs, w["id"] == refs["way_id"], "left").select(F.lit(1).cast("byte").alias("kind"), "id", none("double").alias("lat"), none("double").alias("lon"), F.coalesce("refs", F.array().cast("array<long>")).alias("refs"), none(member).alias("members"), "tags")
+    held = F.array_sort(F.collect_list(F.struct(F.col("kind").cast("byte").alias("kind"), F.col("ref").cast("long").alias("ref"), "role")))
+    of_relations = members(spark, sf_dir).groupBy("relation_id").agg(held.alias("members"))
+    return found.unionByName(of_ways).unionByName(of_relations.select(F.lit(2).cast("byte").alias("kind"), F.col("relation_id").alias("id"), none("double").alias("lat"), none("double").alias("lon"), none("array<long>").alias("refs"), F.col("members").cast(member).alias("members"), F.create_map().cast("map<string,string>").alias("tags")))
