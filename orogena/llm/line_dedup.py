@@ -20,7 +20,7 @@ CHARS, CUT = 7, 64
 #: Bands of each size: hashes in a band -> the least and the greatest set that has such bands.
 SIZES = {2: (1, 5), 3: (5, None)}
 #: Bands of a size at most.
-BANDS = 20
+BANDS = 14
 
 
 def shingles(line: Column) -> Column:
@@ -74,22 +74,23 @@ def _found(docs: DataFrame, percent: int, pivots: int, id_col: str, text_col: st
     least = stash(own.select("id", shingles(F.col("line")).alias("h")).select("id", F.size("h").cast("long").alias("n"), bands_of(F.col("h")).alias("bands")), "bands")
     buckets = shared_buckets(least.select("id", "n", F.explode("bands").alias("key")))
 
-    # the sets of the lines that share a key with another one
-    wanted = buckets.select("id").distinct()
-    sets = stash(own.join(wanted, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "sets")
+    # the lines that share a key with another one; their sets, many times as large, are made where two meet
+    wanted = stash(own.join(buckets.select("id", "n").distinct(), "id").select("id", "n", "line"), "wanted")
     distinct = own.select("id", "h1", "h2")
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("h").alias(f"{x}h"))
-    both = F.size(F.array_intersect("ah", "bh"))
-    like = 100 * both >= percent * (F.size("ah") + F.size("bh") - both)
+    side = lambda x: wanted.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("line").alias(f"{x}_line"))
+
+    def like(one: Column, other: Column) -> Column:
+        # 100 both >= percent (an + bn - both)
+        return (100 + percent) * F.size(F.array_intersect(one, other)) >= percent * (F.col("an") + F.col("bn"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(like(shingles(F.col("a_line")), shingles(F.col("b_line")))).select("a", "b")
 
     def confirm_blocks(rows: DataFrame) -> DataFrame:
         few, all_ = dealt_pairs(rows)
-        few = few.join(side("a"), few["id"] == F.col("a")).select("key", "i", "j", F.col("own").alias("own_a"), "a", "ah")
-        all_ = all_.join(side("b"), all_["id"] == F.col("b")).select("key", "i", "j", F.col("own").alias("own_b"), "b", "bh")
-        met = few.join(all_, (few["key"] == all_["key"]) & (few["i"] == all_["i"]) & (few["j"] == all_["j"]) & (F.col("own_a") != F.col("own_b")) & like)
+        few = few.join(side("a"), few["id"] == F.col("a")).select("key", "i", "j", F.col("own").alias("own_a"), "a", "an", shingles(F.col("a_line")).alias("ah"))
+        all_ = all_.join(side("b"), all_["id"] == F.col("b")).select("key", "i", "j", F.col("own").alias("own_b"), "b", "bn", shingles(F.col("b_line")).alias("bh"))
+        met = few.join(all_, (few["key"] == all_["key"]) & (few["i"] == all_["i"]) & (few["j"] == all_["j"]) & (F.col("own_a") != F.col("own_b")) & like(F.col("ah"), F.col("bh")))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     owner = linked_components(buckets, confirm, confirm_blocks, percent, pivots)
