@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,18 +42,39 @@ def metres(value: Column) -> Column:
     return F.replace(F.element_at(F.split(F.trim(value), " "), 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def elevation(value: Column) -> Column:
-    """Metres above sea of an ``ele`` value: m, ft and ' as units, a comma before three digits parts thousands, else decimals.
+#: How feet and metres are written behind a height, and the heights that there are.
+FEET, METRES, HEIGHTS = ("feet", "ft", "'", "\u2032"), ("metres", "meters", "m"), (-500, 9000)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, wherever it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def elevation(value: Column, in_feet: bool = False) -> Column:
+    """Metres above sea of an ``ele`` value, or of an ``ele:ft`` value, which is in feet whatever it says.
 
-    Numbers over 9000 without a unit are feet; what lies outside -500 to 9000 m is null.
+    Blanks are left out and units read from the end.  Commas part thousands where there is a point too, or where each has three
+    digits behind it; else a comma is the decimal point.  A number that is too high for metres and not for feet is in feet; what
+    lies outside HEIGHTS is null.
     """
-    text = F.lower(F.regexp_replace(value, r"[\s ]", ""))
-    number = F.regexp_replace(text, r"(m|ft|feet|')$", "")
-    plain = F.when(number.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.replace(number, F.lit(","), F.lit(""))).otherwise(F.replace(number, F.lit(","), F.lit(".")))
-    x = plain.try_cast("double")
-    feet = text.rlike(r"(ft|feet|')$") | (~text.rlike(r"m$") & (x > 9000))
-    out = F.when(feet, x * METRES_A_FOOT).otherwise(x)
-    return F.when((out >= -500) & (out <= 9000), out)
+    feet_at_end, metres_at_end = (f"({'|'.join(words)})$" for words in (FEET, METRES))
+
+    def of_text(text: Column) -> Column:
+        says_feet = text.rlike(feet_at_end)
+        number = F.when(says_feet, F.regexp_replace(text, feet_at_end, "")).otherwise(F.regexp_replace(text, metres_at_end, ""))
+        return _bound(number, lambda n: _bound(of_number(n), lambda x: of_height(x, F.lit(in_feet) | says_feet)))
+
+    def of_number(number: Column) -> Column:
+        grouped = number.contains(".") | number.rlike(r"^(\d{1,3}|-.{0,2})(,\d{3})+$")
+        plain = F.replace(number, F.lit(","), F.when(grouped, F.lit("")).otherwise(F.lit(".")))
+        return F.when(number.rlike(r"^[+-]?[\d,]*\.?\d*(e[+-]?\d+)?$"), plain.try_cast("double"))
+
+    def of_height(x: Column, told: Column) -> Column:
+        feet = told | ((x > HEIGHTS[1]) & (x * METRES_A_FOOT <= HEIGHTS[1]))
+        return _bound(F.when(feet, x * METRES_A_FOOT).otherwise(x), lambda m: F.when(m.between(*HEIGHTS), m))
+
+    return _bound(F.lower(F.regexp_replace(value, "[\\s ]", "")), of_text)
 
 
 def drawn_level(layer: Column, bridge: Column, tunnel: Column) -> Column:

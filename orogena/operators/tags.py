@@ -55,7 +55,7 @@ def contour(tags: Column) -> Column:
 
 def summit_height(tags: Column) -> Column:
     """The height of a peak or volcano, from ele or, where that can't be read, from ele:ft in feet; null for others."""
-    feet = elevation(F.concat(tags["ele:ft"], F.lit(" ft")))
+    feet = elevation(tags["ele:ft"], in_feet=True)
     return F.when(tags["natural"].isin("peak", "volcano"), F.coalesce(elevation(tags["ele"]), feet))
 
 

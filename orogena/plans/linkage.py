@@ -300,16 +300,37 @@ def node_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    """SELECT c_custkey AS id, CASE WHEN v ~ '^-?[0-9.]+$' THEN v || ' m' ELSE v END AS ele, CAST(CASE WHEN k = 0 THEN x * 1.0 WHEN k = 1 THEN x + 0.5 WHEN k = 2 THEN 1000.0 + x % 1000 WHEN k = 3 THEN x * 0.3048 WHEN k = 4 THEN NULL ELSE (9001 + x) * 0.3048 END AS DOUBLE) AS metres
-       FROM (SELECT c_custkey, c_custkey % 6 AS k, c_custkey AS x, CASE c_custkey % 6 WHEN 0 THEN c_custkey || ' m' WHEN 1 THEN c_custkey || ',5' WHEN 2 THEN '1,' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') WHEN 3 THEN c_custkey || ' ft' WHEN 4 THEN 'high' ELSE CAST(9001 + c_custkey AS VARCHAR) END AS v FROM customer)"""
+    """SELECT id, ele, CAST(CASE WHEN m BETWEEN -500 AND 9000 THEN m END AS DOUBLE) AS metres FROM (
+         SELECT id, ele, CASE k WHEN 0 THEN x WHEN 1 THEN x + 0.5::DOUBLE WHEN 2 THEN 1000 + x % 1000 WHEN 3 THEN x * 0.3048::DOUBLE WHEN 5 THEN (9001 + x) * 0.3048::DOUBLE
+           WHEN 6 THEN 1000 + x % 1000 + 0.5::DOUBLE WHEN 7 THEN x WHEN 8 THEN x WHEN 9 THEN x * 0.3048::DOUBLE WHEN 10 THEN x * 0.3048::DOUBLE WHEN 11 THEN x * 0.3048::DOUBLE WHEN 12 THEN 1000 + x % 1000 WHEN 13 THEN -x END AS m
+         FROM (SELECT c_custkey AS id, c_custkey % 15 AS k, (c_custkey % 8000)::DOUBLE AS x,
+           CASE c_custkey % 15 WHEN 0 THEN v || ' m' WHEN 1 THEN v || ',5' WHEN 2 THEN '1,' || w WHEN 3 THEN v || ' ft' WHEN 4 THEN 'high' WHEN 5 THEN CAST(9001 + c_custkey % 8000 AS VARCHAR) WHEN 6 THEN '1,' || w || '.5'
+             WHEN 7 THEN v || ' metres' WHEN 8 THEN v || ' Meters' WHEN 9 THEN v || '′' WHEN 10 THEN v || '''' WHEN 11 THEN v || ' feet' WHEN 12 THEN '1 ' || w WHEN 13 THEN '-' || v ELSE '1,52,' || v || '7' END AS ele
+           FROM (SELECT c_custkey, CAST(c_custkey % 8000 AS VARCHAR) AS v, lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS w FROM customer)))"""
 )
 def elevations(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of a height and what they read as."""
-    x = F.col("c_custkey")
-    k = x % 6
-    text = F.when(k == 0, F.concat(x, F.lit(" m"))).when(k == 1, F.concat(x, F.lit(",5"))).when(k == 2, F.concat(F.lit("1,"), F.lpad((x % 1000).cast("string"), 3, "0"))).when(k == 3, F.concat(x, F.lit(" ft"))).when(k == 4, "high").otherwise((x + 9001).cast("string"))
-    rows = v.table(spark, d, "customer").select(x.alias("id"), text.alias("v"))
-    return rows.select("id", F.when(F.col("v").rlike("^-?[0-9.]+$"), F.concat("v", F.lit(" m"))).otherwise(F.col("v")).alias("ele"), units.elevation(F.col("v")).alias("metres"))
+    c = F.col("c_custkey")
+    v_, w = (c % 8000).cast("string"), F.lpad((c % 1000).cast("string"), 3, "0")
+    ends = {0: " m", 1: ",5", 3: " ft", 7: " metres", 8: " Meters", 9: "′", 10: "'", 11: " feet"}
+    spelt = {k: F.concat(v_, F.lit(x)) for k, x in ends.items()}
+    spelt |= {2: F.concat(F.lit("1,"), w), 4: F.lit("high"), 5: (c % 8000 + 9001).cast("string"), 6: F.concat(F.lit("1,"), w, F.lit(".5")), 12: F.concat(F.lit("1 "), w), 13: F.concat(F.lit("-"), v_), 14: F.concat(F.lit("1,52,"), v_, F.lit("7"))}
+    text = F.coalesce(*[F.when(c % 15 == k, x) for k, x in sorted(spelt.items())])
+    return v.table(spark, d, "customer").select(c.alias("id"), text.alias("ele")).select("id", "ele", units.elevation(F.col("ele")).alias("metres"))
+
+
+@R.add(
+    """SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN p_size * 10 WHEN p_size % 4 = 2 THEN (1000 + p_size) * 0.3048::DOUBLE ELSE p_size * 0.3048::DOUBLE END AS DOUBLE) AS metres FROM part"""
+)
+def summit_heights(spark: SparkSession, d: str) -> DataFrame:
+    """Heights of peaks from ele, else from ele:ft, which is in feet whatever unit stands behind it; other points have none."""
+    size = F.col("p_size")
+    t = F.create_map(
+        F.lit("natural"), F.when(size % 4 == 0, "tree").when(size % 2 == 1, "peak").otherwise("volcano"),
+        F.lit("ele"), F.when(size % 4 == 1, (size * 10).cast("string")).otherwise("unknown"),
+        F.lit("ele:ft"), F.when(size % 4 == 2, F.concat(F.lit("1,0"), F.lpad(size.cast("string"), 2, "0"), F.lit(" ft"))).otherwise(F.concat(size, F.lit(" m"))),
+    )
+    return v.table(spark, d, "part").select("p_partkey", tags.summit_height(t).alias("metres"))
 
 
 @R.add("SELECT item_id, n FROM (SELECT item_id, length(trim(regexp_replace(regexp_replace(replace(replace('<b>' || text || '</b> &lt;x&gt;', '&lt;', '<'), '&gt;', '>'), '<b>|</b>', '', 'g'), '\\s+', ' ', 'g'))) AS n FROM benchmark)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orogena import views as v
 from orogena.functions import units
-from orogena.operators import places, tags, tiling
+from orogena.operators import places, polygons, tags, tiling
 from orogena.plans.registry import Registry
 
 R = Registry()
@@ -238,7 +238,7 @@ def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
     refs, nodes = v.way_refs(spark, d), v.nodes(spark, d)
     segs = _short_segments(spark, d)
     ends = refs.where("pos = 0").join(places.referred_once(refs), "node_id").join(nodes.select(F.col("id").alias("node_id"), "lat_u", "lon_u"), "node_id")
-    return places.nearest_segments(ends, segs, cell=1024, limit=200).select("node_id", "to_way", "seg")
+    return places.nearest_segments(ends, segs, cell=256, limit=200).select("node_id", "to_way", "seg")
 
 
 @R.add(
@@ -254,7 +254,7 @@ def crossings(spark: SparkSession, d: str) -> DataFrame:
     segs = _short_segments(spark, d)
     links = segs.where("seg = 0").select(F.col("way_id").alias("link_id"), F.col("a_lat").alias("y1"), F.col("a_lon").alias("x1"), F.col("b_lat").alias("y2"), F.col("b_lon").alias("x2"))
     walls = segs.where("seg = 1").select(F.col("way_id").alias("wall_id"), "a_lat", "a_lon", "b_lat", "b_lon")
-    return places.crossings(links, walls, 4096)
+    return places.crossings(links, walls, 512)
 
 
 RINGS = """rings AS (SELECT way_id, list({'y': lat_u, 'x': lon_u} ORDER BY pos) AS r
@@ -273,15 +273,12 @@ KITES = """edges AS (SELECT way_id, y - 600 AS lo_y, y + 900 AS hi_y, x - 500 AS
               ELSE CAST(lon_u - a.x AS BIGINT) * (b.y - a.y) > CAST(lat_u - a.y AS BIGINT) * (b.x - a.x) END) % 2 = 1"""
 )
 def nodes_in_rings(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes inside a kite around the first node of each way, found by grid cell and box before the ring is tried."""
+    """Nodes inside a kite around the first node of each way."""
     firsts = v.way_refs(spark, d).where("pos = 0").join(v.nodes(spark, d), F.col("node_id") == F.col("id"))
-    at = lambda y, x: F.struct((F.col("lat_u") + y).alias("lat_u"), (F.col("lon_u") + x).alias("lon_u"))
-    kite = F.array(at(-600, 0), at(0, 400), at(900, 100), at(0, -500))
-    low = lambda c, by: (F.col(c) + by).cast("int")
-    rings = firsts.select("way_id", kite.alias("points"), low("lat_u", -600).alias("min_lat"), low("lon_u", -500).alias("min_lon"), low("lat_u", 901).alias("max_lat"), low("lon_u", 401).alias("max_lon"))
-    points = v.nodes(spark, d).select("id", "lat_u", "lon_u")
-    met = tiling.point_tiles(points, rings.withColumnRenamed("way_id", "tile"), bits=14).join(rings.select("way_id", "points"), F.col("tile") == F.col("way_id"))
-    return met.where(places.in_ring(F.col("lat_u"), F.col("lon_u"), F.col("points"))).select("way_id", F.col("id").alias("node_id"))
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), (F.col("lat_u") + y).cast("int").alias("lat_u"), (F.col("lon_u") + x).cast("int").alias("lon_u")) for k, (y, x) in enumerate(((-600, 0), (0, 400), (900, 100), (0, -500)))]))
+    edges = polygons.ring_edges(firsts.select(F.col("way_id").alias("ring"), corner.alias("c")).select("ring", "c.*"), ["ring"])
+    found = polygons.points_in_rings(v.nodes(spark, d).select("id", "lat_u", "lon_u"), edges)
+    return found.select(F.col("ring").alias("way_id"), F.col("id").alias("node_id"))
 
 
 @R.add(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogena import views as v
-from orogena.operators import contours
+from orogena.operators import contours, polygons
 from orogena.plans.registry import Registry
 
 R = Registry()
@@ -79,3 +79,69 @@ def density_points(spark: SparkSession, d: str) -> DataFrame:
     at_end = ~F.col("closed") & ((F.col("pos") == 0) | (F.col("pos") == last))
     million = lambda c: F.floor(F.col(c) * 1000000).cast("long").alias(c)
     return points.select("*", at_end.alias("at_end")).where("NOT closed OR pos > 0").select("cell", "level", "key", million("y"), million("x"), "at_end")
+
+
+RIGHT = """(a_lat > lat_u) <> (b_lat > lat_u) AND CASE WHEN b_lat > a_lat THEN CAST(lon_u - a_lon AS BIGINT) * (b_lat - a_lat) < CAST(lat_u - a_lat AS BIGINT) * (b_lon - a_lon)
+  ELSE CAST(lon_u - a_lon AS BIGINT) * (b_lat - a_lat) > CAST(lat_u - a_lat AS BIGINT) * (b_lon - a_lon) END"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return polygons.ring_edges(v.outlines(spark, d), ["region", "ring", "hole"])
+
+
+@R.add(
+    v.with_(v.NODES, v.OUTLINES)
+    + f"""SELECT region, id AS node_id FROM (SELECT region, ring, hole, id FROM outline_edges, nodes WHERE {RIGHT} GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY region, id HAVING NOT bool_or(hole)"""
+)
+def nodes_in_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that each nation's outline holds, its holes left out."""
+    points = v.nodes(spark, d).select("id", "lat_u", "lon_u")
+    return polygons.points_in_outlines(points, _edges(spark, d)).select("region", F.col("id").alias("node_id"))
+
+
+CELLS = """cut AS (
+  SELECT region, ring, hole, cy, a_lon + (b_lon - a_lon) * (cy * 256 + 128.0::DOUBLE - a_lat) / (b_lat - a_lat) AS x
+  FROM (SELECT *, unnest(range(CAST(floor(least(a_lat, b_lat) / 256) - 1 AS BIGINT), CAST(floor(greatest(a_lat, b_lat) / 256) + 2 AS BIGINT))) AS cy FROM outline_edges)
+  WHERE (a_lat > cy * 256 + 128) <> (b_lat > cy * 256 + 128)),
+spans AS (SELECT * FROM (SELECT *, lead(x) OVER w AS x1, row_number() OVER w % 2 AS odd FROM cut WINDOW w AS (PARTITION BY region, ring, hole, cy ORDER BY x)) WHERE odd = 1 AND x1 IS NOT NULL),
+cells AS (SELECT region, cy, cx FROM (SELECT region, hole, cy, unnest(range(CAST(floor(x / 256) AS BIGINT), CAST(ceil(x1 / 256) + 1 AS BIGINT))) AS cx FROM spans) GROUP BY region, cy, cx HAVING NOT bool_or(hole))"""
+
+
+@R.add(
+    v.with_(v.OUTLINES, CELLS)
+    + """, wide AS (SELECT DISTINCT cy, cx + g AS cx FROM cells, (VALUES (-1), (0), (1)) AS t(g))
+         SELECT DISTINCT cy + g AS cy, cx FROM wide, (VALUES (-1), (0), (1)) AS t(g)"""
+)
+def outline_ground(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of 256 units that any nation's outline covers, without its own holes, grown by one cell."""
+    return polygons.ground(_edges(spark, d), 256, reach=1)
+
+
+TOUCH = """(a_lat >= min_lat OR b_lat >= min_lat) AND (a_lat < max_lat OR b_lat < max_lat) AND (a_lon >= min_lon OR b_lon >= min_lon) AND (a_lon < max_lon OR b_lon < max_lon)
+  AND (a_lat >= min_lat AND a_lat < max_lat AND a_lon >= min_lon AND a_lon < max_lon OR b_lat >= min_lat AND b_lat < max_lat AND b_lon >= min_lon AND b_lon < max_lon OR NOT (
+    least(s00, s01, s10, s11) > 0 OR greatest(s00, s01, s10, s11) < 0))"""
+MET = """met AS (SELECT DISTINCT region, tile FROM (
+  SELECT e.*, t.*, {sides} FROM outline_edges e, tiles t {where}) WHERE {touch})""".replace(
+    "{sides}", ", ".join(f"sign(CAST(b_lon - a_lon AS BIGINT) * ({y} - a_lat) - CAST(b_lat - a_lat AS BIGINT) * ({x} - a_lon)) AS s{i}{j}" for i, y in enumerate(("min_lat", "max_lat")) for j, x in enumerate(("min_lon", "max_lon")))
+).replace("{touch}", TOUCH)
+
+
+@R.add(
+    v.with_(v.OUTLINES, v.TILES, MET.replace("{where}", ""))
+    + f"""SELECT region AS "group", tile FROM met UNION
+         SELECT region, tile FROM (SELECT region, tile FROM outline_edges, (SELECT tile, CAST(floor((min_lat + max_lat) / 2) AS INTEGER) AS lat_u, CAST(floor((min_lon + max_lon) / 2) AS INTEGER) AS lon_u FROM tiles) WHERE {RIGHT} GROUP BY ALL HAVING count(*) % 2 = 1)"""
+)
+def claimed_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that an outline's rings cross or swallow; all rings of an outline count together."""
+    return polygons.claimed_tiles(_edges(spark, d).withColumn("group", F.col("region")), v.tiles(spark))
+
+
+@R.add(
+    v.with_(v.OUTLINES, v.TILES, MET.replace("{where}", "WHERE NOT hole"))
+    + f"""SELECT region, tile FROM met UNION
+         SELECT region, tile FROM (SELECT region, ring, tile, lat_u, lon_u FROM outline_edges, (SELECT tile, unnest([min_lat, max_lat]) AS lat_u, min_lon, max_lon FROM tiles), LATERAL (SELECT unnest([min_lon, max_lon]) AS lon_u)
+           WHERE NOT hole AND {RIGHT} GROUP BY ALL HAVING count(*) % 2 = 1)"""
+)
+def touched_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that an outline touches with an edge or holds a corner of, holes left out of account."""
+    return polygons.touched_cells(_edges(spark, d), v.tiles(spark))

@@ -140,3 +140,37 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.array_sort(F.collect_list(F.struct(F.col("kind").cast("byte").alias("kind"), F.col("ref").cast("long").alias("ref"), "role")))
     of_relations = members(spark, sf_dir).groupBy("relation_id").agg(held.alias("members"))
     return found.unionByName(of_ways).unionByName(of_relations.select(F.lit(2).cast("byte").alias("kind"), F.col("relation_id").alias("id"), none("double").alias("lat"), none("double").alias("lon"), none("array<long>").alias("refs"), F.col("members").cast(member).alias("members"), F.create_map().cast("map<string,string>").alias("tags")))
+
+
+#: Sixteen directions round a place.
+DIRECTIONS = [(0, 16), (6, 15), (11, 11), (15, 6), (16, 0), (15, -6), (11, -11), (6, -15), (0, -16), (-6, -15), (-11, -11), (-15, -6), (-16, 0), (-15, 6), (-11, 11), (-6, 15)]
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, ring, hole, pos, lat_u, lon_u): an outline for each nation, whose customers' keys say how far it goes in each direction.
+
+    Every second nation has a hole, every third a second ring beside the first, which may overlap other nations.
+    """
+    far = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 16).cast("int").alias("pos")).agg(F.sum("c_custkey").alias("s"))
+    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("region")).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    r, ring = F.col("region"), F.col("ring")
+    grid = grid.where((ring == 0) | ((ring == 1) & (r % 2 == 1)) | ((ring == 2) & (r % 3 == 0))).join(far, ["region", "pos"], "left")
+    s = F.coalesce("s", F.lit(0))
+    reach = F.when(ring == 1, 50 + s % 100).otherwise(200 + s % 400)
+    turn = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in DIRECTIONS]), F.col("pos") + 1)
+    lat = (r * 7919) % 40000 - 20000 + F.when(ring == 2, 9001).otherwise(0) + turn(0) * reach
+    lon = (r * 10477) % 40000 - 20000 + F.when(ring == 2, 5003).otherwise(0) + turn(1) * reach
+    return grid.select("region", "ring", (ring == 1).alias("hole"), "pos", lat.cast("int").alias("lat_u"), lon.cast("int").alias("lon_u"))
+
+
+OUTLINES = f"""outlines AS (
+  SELECT region, ring, ring = 1 AS hole, pos,
+    CAST((region * 7919) % 40000 - 20000 + CASE WHEN ring = 2 THEN 9001 ELSE 0 END + {[y for y, _ in DIRECTIONS]}[pos + 1] * reach AS INTEGER) AS lat_u,
+    CAST((region * 10477) % 40000 - 20000 + CASE WHEN ring = 2 THEN 5003 ELSE 0 END + {[x for _, x in DIRECTIONS]}[pos + 1] * reach AS INTEGER) AS lon_u
+  FROM (SELECT g.*, CASE WHEN ring = 1 THEN 50 + coalesce(s, 0) % 100 ELSE 200 + coalesce(s, 0) % 400 END AS reach
+        FROM (SELECT CAST(n_nationkey AS INTEGER) AS region, CAST(p.range AS INTEGER) AS pos, CAST(r.range AS INTEGER) AS ring FROM nation, range(16) p, range(3) r) g
+        LEFT JOIN (SELECT c_nationkey, c_custkey % 16 AS k, sum(c_custkey) AS s FROM customer GROUP BY ALL) ON c_nationkey = region AND k = pos
+        WHERE ring = 0 OR ring = 1 AND region % 2 = 1 OR ring = 2 AND region % 3 = 0)),
+outline_edges AS MATERIALIZED (
+  SELECT region, ring, hole, lat_u AS a_lat, lon_u AS a_lon, coalesce(lead(lat_u) OVER w, first(lat_u) OVER w) AS b_lat, coalesce(lead(lon_u) OVER w, first(lon_u) OVER w) AS b_lon
+  FROM outlines WINDOW w AS (PARTITION BY region, ring ORDER BY pos))"""

@@ -28,10 +28,17 @@ def test_map_units(spark):
 
 
 def test_elevations(spark):
-    texts = ["1527 m", "1527,4", "1,527", "5000 ft", "14,505 ft", "high", "-3", "12000", None]
-    got = [x for (x,) in values(spark, [(t,) for t in texts], "e string", units.elevation(F.col("e")))]
-    want = [1527.0, 1527.4, 1527.0, 1524.0, 4421.124, None, -3.0, 3657.6, None]
-    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got, want))
+    want = {
+        "1527": 1527, "1527.4": 1527.4, "1527 m": 1527, "1527m": 1527, "1 527": 1527, "1 527": 1527, "1527 metres": 1527, "1527 Meters": 1527, "1527,4": 1527.4, "1,527": 1527,
+        "1,527.4": 1527.4, "1,5": 1.5, "-1,5": -1.5, "5000 ft": 1524, "5000'": 1524, "5000′": 1524, "5000 feet": 1524, "5000ft": 1524, "14,505 ft": 4421.124, "14,505": 4421.124, "12000": 3657.6,
+        "-430": -430, "-3": -3, "1,52,7": None, "": None, "   ": None, "high": None, "99999": None, "29600": None, "-9999": None, "NaN": None, "1d": None, "ft": None, None: None,
+    }
+    got = [x for (x,) in values(spark, [(t,) for t in want], "e string", units.elevation(F.col("e")))]
+    assert [g is None for g in got] == [w is None for w in want.values()]
+    assert all(w is None or abs(g - w) < 1e-9 for g, w in zip(got, want.values()))
+    feet = {"14505": 4421.124, "14,505": 4421.124, "5000 ft": 1524, "5000 m": 1524, "high": None, None: None}
+    got = [x for (x,) in values(spark, [(t,) for t in feet], "e string", units.elevation(F.col("e"), in_feet=True))]
+    assert all((g is None) == (w is None) and (w is None or abs(g - w) < 1e-9) for g, w in zip(got, feet.values()))
 
 
 def test_small_readings(spark):
