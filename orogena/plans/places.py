@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orogena import views as v
 from orogena.functions import units
-from orogena.operators import places, polygons, tags, tiling
+from orogena.operators import places, polygons, repair, tags, tiling
 from orogena.plans.registry import Registry
+from orogena.storage import written
 
 R = Registry()
 ROADS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -356,3 +357,33 @@ def meanings(spark: SparkSession, d: str) -> DataFrame:
 def unit_conversions(spark: SparkSession, d: str) -> DataFrame:
     c = v.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), units.map_units(F.col("c_acctbal") / 16).alias("u"), (F.col("c_custkey") % 179 - 89).cast("int").alias("lat"), (F.col("c_custkey") % 359 - 179).cast("int").alias("lon"))
     return c.select("id", "u", units.cell(F.col("u")).alias("cell"), units.tile_name(F.col("lat"), F.col("lon")).alias("tile"))
+
+
+@R.add()
+def repair_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each loose end that stops short of another way by 50 units or less, each a metre: gaps by verdict.
+
+    Decisions are made in order and see one another, which SQL can't say; tests hold them against one walk over all gaps.
+    """
+    refs, nodes = v.way_refs(spark, d), v.nodes(spark, d)
+    segs = written(_short_segments(spark, d), "segments")
+    once = places.referred_once(refs)
+    ends = refs.where("pos = 0").join(once, "node_id").join(nodes.select(F.col("id").alias("node_id"), "lat_u", "lon_u"), "node_id")
+    near = places.nearest_segments(ends, segs, cell=256, limit=50).select("node_id", F.col("to_way").alias("other_way"), "seg")
+    own = ends.select("node_id", F.col("way_id").alias("way"), F.col("lat_u").cast("double").alias("y"), F.col("lon_u").cast("double").alias("x"))
+    line = segs.select(F.col("way_id").alias("other_way"), "seg", "a", "b", *[F.col(f"{p}_{c}").cast("double").alias(f"{p}_{n}") for p in "ab" for c, n in (("lat", "y"), ("lon", "x"))])
+    met = near.join(own, "node_id").join(line, ["other_way", "seg"])
+    dy, dx = F.col("b_y") - F.col("a_y"), F.col("b_x") - F.col("a_x")
+    length = dy * dy + dx * dx
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("y") - F.col("a_y")) * dy + (F.col("x") - F.col("a_x")) * dx) / length))).otherwise(0.0)
+    met = met.withColumn("along", t).withColumn("distance", F.hypot(F.col("a_y") + F.col("along") * dy - F.col("y"), F.col("a_x") + F.col("along") * dx - F.col("x")))
+    loose = (F.col("seg") == 0) & (F.col("a").isNotNull())
+    free = once.select(F.col("node_id").alias("a"), F.lit(True).alias("once"))
+    told = met.join(free, "a", "left").select(
+        (F.col("way") * 8).alias("cand"), "way", F.col("node_id").alias("node"), "y", "x", F.lit(0).alias("own"), F.lit(False).alias("at_end"), "other_way", "seg", "along", "distance",
+        "a", "a_y", "a_x", (loose & F.coalesce("once", F.lit(False))).alias("a_loose"), "b", "b_y", "b_x", F.lit(False).alias("b_loose"),
+        F.when(F.col("way") % 11 == 0, "stopped by fence").alias("stopped"), F.when(F.col("way") % 13 == 0, "cliff").alias("over"), F.when(F.col("way") % 17 == 0, "kerb").alias("held"),
+    )
+    place = lambda p, c: F.col(f"{p}_{c}").cast("double")
+    roads = segs.select(F.col("a").alias("src"), F.col("b").alias("dst"), place("a", "lat").alias("y1"), place("a", "lon").alias("x1"), place("b", "lat").alias("y2"), place("b", "lon").alias("x2"))
+    return repair.verdict_counts(repair.planned(told, roads, repair.Limits(gap=50.0)))

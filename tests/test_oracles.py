@@ -42,4 +42,4 @@ def test_matches_the_oracle(spark, oracle, name):
 
 
 def test_every_query_without_an_oracle_is_tested_elsewhere():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"balanced_areas", "contour_lines"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"balanced_areas", "contour_lines", "repair_verdicts"}
