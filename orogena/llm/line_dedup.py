@@ -87,11 +87,16 @@ def _found(docs: DataFrame, percent: int, pivots: int, id_col: str, text_col: st
         return pairs.join(side("a"), "a").join(side("b"), "b").where(like(shingles(F.col("a_line")), shingles(F.col("b_line")))).select("a", "b")
 
     def confirm_blocks(rows: DataFrame) -> DataFrame:
+        # lines travel, sets are made in the task where two blocks meet, once a block
         few, all_ = dealt_pairs(rows)
-        few = few.join(side("a"), few["id"] == F.col("a")).select("key", "i", "j", F.col("own").alias("own_a"), "a", "an", shingles(F.col("a_line")).alias("ah"))
-        all_ = all_.join(side("b"), all_["id"] == F.col("b")).select("key", "i", "j", F.col("own").alias("own_b"), "b", "bn", shingles(F.col("b_line")).alias("bh"))
-        met = few.join(all_, (few["key"] == all_["key"]) & (few["i"] == all_["i"]) & (few["j"] == all_["j"]) & (F.col("own_a") != F.col("own_b")) & like(F.col("ah"), F.col("bh")))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        meet = ["key", "i", "j"]
+        held = lambda df: df.join(wanted.select("id", "n", "line"), "id").groupBy(*meet).agg(F.collect_list(F.struct("id", "own", "n", "line")).alias("held"))
+        both = held(few).withColumnRenamed("held", "some").join(held(all_).withColumnRenamed("held", "every"), meet)
+        sets = lambda c: F.transform(c, lambda x: F.struct(x["id"].alias("id"), x["own"].alias("own"), x["n"].alias("n"), shingles(x["line"]).alias("h")))
+        near = lambda a, b: (a["own"] != b["own"]) & ((100 + percent) * F.size(F.array_intersect(a["h"], b["h"])) >= percent * (a["n"] + b["n"]))
+        link = lambda a, b: F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
+        found = F.flatten(F.transform(F.array(sets(F.col("every"))), lambda every: F.flatten(F.transform(sets(F.col("some")), lambda a: F.transform(F.filter(every, lambda b: near(a, b)), lambda b: link(a, b))))))
+        return both.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
 
     owner = linked_components(buckets, confirm, confirm_blocks, percent, pivots)
     ids = distinct

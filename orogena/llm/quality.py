@@ -189,3 +189,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     in_small_batches(docs)
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns; each is judged where it is read.
+
+    A null text is judged as an empty one; null and repeated ids make no difference; an empty table stays empty.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [model.scores(texts) for _, texts in slices(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(out) >= least if out else [], pa.bool_()))
+
+    in_small_batches(docs)
+    return docs.mapInArrow(run, docs.schema)
