@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogena.operators import ranking
+from orogena.operators.places import line_cells
 from orogena.storage import written
 
 #: Squares a side of a block.
@@ -209,3 +210,58 @@ def simplified_lines(points: DataFrame, most: int = 2000, flatness: float = FLAT
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in ("cell", "level", "line", "part", "closed", "lats", "lons")} for r in rows], schema=pa.schema([("cell", pa.int32()), ("level", pa.int32()), ("line", pa.int64()), ("part", pa.int32()), ("closed", pa.bool_()), ("lats", pa.list_(pa.float64())), ("lons", pa.list_(pa.float64()))]))
 
     return lines.mapInArrow(run, "cell int, level int, line long, part int, closed boolean, lats array<double>, lons array<double>")
+
+
+#: Fixed values of shores: halvings of the way to one, and the length in cells of a piece between two that is kept.
+HALVINGS, LEAST_CELLS, METRES_A_DEGREE = 6, 2, 111_320.0
+
+
+def dry_pieces(points: DataFrame, water: DataFrame, scale: int) -> DataFrame:
+    """(cell, level, line, piece, nth, lat, lon, closed): what lines of points have over dry ground, each piece ending on the shore.
+
+    ``water`` has the wet cells (cy, cx) of 1/scale degrees.  Where a line crosses the shore, the point is found by halving the
+    segment HALVINGS times and is the last dry one.  A piece of a single point goes, and one from shore to shore that is shorter than
+    LEAST_CELLS cells; a ring that stays dry stays closed, one that is cut is open pieces.
+    """
+    line = ["cell", "level", "line", "closed"]
+    lit = water.select(F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx")).distinct()
+    at = lambda c: F.floor(F.col(c) * scale)
+    told = points.select(*line, "pos", "lat", "lon", at("lat").alias("cy"), at("lon").alias("cx")).join(lit.withColumn("wet", F.lit(True)), ["cy", "cx"], "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
+    along = Window.partitionBy(*line).orderBy("pos")
+    before = lambda c: F.lag(c).over(along)
+    change = F.coalesce(before("wet") != F.col("wet"), F.lit(False))
+    told = written(
+        told.select(*line, "pos", "lat", "lon", "wet", change.alias("change"), before("lat").alias("p_lat"), before("lon").alias("p_lon"))
+        .withColumn("piece", F.sum((F.col("change") & ~F.col("wet")).cast("int")).over(along))
+        .withColumn("cut", F.bool_or("wet").over(Window.partitionBy(*line))),
+        "told",
+    )
+    dry = told.where("NOT wet").select(*line, "piece", "cut", F.col("pos").cast("double").alias("nth"), "lat", "lon", F.lit(False).alias("shore"))
+
+    crossing = told.where("change").select(*line, "pos", "piece", "cut", "wet", "lat", "lon", "p_lat", "p_lon", *[(F.col(c) * scale).alias(n) for c, n in (("lat", "y1"), ("lon", "x1"), ("p_lat", "y2"), ("p_lon", "x2"))])
+    near = line_cells(crossing.select(*line, "pos", "y1", "x1", "y2", "x2"), ("y1", "x1", "y2", "x2"), 1).join(lit, ["cy", "cx"], "left_semi")
+    cells = near.groupBy(*line, "pos").agg(F.collect_set(F.struct("cy", "cx")).alias("cells"))
+    own, other = F.struct("lat", "lon"), F.struct(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"))
+    start = F.struct(F.when(F.col("wet"), other).otherwise(own).alias("dry"), F.when(F.col("wet"), own).otherwise(other).alias("sea"))
+
+    def halved(s: Column, _: Column) -> Column:
+        def at_middle(m: Column) -> Column:
+            is_wet = F.array_contains("cells", F.struct(F.floor(m["lat"] * scale).alias("cy"), F.floor(m["lon"] * scale).alias("cx")))
+            return F.struct(F.when(is_wet, s["dry"]).otherwise(m).alias("dry"), F.when(is_wet, m).otherwise(s["sea"]).alias("sea"))
+
+        middle = F.struct(((s["dry"]["lat"] + s["sea"]["lat"]) / 2).alias("lat"), ((s["dry"]["lon"] + s["sea"]["lon"]) / 2).alias("lon"))
+        return F.get(F.transform(F.array(middle), at_middle), F.lit(0))
+
+    none = F.array().cast("array<struct<cy: bigint, cx: bigint>>")
+    found = crossing.join(cells, [*line, "pos"], "left").withColumn("cells", F.coalesce("cells", none)).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halved))
+    shores = found.select(*line, "piece", "cut", (F.col("pos") - 0.5).alias("nth"), F.col("s.dry.lat").alias("lat"), F.col("s.dry.lon").alias("lon"), F.lit(True).alias("shore"))
+
+    every = dry.unionByName(shores)
+    run = Window.partitionBy(*line, "piece").orderBy("nth")
+    across = (F.col("lon") - F.lag("lon").over(run)) * F.cos(F.radians(F.lag("lat").over(run)))
+    up = F.col("lat") - F.lag("lat").over(run)
+    every = every.withColumn("step", F.coalesce(F.sqrt(across * across + up * up), F.lit(0.0)))
+    whole = Window.partitionBy(*line, "piece")
+    every = every.select("*", F.count("*").over(whole).alias("n"), F.sum("step").over(whole).alias("size"), F.count_if("shore").over(whole).alias("shores"))
+    short = (F.col("shores") == 2) & (F.col("size") * METRES_A_DEGREE < LEAST_CELLS * METRES_A_DEGREE / scale)
+    return every.where((F.col("n") >= 2) & ~short).select("cell", "level", "line", "piece", "nth", "lat", "lon", (F.col("closed") & ~F.col("cut")).alias("closed"))
