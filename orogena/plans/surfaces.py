@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogena import views as v
-from orogena.operators import contours, polygons
+from orogena.operators import areas, borders, contours, polygons, rasters, tiling
 from orogena.plans.registry import Registry
+from orogena.storage import written
 
 R = Registry()
 
@@ -145,3 +146,89 @@ def claimed_tiles(spark: SparkSession, d: str) -> DataFrame:
 def touched_cells(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that an outline touches with an edge or holds a corner of, holes left out of account."""
     return polygons.touched_cells(_edges(spark, d), v.tiles(spark))
+
+
+SAMPLES = """samples AS MATERIALIZED (SELECT y, x, max(height) AS height FROM (SELECT (cell // 2) * 64 + "row" AS y, cell % 2 * 64 + col AS x, height FROM raster) GROUP BY y, x)"""
+
+
+def _corners(spark: SparkSession, raster: DataFrame) -> DataFrame:
+    """The rasters' places: the first two are north of the others."""
+    return raster.select("cell").distinct().select("cell", (-F.floor(F.col("cell") / 2)).cast("int").alias("lat"), (F.col("cell") % 2).cast("int").alias("lon"))
+
+
+@R.add(
+    v.with_(v.NODES, v.DENSITY_RASTER, SAMPLES)
+    + """SELECT cell, "row", col, max(s.height) AS local_max FROM raster c JOIN samples s ON s.y BETWEEN (cell // 2) * 64 + "row" - 3 AND (cell // 2) * 64 + "row" + 3 AND s.x BETWEEN cell % 2 * 64 + col - 3 AND cell % 2 * 64 + col + 3
+         WHERE ("row" * 65 + col) % 7 = 0 GROUP BY cell, "row", col"""
+)
+def maxima_over_borders(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest node density within three samples, seen over the borders of rasters."""
+    raster = written(v.density_raster(spark, d), "raster")
+    centres = raster.where("(row * 65 + col) % 7 = 0").select("cell", "row", "col")
+    return rasters.focal_max(borders.with_halo(raster, _corners(spark, raster), 65, 3), centres, 3)
+
+
+@R.add(
+    v.with_(v.NODES, v.DENSITY_RASTER)
+    + """, dead AS (SELECT cell, "row", col, CASE WHEN cell = 0 AND col = 64 OR cell = 2 AND col = 64 OR cell = 3 AND (col = 0 OR "row" = 0) THEN 0 ELSE height + 1 END AS height FROM raster)
+       SELECT 0 AS cell, "row", 64 AS col, height, 'east' AS edge FROM dead WHERE cell = 1 AND col = 0
+       UNION ALL SELECT 2, "row", 64, height, 'east' FROM dead WHERE cell = 2 AND col = 63
+       UNION ALL SELECT 3, "row", 0, height, 'west' FROM dead WHERE cell = 3 AND col = 1 AND "row" > 0
+       UNION ALL SELECT 3, 0, col, height, 'north' FROM dead WHERE cell = 1 AND "row" = 64"""
+)
+def edges_over_borders(spark: SparkSession, d: str) -> DataFrame:
+    """Dead edges of rasters of node density: two take their neighbours' edges, two that face each other their own lines inside."""
+    raster = written(v.density_raster(spark, d), "raster")
+    cell, row, col = F.col("cell"), F.col("row"), F.col("col")
+    dead = ((cell == 0) & (col == 64)) | ((cell == 2) & (col == 64)) | ((cell == 3) & ((col == 0) | (row == 0)))
+    told = raster.select("cell", "row", "col", F.when(dead, 0).otherwise(F.col("height") + 1).alias("height"))
+    return borders.repaired_edges(told, _corners(spark, raster), 65)
+
+
+LOADED = """loaded AS (SELECT t.*, count(id) AS n FROM tiles t LEFT JOIN nodes ON lat_u >= min_lat AND lat_u < max_lat AND lon_u >= min_lon AND lon_u < max_lon GROUP BY ALL),
+failed AS (SELECT tile FROM loaded WHERE n > (SELECT avg(n) FROM loaded))"""
+
+
+@R.add(
+    v.with_(v.NODES, v.TILES, LOADED)
+    + """SELECT tile, part, CAST(CASE WHEN part = 1 THEN min_lat + 4096 ELSE min_lat END AS INTEGER) AS min_lat, min_lon, CAST(CASE WHEN part = 0 AND halved THEN min_lat + 4096 ELSE max_lat END AS INTEGER) AS max_lat, max_lon
+         FROM (SELECT *, tile IN (SELECT tile FROM failed) AS halved FROM tiles), (VALUES (0), (1)) AS p(part) WHERE part = 0 OR halved"""
+)
+def refined_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles with more nodes than the mean cut in two."""
+    tiles = v.tiles(spark)
+    tile = (F.shiftright(F.col("lat_u") + 32768, 13) * 8 + F.shiftright(F.col("lon_u") + 32768, 13)).alias("tile")
+    counts = tiles.select("tile").join(v.nodes(spark, d).select(tile).groupBy("tile").agg(F.count("*").alias("n")), "tile", "left").select("tile", F.coalesce("n", F.lit(0)).alias("n"))
+    mean = counts.agg(F.avg("n").alias("mean"))
+    return areas.refined(tiles, counts.join(F.broadcast(mean), F.col("n") > F.col("mean")).select("tile"))  # the mean is one row
+
+
+@R.add(
+    v.with_(v.NODES)
+    + """, c AS (SELECT DISTINCT floor(((lon_u * 64 + {shift} + 8388608) % 16777216 - 8388608) / 2048)::BIGINT AS cx, floor(lat_u / 2048)::BIGINT AS cy FROM nodes),
+       b AS (SELECT min(cy) AS y0, max(cy) + 1 AS y1, min(cx) AS x0, max(cx) + 1 AS x1 FROM c),
+       g AS (SELECT cx + 1 AS place, lead(cx) OVER (ORDER BY cx) - cx - 1 AS run FROM (SELECT DISTINCT cx FROM c)),
+       w AS (SELECT * FROM g WHERE run > 0 ORDER BY run DESC, place LIMIT 1),
+       t AS (SELECT *, 4096 - x1 + x0 + 4096 AS out FROM b LEFT JOIN w ON true)
+       SELECT 0 AS part, y0::INTEGER AS min_cy, (CASE WHEN run > out AND out < 16 THEN -4096 ELSE x0 END)::INTEGER AS min_cx, y1::INTEGER AS max_cy, (CASE WHEN run > out THEN place ELSE x1 END)::INTEGER AS max_cx FROM t WHERE y0 IS NOT NULL
+       UNION ALL SELECT 1, y0::INTEGER, (place + run)::INTEGER, y1::INTEGER, (CASE WHEN out < 16 THEN 4096 ELSE x1 END)::INTEGER FROM t WHERE run > out""".replace("{shift}", "8000000")
+)
+def seam_ground(spark: SparkSession, d: str) -> DataFrame:
+    """Where cutting starts for nodes spread around 180 degrees: the two sides of it."""
+    lon = F.pmod(F.col("lon_u") * 64 + 8000000 + 8388608, F.lit(16777216)) - 8388608
+    cells = v.nodes(spark, d).select(F.floor(F.col("lat_u") / 2048).alias("cy"), F.floor(lon / 2048).alias("cx")).distinct()
+    return areas.ground(cells)
+
+
+@R.add(
+    v.with_(v.NODES, v.TILES)
+    + """, m AS (SELECT * REPLACE (CAST(CASE WHEN min_lat <> 0 AND min_lat % 16384 = 0 AND min_lat > -32768 THEN min_lat + 2048 ELSE min_lat END AS INTEGER) AS min_lat, CAST(CASE WHEN max_lat <> 0 AND max_lat % 16384 = 0 AND max_lat < 32768 THEN max_lat + 2048 ELSE max_lat END AS INTEGER) AS max_lat,
+         CAST(CASE WHEN min_lon <> 0 AND min_lon % 16384 = 0 AND min_lon > -32768 THEN min_lon + 2048 ELSE min_lon END AS INTEGER) AS min_lon, CAST(CASE WHEN max_lon <> 0 AND max_lon % 16384 = 0 AND max_lon < 32768 THEN max_lon + 2048 ELSE max_lon END AS INTEGER) AS max_lon) FROM tiles)
+       SELECT tile, count(id) AS nodes, min_lat, min_lon, max_lat, max_lon FROM m LEFT JOIN nodes ON lat_u >= min_lat AND lat_u < max_lat AND lon_u >= min_lon AND lon_u < max_lon GROUP BY ALL"""
+)
+def nudged_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles whose borders on multiples of 16,384 units moved by a cell, and the nodes that each has then."""
+    moved = areas.nudged(v.tiles(spark), stride=16384)
+    inside = (F.col("lat_u") < F.col("max_lat")) & (F.col("lon_u") < F.col("max_lon"))
+    held = tiling.point_tiles(v.nodes(spark, d).select("id", "lat_u", "lon_u"), moved, bits=13).join(moved, "tile").where(inside).groupBy("tile").agg(F.count("*").alias("nodes"))
+    return moved.join(held, "tile", "left").select("tile", F.coalesce("nodes", F.lit(0)).alias("nodes"), "min_lat", "min_lon", "max_lat", "max_lon")
