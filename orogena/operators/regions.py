@@ -57,14 +57,18 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def chain_ends(merges: DataFrame) -> DataFrame:
-    """(id, into): where chains of merges (id, into) end, by following twice as far each round."""
+    """(id, into): where chains of merges (id, into) end, by following twice as far each round; null where a chain comes back on itself.
+
+    No chain is longer than there are merges, so that what still moves after as many doublings goes round in a circle.
+    """
     now = merges.select("id", "into")
-    while True:
+    for _ in range(max(1, now.count()).bit_length() + 1):
         nxt = now.select(F.col("id").alias("into"), F.col("into").alias("then"))
         after = _cut(now.join(nxt, "into", "left").select("id", F.coalesce("then", "into").alias("into"), F.col("then").isNotNull().alias("moved")))
         now = after.select("id", "into")
         if after.where("moved").isEmpty():
             return now
+    return after.select("id", F.when(~F.col("moved"), F.col("into")).alias("into"))
 
 
 def footprint(boxes: DataFrame) -> DataFrame:

@@ -356,3 +356,47 @@ def hourly_running(spark: SparkSession, d: str) -> DataFrame:
     """Events by hour with a running count: the cumulative share that cuts are made at. An extra, plain Spark."""
     e = v.table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour_ts")).agg(F.count("*").alias("n"))
     return e.withColumn("running", F.sum("n").over(Window.partitionBy("event_type").orderBy("hour_ts")))
+
+
+@R.add(
+    v.with_(v.WAY_REFS)
+    + """, sized AS (SELECT way_id, pos, count(*) OVER (PARTITION BY way_id) AS n, CASE WHEN pos % 5 = 3 THEN -node_id ELSE node_id END AS changed, node_id FROM way_refs),
+       own AS (SELECT way_id, changed AS point, b AS backward, CAST(CASE WHEN (way_id % 2 = 1) <> b THEN n - 1 - pos ELSE pos END AS INTEGER) AS i FROM sized, (VALUES (false), (true)) AS t(b)),
+       met AS (SELECT own.way_id, backward, i, s.pos - i AS d FROM own JOIN sized s ON s.way_id = own.way_id AND s.node_id = own.point),
+       told AS (SELECT *, i - row_number() OVER (PARTITION BY way_id, backward, d ORDER BY i) AS stretch FROM met)
+       SELECT way_id AS element, backward, i, CAST(max(n) AS INTEGER) AS n FROM (SELECT *, max(i) OVER (PARTITION BY way_id, backward, d, stretch) - i + 1 AS n FROM told) GROUP BY way_id, backward, i"""
+)
+def aligned_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run from each place of an element that its way has too: elements are ways with points exchanged, every second in reverse."""
+    refs = v.way_refs(spark, d)
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("pos", "point"))), lambda x: x["point"])
+    ways = refs.withColumn("point", F.col("node_id")).groupBy(F.col("way_id").alias("id")).agg(chain.alias("chain"))
+    changed = refs.withColumn("point", F.when(F.col("pos") % 5 == 3, -F.col("node_id")).otherwise(F.col("node_id"))).groupBy(F.col("way_id").alias("id")).agg(chain.alias("chain"))
+    elements = changed.select("id", F.when(F.col("id") % 2 == 1, F.reverse("chain")).otherwise(F.col("chain")).alias("chain"))
+    pairs = ways.select(F.col("id").alias("element"), F.col("id").alias("way"))
+    return linkage.run_lengths(pairs, elements, ways).select("element", "backward", "i", F.col("n").cast("int").alias("n"))
+
+
+@R.add(
+    """SELECT p_partkey AS id, p_size % 3 = 0 AS routable, p_size % 4 = 1 AS contour, p_size % 2 = 0 AND p_size % 5 < 3 AS described,
+         CAST(greatest(-1000, least(1000, CASE WHEN p_size % 7 = 0 THEN 0 ELSE (p_size % 5) * 700 - 1400 END)) * 4 + CASE WHEN p_size % 6 = 2 THEN 2 ELSE 0 END + CASE WHEN p_size % 8 = 3 THEN 1 ELSE 0 END AS INTEGER) AS level,
+         CAST(CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size + 0.5 END AS DOUBLE) AS metres, CAST(floor((p_size * 37 + 4) / 8) * 8 AS INTEGER) AS snapped
+       FROM part"""
+)
+def point_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each part's tags make a road, a contour or a point worth carrying; its drawn level, height and place on a lattice."""
+    n = F.col("p_size")
+    t = F.create_map(
+        F.lit("highway"), F.when(n % 3 == 0, "track").otherwise("proposed"),
+        F.lit("contour"), F.when(n % 4 == 1, "elevation").otherwise("depth"),
+        F.when(n % 2 == 0, "tourism").otherwise("note"), F.lit("yes"),
+        F.when(n % 5 < 3, "description").otherwise("remark"), F.col("p_type"),
+    )
+    layer = F.when(n % 7 == 0, "none").otherwise(((n % 5) * 700 - 1400).cast("string"))
+    bridge, tunnel = F.when(n % 6 == 2, "yes").when(n % 6 == 3, "no"), F.when(n % 8 == 3, "yes").when(n % 8 == 4, "building_passage")
+    height = F.when(n % 9 == 0, "tall").otherwise(F.concat(n, F.lit(",5 m")))
+    p = v.table(spark, d, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"), tags.routable(t).alias("routable"), tags.contour(t).alias("contour"), tags.described_point(t).alias("described"),
+        units.drawn_level(layer, bridge, tunnel).cast("int").alias("level"), units.metres(height).alias("metres"), units.on_lattice((n * 37).cast("int"), 3).alias("snapped"),
+    )

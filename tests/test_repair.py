@@ -161,3 +161,9 @@ def test_gates_and_dead_ends_of_roads(spark):
     refs = spark.createDataFrame([(1,), (2,), (3,), (1,)], "node_id int")
     got = repair.road_marks(nodes, refs, F.col("tags")["barrier"] == "gate", F.col("tags")["noexit"] == "yes")
     assert sorted(map(tuple, got.collect())) == [(1, True, False), (2, False, True)]
+
+
+def test_chains_that_come_back_end_nowhere(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (9, 1), (5, 6), (6, 7), (8, 8)]
+    got = {r.id: r.into for r in regions.chain_ends(spark.createDataFrame(pairs, "id int, into int")).collect()}
+    assert got == {1: None, 2: None, 3: None, 9: None, 5: 7, 6: 7, 8: None}
