@@ -165,26 +165,28 @@ def on_ground(points: DataFrame, side: int, corners: DataFrame) -> DataFrame:
     return points.join(corners.select("cell", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "cell").select(*points.columns, (F.col("_lat") + 1 - F.col("y") / span).alias("lat"), (F.col("_lon") + F.col("x") / span).alias("lon"))
 
 
+def _on_the_way(a: complex, b: complex, c: complex, flatness: float) -> bool:
+    """Whether b lies on the straight way from a to c, at most ``flatness`` beside it and neither before a nor beyond c."""
+    way = c - a
+    if not way:
+        return False
+    turned = (b - a) * way.conjugate() / abs(way)  # along the way, and beside it
+    return turned.real > 0 and abs(turned.imag) <= flatness and abs(b - a) <= abs(way)
+
+
 def tidied(lats: list[float], lons: list[float], flatness: float = FLATNESS) -> list[int]:
     """The points of a line that stay: neither repeated in place nor between others on a straight run.
 
-    A middle point goes if it is within ``flatness`` of the line through its neighbours and between them, so that a spike
-    that doubles back keeps its tip; the test goes back over the whole run.
+    A point is left out if it lies on the way from the last one kept before it to the next, which is asked again for all points kept
+    before as long as it holds; a spike that doubles back keeps its tip.
     """
+    places = [complex(x, y) for y, x in zip(lats, lons)]
     kept: list[int] = []
-    for i, (y, x) in enumerate(zip(lats, lons)):
-        if i and y == lats[i - 1] and x == lons[i - 1]:
+    for i, place in enumerate(places):
+        if i and place == places[i - 1]:
             continue
-        while len(kept) >= 2:
-            ay, ax = lats[kept[-2]], lons[kept[-2]]
-            by, bx = lats[kept[-1]] - ay, lons[kept[-1]] - ax
-            cy, cx = y - ay, x - ax
-            span = (cy * cy + cx * cx) ** 0.5
-            if span == 0 or abs(bx * cy - by * cx) / span > flatness:
-                break
-            if by * cy + bx * cx <= 0 or by * by + bx * bx > span * span:
-                break
-            kept.pop()
+        while len(kept) > 1 and _on_the_way(places[kept[-2]], places[kept[-1]], place, flatness):
+            del kept[-1]
         kept.append(i)
     return kept
 

@@ -197,16 +197,17 @@ def burnt_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     v.with_(v.RASTER)
-    + """, e AS (SELECT cell, "row" AS r, col AS c, CASE "row" WHEN 0 THEN 1 WHEN 127 THEN 126 ELSE "row" END AS ir, CASE col WHEN 0 THEN 1 WHEN 127 THEN 126 ELSE col END AS ic FROM raster WHERE height IS NULL AND ("row" IN (0, 127) OR col IN (0, 127)))
-       SELECT e.cell, r AS "row", c AS col, height FROM e JOIN raster x ON x.cell = e.cell AND x."row" = ir AND x.col = ic WHERE height IS NOT NULL"""
+    + """, v AS (SELECT *, CASE "row" WHEN 0 THEN lead(height) OVER c WHEN 127 THEN lag(height) OVER c ELSE height END AS inner_row FROM raster WINDOW c AS (PARTITION BY cell, col ORDER BY "row")),
+       h AS (SELECT *, CASE col WHEN 0 THEN lead(inner_row) OVER r WHEN 127 THEN lag(inner_row) OVER r ELSE inner_row END AS inside FROM v WINDOW r AS (PARTITION BY cell, "row" ORDER BY col))
+       SELECT cell, "row", col, inside AS height FROM h WHERE height IS NULL AND ("row" IN (0, 127) OR col IN (0, 127)) AND inside IS NOT NULL"""
 )
 def mended_edges(spark: SparkSession, d: str) -> DataFrame:
     return rasters.mended_edges(v.raster(spark, d), 128)
 
 
-SQUARES = """q AS (SELECT a.cell, a."row", a.col, a.height AS nw, b.height AS ne, c.height AS se, e.height AS sw FROM raster a
-    JOIN raster b ON b.cell = a.cell AND b."row" = a."row" AND b.col = a.col + 1 JOIN raster c ON c.cell = a.cell AND c."row" = a."row" + 1 AND c.col = a.col + 1
-    JOIN raster e ON e.cell = a.cell AND e."row" = a."row" + 1 AND e.col = a.col WHERE a.height IS NOT NULL AND b.height IS NOT NULL AND c.height IS NOT NULL AND e.height IS NOT NULL),
+SQUARES = """q AS (SELECT * FROM (SELECT cell, "row", col, nw, ne, lead(ne) OVER c AS se, lead(nw) OVER c AS sw
+      FROM (SELECT cell, "row", col, height AS nw, lead(height) OVER r AS ne FROM raster WINDOW r AS (PARTITION BY cell, "row" ORDER BY col)) WINDOW c AS (PARTITION BY cell, col ORDER BY "row"))
+    WHERE nw IS NOT NULL AND ne IS NOT NULL AND se IS NOT NULL AND sw IS NOT NULL),
   l AS (SELECT *, CAST(range * 50 AS INTEGER) AS level FROM q, range(0, 8) WHERE least(nw, ne, se, sw) <= range * 50 AND greatest(nw, ne, se, sw) > range * 50),
   k AS (SELECT *, (nw > level)::INT * 8 + (ne > level)::INT * 4 + (se > level)::INT * 2 + (sw > level)::INT AS k, nw + ne + se + sw > 4 * level AS hm FROM l),
   t(k, hm, a, b) AS (VALUES (1, NULL, 2, 3), (2, NULL, 1, 2), (3, NULL, 1, 3), (4, NULL, 0, 1), (6, NULL, 0, 2), (7, NULL, 0, 3), (8, NULL, 0, 3), (9, NULL, 0, 2), (11, NULL, 0, 1), (12, NULL, 1, 3), (13, NULL, 1, 2), (14, NULL, 2, 3),
