@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orogena.operators import areas
+from orogena.operators import areas, tiling
 
 GRAIN = areas.GRAIN
 COLUMNS = "tile int, min_lat int, min_lon int, max_lat int, max_lon int"
@@ -118,3 +118,17 @@ def test_no_cells_have_no_ground(spark):
 def test_near_side(spark):
     rows = spark.createDataFrame([(-179.5, 179.0), (179.5, -179.0), (10.0, 20.0)], "lon double, centre double")
     assert [r[0] for r in rows.select(areas.near_side(F.col("lon"), F.col("centre"))).collect()] == [180.5, -180.5, 10.0]
+
+
+def test_sums_over_many_blocks(spark):
+    rng = random.Random(12)
+    cells = {(rng.randint(-200, 200), rng.randint(-200, 200)): rng.randint(1, 9) for _ in range(700)} | {(-64, -64): 3, (63, 64): 2, (64, 63): 5, (0, 0): 1}
+    frame = spark.createDataFrame([(*k, n) for k, n in cells.items()], "cy int, cx int, n long")
+    totals = tiling.summed_area(frame)
+    got = {(r.cy, r.cx): r.total for r in totals.collect()}
+    assert got == {(y, x): sum(n for (b, a), n in cells.items() if b <= y and a <= x) for y, x in cells}
+    assert tiling.summed_area(frame.limit(0)).count() == 0
+    # every corner of a rectangle that is asked for has a total
+    full = spark.createDataFrame([(y, x, 1) for y in range(70) for x in range(70)], "cy int, cx int, n long")
+    rects = spark.createDataFrame([(1, 0, 0, 70, 70), (2, 10, 20, 30, 25), (3, 5, 5, 6, 6)], "rect int, min_cy int, min_cx int, max_cy int, max_cx int")
+    assert {r.rect: r.n for r in tiling.rectangle_counts(tiling.summed_area(full), rects).collect()} == {1: 4900, 2: 100, 3: 1}
