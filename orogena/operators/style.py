@@ -98,3 +98,46 @@ def substituted(rules: DataFrame, sheet: DataFrame) -> DataFrame:
     once = rules.groupBy("file", F.col("text").alias("old")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
     good = sheet.join(once, ["file", "old"]).withColumnRenamed("old", "text")
     return rules.join(good, ["file", "text"], "left").select("file", "line", F.coalesce("new", "text").alias("text"))
+
+
+def hideable(lines: DataFrame, categories: list[str], protected: list[str]) -> DataFrame:
+    """(file, line, key, value): lines (file, line, text) that are rules which can be taken away by themselves.
+
+    Such a rule is a single key=value of a known category that isn't protected, with a type in brackets, and sets no tags; a line that
+    goes on to the next, and a comment, are none.
+    """
+    parts = r"^([a-z][a-z0-9_:]*) *= *([A-Za-z0-9_:.-]+)(.*)$"
+    text = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    told = lines.select("file", "line", text.alias("text")).where(~F.col("text").startswith("#") & ~F.col("text").endswith("|"))
+    told = told.select("file", "line", *[F.regexp_extract("text", parts, k).alias(n) for k, n in ((1, "key"), (2, "value"), (3, "rest"))])
+    at = F.instr("rest", "[0x")
+    actions, digit = F.substring("rest", F.lit(1), at - 1), F.substring("rest", at + 3, F.lit(1))
+    good = (F.col("key") != "") & (at > 0) & digit.rlike("^[0-9a-fA-F]$") & ~actions.contains("{set ") & ~actions.contains("{add mkgmap:")
+    return told.where(good & F.col("key").isin(categories) & ~F.col("key").isin(protected)).select("file", "line", "key", "value")
+
+
+def rung_spread(rules: DataFrame) -> DataFrame:
+    """(family, finest, coarsest, rules): the rungs that rules (family, rung) of a family begin at; those without a rung don't count."""
+    return rules.where("rung IS NOT NULL").groupBy("family").agg(F.min("rung").alias("finest"), F.max("rung").alias("coarsest"), F.count("*").alias("rules"))
+
+
+#: Outcomes of matching, the better ones later: a name beats a doubt.
+OUTCOMES = ["unmatched", "ambiguous", "matched"]
+
+
+def best_outcomes(outcomes: DataFrame) -> DataFrame:
+    """(kind, outcome, n): elements (kind, element, extract, outcome) by the best outcome that any extract gives them."""
+    rank = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    best = outcomes.groupBy("kind", "element").agg(F.max(rank).alias("rank"))
+    return best.groupBy("kind", F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("rank").cast("int")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def classed_tags(counts: DataFrame, fewest: int, stray: float) -> DataFrame:
+    """(tag, built, open): whether each class is a real share of a tag, from counts (tag, built, n), of which the largest of a class counts.
+
+    A class is real with at least ``fewest`` and a share ``stray`` of the other's, so that some strays make no class.
+    """
+    own = counts.groupBy("tag").agg(F.max(F.when(F.col("built"), F.col("n"))).alias("b"), F.max(F.when(~F.col("built"), F.col("n"))).alias("o"))
+    b, o = F.coalesce("b", F.lit(0)), F.coalesce("o", F.lit(0))
+    real = lambda x, y, name: ((x >= fewest) & (x >= stray * y)).alias(name)
+    return own.select("tag", real(b, o, "built"), real(o, b, "open"))

@@ -400,3 +400,45 @@ def point_filters(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_partkey").alias("id"), tags.routable(t).alias("routable"), tags.contour(t).alias("contour"), tags.described_point(t).alias("described"),
         units.drawn_level(layer, bridge, tunnel).cast("int").alias("level"), units.metres(height).alias("metres"), units.on_lattice((n * 37).cast("int"), 3).alias("snapped"),
     )
+
+
+@R.add(
+    """SELECT p_type AS file, p_partkey AS line, CASE p_size % 3 WHEN 0 THEN 'amenity' WHEN 1 THEN 'tourism' ELSE 'shop' END AS key, 'kind_' || p_size AS value FROM part
+       WHERE p_size % 10 NOT IN (2, 4, 6, 8) AND p_size % 3 <> 2"""
+)
+def hideable_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that can be hidden by themselves, among lines with other conditions, actions that set tags, comments and protected keys."""
+    n = F.col("p_size")
+    key = F.when(n % 3 == 0, "amenity").when(n % 3 == 1, "tourism").otherwise("shop")
+    rule = F.concat(key, F.lit(" = kind_"), n)
+    ends = {2: " & name=* [0x2a resolution 24] |", 4: " {set mark=yes} [0x2a00]", 6: " [0xzz]", 8: ""}
+    text = F.coalesce(*[F.when(n % 10 == k, F.concat(rule, F.lit(x))) for k, x in ends.items()], F.concat(F.lit("  "), rule, F.lit(" {name '${name}'} [0x2a00 resolution 24]")))
+    lines = v.table(spark, d, "part").select(F.col("p_type").alias("file"), F.col("p_partkey").alias("line"), text.alias("text"))
+    return style.hideable(lines, ["amenity", "tourism", "shop"], ["shop"])
+
+
+@R.add("SELECT p_type AS family, min(rung) AS finest, max(rung) AS coarsest, count(*) AS rules FROM (SELECT p_type, CASE WHEN p_size % 7 <> 0 THEN p_size % 24 END AS rung FROM part) WHERE rung IS NOT NULL GROUP BY p_type")
+def rung_spreads(spark: SparkSession, d: str) -> DataFrame:
+    """The finest and the coarsest rung of each family's rules, and how many there are."""
+    return style.rung_spread(v.table(spark, d, "part").select(F.col("p_type").alias("family"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 24).alias("rung")))
+
+
+@R.add(
+    """SELECT kind, ['unmatched', 'ambiguous', 'matched'][r] AS outcome, count(*) AS n FROM (
+         SELECT l_returnflag AS kind, l_partkey, max(CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 2 END ELSE CASE WHEN l_suppkey % 5 = 0 THEN 3 ELSE 1 END END) AS r FROM lineitem GROUP BY ALL) GROUP BY ALL"""
+)
+def best_of_extracts(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by the best outcome of matching that any of their extracts gives."""
+    line, supp = F.col("l_linenumber") % 3, F.col("l_suppkey")
+    told = F.when((line == 1) & (supp % 2 != 0), "ambiguous").when((line == 2) & (supp % 5 == 0), "matched").otherwise("unmatched")
+    return style.best_outcomes(v.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("element"), supp.alias("extract"), told.alias("outcome")))
+
+
+@R.add(
+    """SELECT tag, coalesce(b, 0) >= 20 AND coalesce(b, 0) >= 0.25 * coalesce(o, 0) AS built, coalesce(o, 0) >= 20 AND coalesce(o, 0) >= 0.25 * coalesce(b, 0) AS open FROM (
+         SELECT p_brand AS tag, max(n) FILTER (built) AS b, max(n) FILTER (NOT built) AS o FROM (SELECT p_brand, p_type, p_size % 4 = 0 AS built, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand)"""
+)
+def classes_of_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Whether buildings and open ground are real shares of each tag."""
+    counts = v.table(spark, d, "part").groupBy(F.col("p_brand").alias("tag"), "p_type", (F.col("p_size") % 4 == 0).alias("built")).agg(F.count("*").alias("n"))
+    return style.classed_tags(counts, 20, 0.25)
