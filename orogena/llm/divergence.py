@@ -78,16 +78,20 @@ def _share(count: Column | str, total: Column | str, terms: Column | str) -> Col
     return F.lit(1) + F.call_function("div", up, F.nullif(down, F.lit(0)).cast("decimal(20,0)"))
 
 
-def _differences(rows: pd.DataFrame) -> pd.DataFrame:
+_SUMS = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int64())])
+
+
+def _differences(block: pa.Table) -> pa.Table:
     """Of a block of terms: for each pair of its sources the sum over terms of |p - q| - |p0 - q0|.
 
     Rows (source, tile, term, p) have the shares of terms that occur, and p0, the share of one that doesn't, where term is null.
     """
-    lang, ti, tj = rows[["lang", "ti", "tj"]].iloc[0]
+    rows = block.select(["source", "tile", "term", "p"]).to_pandas()
+    lang, ti, tj = (block[c][0].as_py() for c in ("lang", "ti", "tj"))
     base = rows[rows["term"].isna()].sort_values("source", kind="stable")
-    names, tiles, p0 = base["source"].to_numpy(), base["tile"].to_numpy(), base["p"].to_numpy(np.int64)
+    names, tiles, p0 = base["source"].to_numpy(object), base["tile"].to_numpy(), base["p"].to_numpy(np.int64)
     cells = rows[rows["term"].notna()]
-    at = np.searchsorted(names, cells["source"].to_numpy())
+    at = np.searchsorted(names, cells["source"].to_numpy(object))
     col = pd.factorize(cells["term"])[0].astype(np.int64)
     order = np.lexsort((col, at))
     col, p = col[order], cells["p"].to_numpy(np.int64)[order]
@@ -95,7 +99,7 @@ def _differences(rows: pd.DataFrame) -> pd.DataFrame:
     n_cols = int(col.max()) + 1 if len(col) else 0
     full = np.flatnonzero(np.diff(edges))  # reduceat has no empty rows
     owner = np.repeat(np.arange(len(names)), np.diff(edges))
-    out = []
+    ones, others, found = [], [], []
     for i in np.flatnonzero(tiles == ti):
         dense = np.full(n_cols, p0[i])
         own = p[edges[i] : edges[i + 1]]
@@ -108,8 +112,10 @@ def _differences(rows: pd.DataFrame) -> pd.DataFrame:
         below = np.concatenate([[0], np.cumsum(ordered)])
         sums += p0 * k - below[k] + below[-1] - below[k] - p0 * (len(own) - k) - len(own) * np.abs(p0 - p0[i])
         other = np.flatnonzero((tiles == tj) & (np.arange(len(names)) > i if ti == tj else True))
-        out.append(pd.DataFrame({"lang": lang, "a": names[i], "b": names[other], "d": sums[other]}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "d": []})
+        ones += [names[i]] * len(other)
+        others += names[other].tolist()
+        found += sums[other].tolist()
+    return pa.table([[lang] * len(found), ones, others, found], schema=_SUMS)
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", block: int = BLOCK_ENTRIES, tile: int = TILE) -> DataFrame:
@@ -142,7 +148,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, text
     bases = told.where("v > 0").select("lang", "source", F.lit(None).cast("string").alias("term"), "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("p0").alias("p"))
     met = held.unionByName(bases).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("lang", F.least("tile", "to").alias("ti"), F.greatest("tile", "to").alias("tj"), "block", "source", "tile", "term", "p")
-    parts = met.groupBy("lang", "ti", "tj", "block").applyInPandas(_differences, "lang string, a string, b string, d long")
+    parts = met.groupBy("lang", "ti", "tj", "block").applyInArrow(_differences, "lang string, a string, b string, d long")
 
     one, other = told.alias("one"), told.alias("other")
     pairs = one.join(other, F.col("one.lang") == F.col("other.lang")).where(F.col("one.source") < F.col("other.source"))
