@@ -11,8 +11,10 @@ Files are opened through ``pyarrow.fs``, so a path may be on any store that it k
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import posixpath
+import time
 import urllib.parse
 import uuid
 import zlib
@@ -282,13 +284,19 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             for name in m.names if m else []:
                 store.move(f"{held}/{name}", f"{path}/{name}")
-        self.abort(messages)
+        self._clear()
 
-    def abort(self, messages: list[Written | None]) -> None:
+    def _clear(self) -> None:
         store, _, held = self._store()
         if store.get_file_info(held).type == fs.FileType.Directory:
             store.delete_dir(held)
 
+    def abort(self, messages: list[Written | None]) -> None:
+        for _ in range(8):  # other tasks may still be writing for a moment
+            with contextlib.suppress(OSError):
+                self._clear()
+            time.sleep(0.25)
+
 
 class WarcDataSource(DataSource):
     """``format("warc")``: a folder of archives.  Options: payload (true: read payloads too), date and roll (when writing)."""
