@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogena.storage import written
+
 
 def rewritten(refs: DataFrame, merges: DataFrame, inserts: DataFrame, routable: DataFrame) -> DataFrame:
     """(way_id, refs): references with merges (id, into) followed on routable ways (way_id) and nodes inserted.
@@ -58,9 +60,27 @@ def venue_marks(areas: DataFrame, points: DataFrame) -> DataFrame:
     """(id): areas (id, seen, tag, name, box) that stand for another venue of the same tag.
 
     An area is marked by a point (tag, y, x, name) in its box, unless it has a name and the point none or another;
-    and by a named smaller area inside it, if it has none itself. Both sides meet by tag and grid cell.
+    and by a named smaller area inside it, if it has none itself. Both sides meet by tag and grid cell, first one point for each
+    name and one area, the smallest, of a cell; all others meet only the areas that these leave unmarked.
     """
-    bits = 13
+    areas = written(areas, "areas")
+    points, named = written(points, "points"), written(areas.where("name IS NOT NULL"), "named")
+    cell = [F.shiftright(c, VENUE_BITS) for c in ("min_lat", "min_lon")]
+    extent = (F.col("max_lat") - F.col("min_lat")).cast("long") * (F.col("max_lon") - F.col("min_lon"))
+    least = named.groupBy("tag", cell[0].alias("cy"), cell[1].alias("cx")).agg(F.min_by(F.struct(*named.columns), F.struct(extent, "id")).alias("a")).select("a.*")
+    one = points.groupBy("tag", "name", F.shiftright("y", VENUE_BITS).alias("cy"), F.shiftright("x", VENUE_BITS).alias("cx")).agg(F.min(F.struct("y", "x")).alias("p")).select("tag", "p.y", "p.x", "name")
+    marked = written(_marked(areas, one, least), "marked")
+    rest = _marked(areas.join(marked, "id", "left_anti"), points, named)
+    return marked.unionByName(rest).distinct()
+
+
+#: A venue is filed in cells of 2^10 units.
+VENUE_BITS = 10
+
+
+def _marked(areas: DataFrame, points: DataFrame, named: DataFrame) -> DataFrame:
+    """(id): areas that one of the points, or of the named areas, marks."""
+    bits = VENUE_BITS
     span = lambda lo, hi: F.explode(F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits)))
     filed = areas.withColumn("cy", span("min_lat", "max_lat")).withColumn("cx", span("min_lon", "max_lon"))
     p = points.select("tag", "y", "x", F.col("name").alias("point_name"), F.shiftright("y", bits).alias("cy"), F.shiftright("x", bits).alias("cx"))
@@ -69,7 +89,7 @@ def venue_marks(areas: DataFrame, points: DataFrame) -> DataFrame:
     by_point = filed.join(p, ["tag", "cy", "cx"]).where(inside & agrees).select("id")
     size = lambda: ((F.col("max_lat") - F.col("min_lat")).cast("long") * (F.col("max_lon") - F.col("min_lon")))
     # an inner area is met where its own corner lies
-    inner = areas.where("name IS NOT NULL").select("tag", F.col("id").alias("inner"), size().alias("isize"), F.shiftright("min_lat", bits).alias("cy"), F.shiftright("min_lon", bits).alias("cx"), *[F.col(c).alias("i_" + c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")])
+    inner = named.select("tag", F.col("id").alias("inner"), size().alias("isize"), F.shiftright("min_lat", bits).alias("cy"), F.shiftright("min_lon", bits).alias("cx"), *[F.col(c).alias("i_" + c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")])
     held = (F.col("i_min_lat") >= F.col("min_lat")) & (F.col("i_max_lat") <= F.col("max_lat")) & (F.col("i_min_lon") >= F.col("min_lon")) & (F.col("i_max_lon") <= F.col("max_lon"))
     by_area = filed.where("name IS NULL").withColumn("size", size()).join(inner, ["tag", "cy", "cx"]).where(held & (F.col("inner") != F.col("id")) & (F.col("isize") < F.col("size"))).select("id")
     return by_point.unionByName(by_area).distinct()
