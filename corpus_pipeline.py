@@ -61,8 +61,20 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For each row its number of tokens and the digests of its token ids and of the text decoded from them.
 
     A null text is encoded as an empty one, of no tokens; null ids and repeated rows are carried; an empty table gives an empty result.
+    Documents that say where they stand (see :func:`in_order`) are given out in that order.
     """
-    return bpe_round_trip(docs, vocabulary())
+    if not set(PLACE) <= set(docs.columns):
+        return bpe_round_trip(docs, vocabulary())
+    return bpe_round_trip(docs, vocabulary(), carried=PLACE).orderBy(*PLACE).drop(*PLACE)
+
+
+#: Where a row stands in the files that a stage wrote: a file's name begins with the number of its task.
+PLACE = ["__file", "__at"]
+
+
+def in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A stage's rows with their places, as a read doesn't keep the order of the files."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -78,10 +90,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again as the next one's documents."""
+    """The stages over documents, each written and read again as the next one's documents; the result is in the order of the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        docs = in_order(spark, path) if stage in (mixing, encoding) else spark.read.parquet(path)
+    return docs.orderBy(*PLACE).drop(*PLACE)

@@ -270,14 +270,15 @@ def loaded(path: str) -> ByteBpe:
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
     """For each document: id, n_tokens, digests of its token ids and of the text decoded from them.
 
     ``vocabulary`` is the path of the vocabulary file on every machine.  No exchange: each task encodes what it
     reads, a slice of texts at a time; a text longer than a slice is worked on alone, in runs of words.
     A null text counts as an empty one, which has no tokens; null ids and repeated rows are carried as they are;
-    other columns are ignored; an empty table gives an empty result.
+    columns ``carried`` come behind, others are ignored; an empty table gives an empty result.
     """
+    more = docs.select(*(carried or []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
@@ -288,10 +289,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *names])
 
+    names = list(carried or [])
+    schema = ", ".join([OUT, *(f"{c} {kind}" for c, kind in more.dtypes)])
     in_small_batches(docs)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *names).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

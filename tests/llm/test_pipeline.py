@@ -99,3 +99,18 @@ def test_odd_tables_in_every_stage(spark, odd, none, clashing, stage):
             assert n == docs.count()
         if stage < 4:
             assert out.columns == docs.columns
+
+
+def test_the_result_is_in_the_order_of_the_mix(spark, monkeypatch):
+    """What the mixing stage gives first is encoded and given out first, however the files in between are read."""
+    seen = []
+
+    def mix(session, docs, sf_dir):
+        rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+        seen.extend(r.doc_id for r in rows)
+        return session.createDataFrame(session.sparkContext.parallelize(rows, 7), docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "mixing", mix)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, mix if n.startswith("mixing") else f) for n, f in corpus_pipeline.STAGES])
+    got = [r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()]
+    assert len(got) > 50 and got == seen
