@@ -10,25 +10,60 @@ document, row and place.  Lines that are equal are one line from the start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orogena.llm.common import dealt_pairs, filter_bits, key_filter, key_name, linked_components, shared_buckets, stash, through_filter
 
-#: Characters in a run, and characters of a line that are cut at once: finding a character's place costs its distance from the start.
-CHARS, CUT = 7, 64
+#: Characters in a run, and places of a line that are cut at once: by characters, where finding one costs its distance from the start, and by bytes.
+CHARS, CUT, CUT_BYTES = 7, 16, 256
 #: Bands of each size: hashes in a band -> the least and the greatest set that has such bands.
 SIZES = {2: (1, 5), 3: (5, None)}
 #: Bands of a size at most.
 BANDS = 14
+#: Words of 64 bits in a line's parities.
+WORDS = 8
+
+
+def _runs(line: Column) -> Column:
+    """The hashes of a line's runs, in no order and with repeats."""
+    n = F.length(line)
+
+    def cut(whole: Column, size: Callable[[Column], Column], at_once: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - CHARS) / at_once).cast("int")), lambda k: F.substring(whole, k * at_once + 1, F.lit(at_once + CHARS - 1)))
+        return F.flatten(F.transform(parts, lambda part: F.transform(F.sequence(F.lit(1), size(part) - (CHARS - 1)), lambda i: F.xxhash64(F.substring(part, i, F.lit(CHARS))))))
+
+    # where each character is a byte, runs are cut by bytes, whose hashes are the same; a pattern, which goes by UTF-16, finds those of
+    # valid lines in which each character is one unit of that
+    by_bytes, by_units = F.octet_length(line) == n, F.is_valid_utf8(line) & ~line.rlike(r"[\x{10000}-\x{10FFFF}]")
+    found = F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.when(n < CHARS, F.array(F.xxhash64(line))).when(by_bytes, cut(line.cast("binary"), F.octet_length, CUT_BYTES)).when(by_units, found).otherwise(cut(line, F.length, CUT))
 
 
 def shingles(line: Column) -> Column:
     """A line's set: the sorted distinct hashes of its runs."""
-    n = F.length(line)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((n - CHARS) / CUT).cast("int")), lambda k: F.substring(line, k * CUT + 1, F.lit(CUT + CHARS - 1)))
-    runs = F.flatten(F.transform(parts, lambda part: F.transform(F.sequence(F.lit(1), F.length(part) - (CHARS - 1)), lambda i: F.xxhash64(F.substring(part, i, F.lit(CHARS))))))
-    return F.array_distinct(F.sort_array(F.when(n < CHARS, F.array(F.xxhash64(line))).otherwise(runs)))
+    return F.array_distinct(F.sort_array(_runs(line)))
+
+
+def parities(lines: DataFrame) -> DataFrame:
+    """(id, bits) for rows (id, line): for each of 64 * WORDS classes of hashes, whether the line's set has an odd number of them.
+
+    An element of one set alone turns one bit, so two sets differ in at least as many elements as their bits differ.
+    """
+    runs = lines.select("id", F.explode(F.array_distinct(_runs(F.col("line")))).alias("x"))
+    bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(64)).cast("int")), F.pmod(F.shiftright("x", 6), F.lit(WORDS))
+    return runs.groupBy("id").agg(F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)]).alias("bits"))
+
+
+def may_be_like(a_bits: Column, b_bits: Column, a_n: Column, b_n: Column, percent: int) -> Column:
+    """Whether sizes and parities leave a similarity of ``percent`` possible; false only where it is less."""
+    fits = 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+    # both = (an + bn - apart) / 2, so 100 both >= percent (an + bn - both) says (100 + percent) apart <= (100 - percent) (an + bn)
+    apart = reduce(Column.__add__, [F.bit_count(F.get(a_bits, F.lit(k)).bitwiseXOR(F.get(b_bits, F.lit(k)))) for k in range(WORDS)])
+    return fits & ((100 + percent) * apart <= (100 - percent) * (a_n + b_n))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
@@ -76,24 +111,28 @@ def _found(docs: DataFrame, percent: int, pivots: int, id_col: str, text_col: st
 
     # the lines that share a key with another one; their sets, many times as large, are made where two meet
     wanted = stash(own.join(buckets.select("id", "n").distinct(), "id").select("id", "n", "line"), "wanted")
+    bits = stash(parities(wanted).join(wanted.select("id", "n"), "id"), "parities")
     distinct = own.select("id", "h1", "h2")
     side = lambda x: wanted.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("line").alias(f"{x}_line"))
+    told = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
 
     def like(one: Column, other: Column) -> Column:
         # 100 both >= percent (an + bn - both)
         return (100 + percent) * F.size(F.array_intersect(one, other)) >= percent * (F.col("an") + F.col("bn"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(like(shingles(F.col("a_line")), shingles(F.col("b_line")))).select("a", "b")
+        left = pairs.join(told("a"), "a").join(told("b"), "b").where(may_be_like(F.col("a_bits"), F.col("b_bits"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+        return left.join(side("a"), "a").join(side("b"), "b").where(like(_runs(F.col("a_line")), _runs(F.col("b_line")))).select("a", "b")
 
     def confirm_blocks(rows: DataFrame) -> DataFrame:
         # lines travel, sets are made in the task where two blocks meet, once a block
         few, all_ = dealt_pairs(rows)
         meet = ["key", "i", "j"]
-        held = lambda df: df.join(wanted.select("id", "n", "line"), "id").groupBy(*meet).agg(F.collect_list(F.struct("id", "own", "n", "line")).alias("held"))
+        lines = wanted.join(bits.select("id", "bits"), "id")
+        held = lambda df: df.join(lines, "id").groupBy(*meet).agg(F.collect_list(F.struct("id", "own", "n", "bits", "line")).alias("held"))
         both = held(few).withColumnRenamed("held", "some").join(held(all_).withColumnRenamed("held", "every"), meet)
-        sets = lambda c: F.transform(c, lambda x: F.struct(x["id"].alias("id"), x["own"].alias("own"), x["n"].alias("n"), shingles(x["line"]).alias("h")))
-        near = lambda a, b: (a["own"] != b["own"]) & ((100 + percent) * F.size(F.array_intersect(a["h"], b["h"])) >= percent * (a["n"] + b["n"]))
+        sets = lambda c: F.transform(c, lambda x: F.struct(x["id"].alias("id"), x["own"].alias("own"), x["n"].alias("n"), x["bits"].alias("bits"), _runs(x["line"]).alias("h")))
+        near = lambda a, b: (a["own"] != b["own"]) & may_be_like(a["bits"], b["bits"], a["n"], b["n"], percent) & ((100 + percent) * F.size(F.array_intersect(a["h"], b["h"])) >= percent * (a["n"] + b["n"]))
         link = lambda a, b: F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
         found = F.flatten(F.transform(F.array(sets(F.col("every"))), lambda every: F.flatten(F.transform(sets(F.col("some")), lambda a: F.transform(F.filter(every, lambda b: near(a, b)), lambda b: link(a, b))))))
         return both.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orogena.llm.line_dedup import BANDS, bands_of, line_duplicates, shingles, without_line_copies
+from orogena.llm.line_dedup import BANDS, bands_of, line_duplicates, may_be_like, parities, shingles, without_line_copies
 
 
 def set_of(line):
@@ -135,3 +135,26 @@ def test_rows_are_numbered_once(spark):
     docs = spark.createDataFrame([(i % 50, f"own line {i} {i * 7919}\nthe same long line of many words here") for i in range(400)], "doc_id long, text string").repartition(7, "text").repartition(5)
     out = [r.text for r in without_line_copies(docs).collect()]
     assert sum("the same" in x for x in out) == 1 and sum("own line" in x for x in out) == 400
+
+
+def test_runs_of_wide_characters(spark):
+    rng = random.Random(7)
+    lines = ["é" * 7, "a😀b😀cdefgh😀", "😀" * 40, *["".join(rng.choice(abc) for _ in range(n)) for abc in ("abc", "abé", "ab字😀") for n in (6, 7, 8, 262, 263, 600)]]
+    own = spark.createDataFrame([(i, x, sorted(set_of(x))) for i, x in enumerate(lines)], "i int, line string, runs array<string>")
+    assert own.where(shingles(F.col("line")) != F.array_sort(F.transform("runs", lambda x: F.xxhash64(x)))).count() == 0
+
+
+def test_parities_rule_out_unlike_lines_alone(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        line = [rng.choice("abcdefgh ijklé") for _ in range(rng.choice([8, 12, 40, 200, 900]))]
+        other = [rng.choice("xyz") if rng.random() < rng.choice([0, 0.01, 0.03, 0.2]) else c for c in line]
+        rows += [(2 * i, "".join(line)), (2 * i + 1, "".join(other))]
+    own = {r.id: r.bits for r in parities(spark.createDataFrame(rows, "id long, line string")).collect()}
+    sets = {i: set_of(x) for i, x in rows}
+    pairs = [(a, b, own[a], own[b], len(sets[a]), len(sets[b])) for a, b in [(2 * i, 2 * i + 1) for i in range(300)] + [(2 * i, 2 * i + 2) for i in range(299)]]
+    frame = spark.createDataFrame(pairs, "a long, b long, x array<long>, y array<long>, an long, bn long")
+    may = {(r.a, r.b) for r in frame.where(may_be_like(F.col("x"), F.col("y"), F.col("an"), F.col("bn"), 80)).collect()}
+    like = {(a, b) for a, b, *_ in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert like <= may and len(may) < len(like) + 60 and len(like) > 30
