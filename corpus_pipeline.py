@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogena.llm.bpe import bpe_round_trip
-from orogena.llm.common import key_name, new_path, stash, without
+from orogena.llm.common import new_path, stash, told_apart, without
 from orogena.llm.exact_dedup import drop_exact_copies
 from orogena.llm.mixing import TARGET_WEIGHTS, mixed
 from orogena.llm.near_dedup import NearParams, near_duplicates
@@ -36,17 +36,17 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more stays, that with the smallest id.
 
-    Rows are told apart by a key of their own, so ids may be null (last in order) or repeated.  A text without words is linked
+    Rows are told apart by a key of their own where ids are null (last in order) or repeated.  A text without words is linked
     with nothing; very long texts are compared whole; other columns are kept; an empty table stays empty.
     """
-    row = key_name(docs)
-    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    keyed, row = told_apart(docs, "doc_id")
     found = stash(near_duplicates(keyed, NearParams(words=5), row).select(F.col("doc_id").alias("found_row"), "component_id"), "found")
     ids = keyed.select(F.col(row).alias("found_row"), F.col("doc_id"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "found_row")
     first = found.join(ids, "found_row").groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = found.join(first, "component_id").where(F.col("found_row") != F.col("first.found_row"))
-    return without(keyed, row, gone, "found_row").drop(row)
+    left = without(keyed, row, gone, "found_row")
+    return left if row == "doc_id" else left.drop(row)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

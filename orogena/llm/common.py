@@ -66,6 +66,18 @@ def key_name(df: DataFrame) -> str:
     return name
 
 
+def told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` and the name of a long column that tells them apart.
+
+    That is the id where ids are longs, none null and no two alike; the rows are ``docs`` itself then and are not written again.
+    Otherwise the rows are numbered, and a table of them is written so that the numbers hold.
+    """
+    if docs.select(id_col).dtypes[0][1] == "bigint" and docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__c")).where("__id IS NULL OR __c > 1").isEmpty():
+        return docs, id_col
+    row = key_name(docs)
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
 def filter_bits(n: int) -> int:
     """Bits, as a power of two, of a filter for ``n`` keys: 16 to 32 a key, never above 2^25.
 

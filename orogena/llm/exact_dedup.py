@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogena.llm.common import filter_bits, key_filter, key_name, stash, through_filter, without
+from orogena.llm.common import filter_bits, key_filter, stash, through_filter, told_apart, without
 
 
 def _sha256(text: Column) -> Column:
@@ -110,9 +110,9 @@ def _marked(runs: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` with one row for each text; same columns.
 
-    Rows are found again by a key written with them, so that one row stays whether or not ids are null or repeated.
+    Rows are found again by their ids, or where ids are null or repeated by a key written with them, so that one row stays in any case.
     """
-    row = key_name(docs)
-    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    keyed, row = told_apart(docs, id_col)
     found = stash(_found(keyed, id_col, text_col, keep, row=F.col(row)), "marked")
-    return without(keyed, row, found.where("NOT kept"), "row").drop(row)
+    left = without(keyed, row, found.where("NOT kept"), "row")
+    return left if row == id_col else left.drop(row)

@@ -8,6 +8,7 @@ from conftest import SCHEMA, make_text
 from test_near_dedup import brute
 
 import corpus_pipeline
+import orogena.llm.common as common
 from orogena.llm.quality import score, train
 from orogena.llm.queries import vocabulary
 
@@ -114,3 +115,23 @@ def test_the_result_is_in_the_order_of_the_mix(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, mix if n.startswith("mixing") else f) for n, f in corpus_pipeline.STAGES])
     got = [r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()]
     assert len(got) > 50 and got == seen
+
+
+def test_documents_are_written_again_only_where_ids_do_not_tell_them_apart(spark, monkeypatch):
+    written, stash = [], common.stash
+    monkeypatch.setattr(common, "stash", lambda df, name, **options: written.append(name) or stash(df, name, **options))
+    base = make_text(1, 80)
+    texts = [base, base, base + " tail", make_text(2, 80), None, None]
+
+    def left(ids, kind="long"):
+        written.clear()
+        docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in zip(ids, texts)], SCHEMA.replace("doc_id long", f"doc_id {kind}"))
+        out = corpus_pipeline.near_copies(spark, corpus_pipeline.exact_copies(spark, docs, DATA), DATA)
+        assert out.dtypes == docs.dtypes
+        return sorted((str(r.doc_id), r.text or "") for r in out.collect()), "keyed" in written
+
+    want = [("1", base), ("4", texts[3]), ("5", "")]
+    assert left([1, 2, 3, 4, 5, 6]) == (want, False)
+    assert left([1, 2, 3, 4, 5, 6], "int") == (want, True)
+    assert left([1, 1, 2, 4, 5, 5]) == (want, True)
+    assert left([1, None, None, 4, 5, None]) == (want, True)
