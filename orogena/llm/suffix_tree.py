@@ -9,7 +9,8 @@ that the longest suffix of what was read is found by one look-up a symbol, in ma
 can't rule out that a longer suffix is retained, the symbol and its context meet the tree in a join, so HEAD decides no score.
 
 Unigram counts of words come from the same pass.  Of those, the most frequent ones, COMMON at most, go to every task; other
-words meet their counts in a join.
+words meet their counts like symbols.  For that a text's words and symbols are dealt by their keys into PARTS rows at most, however
+many they are, and a task has the figures of one part and the like parts of a bounded number of texts.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ END_HASH = 0x5E17_0F7E_27A1_1E5D
 #: Places of text that a segment scores, and entries that a task gathers before it passes them on.
 SEGMENT, GATHERED = 1_024, 2_000_000
 SYMBOL, WORD = 0, 1
+#: Parts that a text's rare words and symbols are dealt into by their keys, and texts whose like parts meet their figures in a task.
+PARTS, MET = 31, 1 << 18
 
 
 def stream(text: bytes) -> bytes:
@@ -286,6 +289,72 @@ def resolved(codes: DataFrame, tree: DataFrame) -> DataFrame:
     return found.groupBy("key").agg((F.coalesce(own, F.log10(F.lit(0.5 / (total + 0.5 * 256)))) + weight).alias("value"))
 
 
+_DEALT = "part int, words array<long>, times array<long>, codes array<long>, often array<long>"
+
+
+def _dealt(words: list[np.ndarray], times: list[np.ndarray], codes: list[np.ndarray], often: list[np.ndarray]) -> pa.ListArray:
+    """For each text its parts that hold anything: the part's number, words and how often they come, symbols and how often they come."""
+
+    def cells(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate(keys).astype(np.int64)
+        cell = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) * PARTS + flat % PARTS
+        order = np.argsort(cell, kind="stable")
+        return np.bincount(cell, minlength=len(keys) * PARTS), flat[order], np.concatenate(counts).astype(np.int64)[order]
+
+    (n_words, *of_words), (n_codes, *of_codes) = cells(words, times), cells(codes, often)
+    used = np.flatnonzero(n_words + n_codes)
+    lists = []
+    for n, flat in ((n_words, of_words), (n_codes, of_codes)):
+        ends = pa.array(np.concatenate([[0], np.cumsum(n[used])]).astype(np.int32))
+        lists += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat]
+    parts = pa.StructArray.from_arrays([pa.array((used % PARTS).astype(np.int32)), *lists], ["part", "words", "times", "codes", "often"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(used, np.arange(len(words) + 1) * PARTS).astype(np.int32)), parts)
+
+
+def _distinct_codes(scored: DataFrame) -> DataFrame:
+    """The distinct symbols of rare contexts; a task passes on those that it gathers once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(tally.take()[0].view(np.int64))], ["key"])
+        for batch in batches:
+            tally.add(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            if len(tally) > GATHERED:
+                yield out()
+        yield out()
+
+    return scored.select(F.flatten("parts.codes").alias("codes")).mapInArrow(run, "key long").distinct()
+
+
+def _met(scored: DataFrame, figures: DataFrame, unseen: float) -> DataFrame:
+    """(row, known, base, score): for each part of a text the sums of the figures (kind, key, value) of its words and symbols."""
+    chunks = max(1, -(-scored.count() // MET))
+    parts = scored.select("row", F.explode("parts").alias("x")).select("row", "x.*").withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    told = figures.withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def meet(texts: pa.Table, values: pa.Table) -> pa.Table:
+        kind, key, value = (values[c].to_numpy() for c in ("kind", "key", "value"))
+
+        def of(which: int, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            lists = texts[keys].combine_chunks()
+            text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False), texts[counts].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(kind == which)
+            own = own[np.argsort(key[own])]
+            if not len(own):
+                return text, n, np.zeros(len(flat), bool), np.zeros(len(flat))
+            at = np.minimum(np.searchsorted(key[own], flat), len(own) - 1)
+            return text, n, key[own][at] == flat, value[own][at]
+
+        sums = lambda text, x: np.bincount(text, x, len(texts)).astype(float)
+        text, n, found, x = of(WORD, "words", "times")
+        known, base = sums(text, n * found), sums(text, n * np.where(found, x, unseen))
+        text, n, found, x = of(SYMBOL, "codes", "often")
+        return pa.table({"row": texts["row"], "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(sums(text, n * np.where(found, x, 0.0)))})
+
+    return parts.groupBy("part", "chunk").cogroup(told.groupBy("part", "chunk")).applyInArrow(meet, "row long, known long, base double, score double")
+
+
 def least_common(counted: DataFrame, most: int) -> int:
     """The least count n such that at most ``most`` rows of ``counted`` have it or more, to a quarter of a power of two."""
     steps = counted.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
@@ -311,7 +380,8 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tree = learned(contexts)
     words = tallied.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = words.where(F.col("n") >= least_common(words, COMMON)).toArrow()
+    least = least_common(words, COMMON)
+    common = words.where(F.col("n") >= least).toArrow()
     order = np.argsort(common["key"].to_numpy())
     keys, of_key = common["key"].to_numpy()[order], common["n"].to_numpy()[order]
     whole = total + 0.5 * (distinct + 1)
@@ -335,34 +405,21 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     rare.append(word[~done])
                     times.append(x[~done])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
-                    ["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "times", "codes", "often"],
+                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), _dealt(rare, times, codes, often)],
+                    ["doc_id", "row", "n_tokens", "known", "base", "score", "parts"],
                 )
 
     scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        run, "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>, codes array<long>, often array<long>"
+        run, f"doc_id long, row long, n_tokens long, known long, base double, score double, parts array<struct<{_DEALT.replace(' ', ': ').replace(',:', ',')}>>"
     )
     if not complete or tree.beyond is not None:
-        # rare words and symbols of rare contexts take their figures from a join; a document's own figures travel with its
-        # first entry, whose key is a hash of the row so that these entries spread
+        # rare words and symbols of rare contexts meet their figures part by part
         scored = stash(scored, "scored")
-        codes = scored.select(F.explode("codes").alias("key")).distinct()
-        figures = words.select(F.lit(WORD).alias("kind"), "key", F.log10((F.col("n") + 0.5) / F.lit(whole)).alias("value"))
-        figures = figures.unionByName(resolved(codes, contexts).select(F.lit(SYMBOL).alias("kind"), "key", "value"))
-        entry = lambda kind, key, times: F.transform(F.arrays_zip(key, times), lambda x: F.struct(F.lit(kind).alias("kind"), x[key].alias("key"), x[times].alias("times")))
-        first = F.array(F.struct(F.lit(-1).alias("kind"), F.xxhash64("row").alias("key"), F.lit(0).cast("long").alias("times")))
-        own = lambda c: F.when(F.col("e.kind") < 0, F.col(c)).alias(c)
-        entries = scored.select("row", F.explode(F.concat(first, entry(WORD, "rare", "times"), entry(SYMBOL, "codes", "often"))).alias("e"), "doc_id", "n_tokens", "known", "base", "score")
-        met = entries.select("row", "e.kind", "e.key", "e.times", *map(own, ("doc_id", "n_tokens", "known", "base", "score"))).join(figures, ["kind", "key"], "left")
-        word, unseen = F.col("kind") == WORD, F.log10(F.lit(0.5 / whole))
-        sum_of = lambda told, x: F.coalesce(F.sum(F.when(told, F.col("times") * x)), F.lit(0))
-        scored = met.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_tokens").alias("n_tokens"),
-            (F.max("known") + sum_of(word & F.col("value").isNotNull(), F.lit(1))).alias("known"),
-            (F.max("base") + sum_of(word, F.coalesce("value", unseen))).alias("base"),
-            (F.max("score") + sum_of(F.col("kind") == SYMBOL, F.col("value"))).alias("score"),
-        )
+        figures = words.where(F.col("n") < least).select(F.lit(WORD).alias("kind"), "key", F.log10((F.col("n") + 0.5) / F.lit(whole)).alias("value"))
+        figures = figures.unionByName(resolved(_distinct_codes(scored), contexts).select(F.lit(SYMBOL).alias("kind"), "key", "value"))
+        met = _met(scored, figures, float(np.log10(0.5 / whole)))
+        sums = scored.drop("parts").unionByName(met, allowMissingColumns=True).groupBy("row")
+        scored = sums.agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "score")])
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), remainder).alias("held_out"),

@@ -98,3 +98,21 @@ def test_the_tree_grows_with_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     size = lambda frame: retained(st.counts(frame)).select("d", "context").distinct().count()
     assert size(docs) > 1.5 * size(docs.where("doc_id % 10 = 0"))
+
+
+@pytest.mark.parametrize("met", [1 << 18, 40])
+def test_a_text_has_as_many_rows_as_parts(spark, monkeypatch, met):
+    """However many rare words and symbols a text has, it meets their figures in PARTS rows at most, dealt into chunks of texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = lambda: {r.doc_id: r for r in suffix_tree_scores(docs).collect()}
+    whole = scores()
+    seen = []
+    of_parts = st._met
+    monkeypatch.setattr(st, "_met", lambda scored, *rest: seen.append(scored.select(F.size("parts").alias("n"), F.aggregate(F.flatten("parts.codes"), F.lit(0), lambda n, _: n + 1).alias("codes")).agg(F.max("n"), F.max("codes")).first()) or of_parts(scored, *rest))
+    for name, value in (("HEAD", 60), ("COMMON", 50), ("MET", met)):
+        monkeypatch.setattr(st, name, value)
+    got = scores()
+    assert got.keys() == whole.keys() and seen[0][0] <= st.PARTS < seen[0][1]
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known) == (whole[i].n_tokens, whole[i].n_known)
+        assert math.isclose(r.score, whole[i].score, rel_tol=1e-5) and math.isclose(r.base_score, whole[i].base_score, rel_tol=1e-9)
