@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orogena.llm.line_dedup import BANDS, bands_of, line_duplicates, may_be_like, parities, shingles, without_line_copies
+from orogena.llm import line_dedup
+from orogena.llm.line_dedup import BANDS, LEAST, TAKEN, bands_of, least_in_common, line_duplicates, may_be_like, may_be_near, parities, shingles, signature, signatures, without_line_copies
 
 
 def set_of(line):
@@ -158,3 +159,49 @@ def test_parities_rule_out_unlike_lines_alone(spark):
     may = {(r.a, r.b) for r in frame.where(may_be_like(F.col("x"), F.col("y"), F.col("an"), F.col("bn"), 80)).collect()}
     like = {(a, b) for a, b, *_ in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert like <= may and len(may) < len(like) + 60 and len(like) > 30
+
+
+def test_texts_travel_only_where_signatures_call_for_them(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = [" ".join(word() for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"{x}\n{x}" + " tail" * (i < 10)) for i, x in enumerate(lines)], "doc_id long, text string")
+    written, stash = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name, **options: written.append((name, stash(df, name, **options))) or written[-1][1])
+    assert line_duplicates(docs).where("NOT kept").count() == 300
+    assert sum(df.count() for _, df in written if "line" in df.columns) < 60
+
+
+def test_signatures_are_the_least_of_all_runs(spark):
+    rng = random.Random(10)
+    lines = ["a", "abcdefgh", "ab" * 60, "-" * 500, "é字😀" * 9, *["".join(rng.choice(abc) for _ in range(n)) for n in (8, 20, 38, 39, 200, 3000) for abc in ("abcdefghijkl ", "abé字 ", "a😀bcdef")]]
+    hexed = [x.encode().hex() for x in lines] + [bytes(rng.choice(b"abc\xff\xc3\xe5\xf0 ") for _ in range(n)).hex() for n in (8, 60, 400)]
+    named = spark.createDataFrame([(i, x) for i, x in enumerate(hexed)], "h1 long, x string").select("h1", F.col("h1").alias("h2"), F.unhex("x").cast("string").alias("line"))
+    want = {r.h1: (r.h, r.n) for r in named.select("h1", signature(F.col("line")).alias("h"), F.size(shingles(F.col("line"))).alias("n")).collect()}
+    got = {r.h1: r for r in signatures(named).collect()}
+    assert set(got) == set(want) == set(range(len(hexed)))
+    assert all(got[i].h == want[i][0] and len(got[i].h) == min(LEAST, want[i][1]) for i in got if got[i].whole)
+    assert not got[2].whole and not got[3].whole and sum(r.whole for r in got.values()) > len(hexed) // 2 and TAKEN > LEAST
+
+
+def test_odd_lines_are_linked(spark):
+    rows = [(0, b"-" * 80), (1, b"-" * 95), (2, b"ab" * 90), (3, b"ba" * 100), (4, "naïve ".encode() * 3 + b"one broken \xff byte in a line of many words here"), (5, "naïve ".encode() * 3 + b"one broken \xff byte in a line of many words here.")]
+    rows += [(6, "😀 an emoji in front of a line that says the same".encode()), (7, b"- an emoji in front of a line that says the same")]
+    docs = spark.createDataFrame([(i, x.hex()) for i, x in rows], "doc_id long, x string").select("doc_id", F.unhex("x").cast("string").alias("text"))
+    assert {r.doc_id: r.keep_doc_id for r in line_duplicates(docs).collect()} == {i: i // 2 * 2 for i in range(8)}
+
+
+@pytest.mark.parametrize("sizes", [range(1, 23), (30, 60, 200, 400)])
+def test_signatures_rule_out_no_like_sets(spark, sizes):
+    rng = random.Random(11)
+    assert least_in_common(80) == 5
+    rows = []
+    for u in sizes:
+        for _ in range(150):
+            union = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(u)]
+            left = rng.randint(0, u // 5)
+            rows.append((sorted(union[: u - left])[:LEAST], sorted(union[: u - u // 5] + union[u - left :])[:LEAST]))
+    frame = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    assert frame.where(may_be_near(F.col("a"), F.col("b"), 80)).count() == len(rows)
+    unlike = spark.createDataFrame([([rng.randrange(100) for _ in range(LEAST)], [100 + rng.randrange(100) for _ in range(LEAST)])], "a array<int>, b array<int>")
+    assert unlike.where(may_be_near(F.col("a"), F.col("b"), 80)).isEmpty()
