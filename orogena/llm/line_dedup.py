@@ -33,7 +33,7 @@ LEAST, TAKEN = BANDS + 2, 32
 #: The chance at most that two lines at the least similarity have too few least hashes in common to be compared.
 MISSED = 1e-5
 #: Words of 64 bits in a line's parities.
-WORDS = 8
+WORDS = 16
 
 
 def _runs(line: Column) -> Column:
@@ -57,13 +57,13 @@ def shingles(line: Column) -> Column:
 
 
 def parities(lines: DataFrame) -> DataFrame:
-    """(id, bits) for rows (id, line): for each of 64 * WORDS classes of hashes, whether the line's set has an odd number of them.
+    """(id, n, bits) for rows (id, line): the size of the line's set and, for each of 64 * WORDS classes of hashes, whether it has an odd number of them.
 
     An element of one set alone turns one bit, so two sets differ in at least as many elements as their bits differ.
     """
     runs = lines.select("id", F.explode(F.array_distinct(_runs(F.col("line")))).alias("x"))
     bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(64)).cast("int")), F.pmod(F.shiftright("x", 6), F.lit(WORDS))
-    return runs.groupBy("id").agg(F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)]).alias("bits"))
+    return runs.groupBy("id").agg(F.count("*").alias("n"), F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)]).alias("bits"))
 
 
 def may_be_like(a_bits: Column, b_bits: Column, a_n: Column, b_n: Column, percent: int) -> Column:
@@ -166,6 +166,20 @@ def bands_of(h: Column) -> Column:
     return F.transform(_places(h), lambda place: _key(h, place))
 
 
+def met_under_one_key(few: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n) of the sides of ``dealt_pairs``, with n, bits and all keys of each row, whose parities leave them possible; n is both sizes.
+
+    A pair meets under the least key that both have, from either side.  If that key has no rows here, its bucket was small, so that the pair
+    has met, or all its members are linked.
+    """
+    other = all_.select(*[F.col(c).alias(f"other_{c}") for c in all_.columns])
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"other_{k}") for k in ("key", "i", "j")])
+    like = may_be_like(F.col("bits"), F.col("other_bits"), F.col("n"), F.col("other_n"), percent)
+    first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+    met = few.join(other, same & (F.col("own") != F.col("other_own")) & like & first)
+    return met.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"), (F.col("n") + F.col("other_n")).alias("n"))
+
+
 def line_duplicates(docs: DataFrame, percent: int = 80, pivots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line: doc_id, row, line_no, keep_doc_id, keep_row, keep_line_no, kept.
 
@@ -203,43 +217,40 @@ def _found(docs: DataFrame, percent: int, pivots: int, id_col: str, text_col: st
     side = lambda x: near.select(F.col("id").alias(x), F.col("h").alias(f"{x}_h"))
     held: list[DataFrame] = []
 
-    def wanted(pairs: DataFrame) -> DataFrame:
-        # the lines that the first pairs ask for, and all of large buckets, which may meet later; (id, line, n)
+    def wanted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # (id, line) and (id, n, bits) of the lines that the first pairs ask for, and all of large buckets, which may meet later
         if not held:
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(buckets.where(F.col("c") > SMALL_BUCKET).select("id"))
-            held.append(stash(texts(ids.distinct(), "texts").select("id", "line", F.size(F.array_distinct(_runs(F.col("line")))).cast("long").alias("n")), "wanted"))
-        return held[0]
+            lines = stash(texts(ids.distinct(), "texts"), "wanted")
+            held.extend([lines, stash(parities(lines), "parities")])
+        return held[0], held[1]
 
     def compared(pairs: DataFrame) -> DataFrame:
-        lines = wanted(pairs)
-        text = lambda x: lines.join(pairs.select(F.col(x).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"))
-        both = pairs.join(text("a"), "a").join(text("b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        # pairs (a, b, n) whose parities leave them possible, n being both sizes together
+        lines, _ = wanted(pairs)
+        text = lambda x: lines.join(pairs.select(F.col(x).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"))
         # 100 both >= percent (an + bn - both)
-        like = (100 + percent) * F.size(F.array_intersect(_runs(F.col("a_line")), _runs(F.col("b_line")))) >= percent * (F.col("a_n") + F.col("b_n"))
-        return both.where(like).select("a", "b")
+        like = (100 + percent) * F.size(F.array_intersect(_runs(F.col("a_line")), _runs(F.col("b_line")))) >= percent * F.col("n")
+        return pairs.join(text("a"), "a").join(text("b"), "b").where(like).select("a", "b")
+
+    def signed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(F.col("a_h"), F.col("b_h"), percent)).drop("a_h", "b_h")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(F.col("a_h"), F.col("b_h"), percent)).select("a", "b")
-        return compared(stash(likely, "likely"))
+        likely = stash(signed(pairs), "signed")
+        _, told = wanted(likely)
+        own = lambda x: told.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+        both = likely.join(own("a"), "a").join(own("b"), "b")
+        left = both.where(may_be_like(F.col("a_bits"), F.col("b_bits"), F.col("a_n"), F.col("b_n"), percent))
+        return compared(stash(left.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n")), "likely"))
 
     def confirm_blocks(rows: DataFrame) -> DataFrame:
-        meet = ["key", "i", "j"]
-        few, all_ = (stash(df.join(near, "id"), "dealt") for df in dealt_pairs(rows))
-
-        def met(df: DataFrame, others: DataFrame, how: str, *more: Column) -> DataFrame:
-            other = others.select(*[F.col(c).alias(f"other_{c}") for c in others.columns])
-            same = reduce(Column.__and__, [F.col(k) == F.col(f"other_{k}") for k in meet])
-            return df.join(other, reduce(Column.__and__, more, same & (F.col("own") != F.col("other_own")) & may_be_near(F.col("h"), F.col("other_h"), percent)), how)
-
-        # of a block, members whose signature is near one of another component on the other side; parities are made of these alone
-        few = stash(met(few, all_, "left_semi"), "few")
-        all_ = stash(met(all_, few, "left_semi"), "all")
-        ids = few.select("id").unionByName(all_.select("id")).distinct()
-        own = wanted(few).join(ids, "id")
-        told = stash(parities(own).join(own.select("id", F.col("n")), "id"), "parities")
-        # signatures propose far more pairs than parities leave, so both are held against each other where blocks meet
-        left = met(few.drop("n").join(told, "id"), all_.drop("n").join(told, "id"), "inner", may_be_like(F.col("bits"), F.col("other_bits"), F.col("n"), F.col("other_n"), percent))
-        return compared(stash(left.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), "likely"))
+        _, told = wanted(rows)
+        ids = near.join(rows.select("id").distinct(), "id").select("id", bands_of(F.col("h")).alias("keys"))
+        members = stash(ids.join(told, "id"), "members")
+        few, all_ = (df.join(members, "id") for df in dealt_pairs(rows.drop("n")))
+        pairs = met_under_one_key(few, all_, percent)
+        return compared(stash(signed(stash(pairs.distinct(), "pairs")), "likely"))
 
     owner = linked_components(buckets, confirm, confirm_blocks, percent, pivots)
     ids = told

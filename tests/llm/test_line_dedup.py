@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orogena.llm import line_dedup
-from orogena.llm.line_dedup import BANDS, LEAST, TAKEN, bands_of, least_in_common, line_duplicates, may_be_like, may_be_near, parities, shingles, signature, signatures, without_line_copies
+from orogena.llm.common import dealt_pairs
+from orogena.llm.line_dedup import BANDS, LEAST, TAKEN, bands_of, least_in_common, line_duplicates, may_be_like, may_be_near, met_under_one_key, parities, shingles, signature, signatures, without_line_copies
 
 
 def set_of(line):
@@ -205,3 +206,43 @@ def test_signatures_rule_out_no_like_sets(spark, sizes):
     assert frame.where(may_be_near(F.col("a"), F.col("b"), 80)).count() == len(rows)
     unlike = spark.createDataFrame([([rng.randrange(100) for _ in range(LEAST)], [100 + rng.randrange(100) for _ in range(LEAST)])], "a array<int>, b array<int>")
     assert unlike.where(may_be_near(F.col("a"), F.col("b"), 80)).isEmpty()
+
+
+def families(rng, groups, copies):
+    """Lines of groups of copies, of which each has some words of its own."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = []
+    for _ in range(groups):
+        base = [word() for _ in range(40)]
+        for _ in range(copies):
+            own = list(base)
+            for at in rng.sample(range(40), rng.randint(1, 5)):
+                own[at] = word()
+            lines.append(" ".join(own))
+    return lines
+
+
+def test_lines_are_cut_again_only_where_parities_allow(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = list(enumerate(families(rng, 4, 30)))
+    sets = [set_of(x) for _, x in rows]
+    like = {(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    written, stash = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name, **options: written.append((name, stash(df, name, **options))) or written[-1][1])
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    compared = sum(df.count() for name, df in written if name == "likely")
+    assert len(like) > 60 and compared < 1.5 * len(like)
+
+
+def test_a_pair_of_a_block_meets_under_one_key(spark):
+    lines = spark.createDataFrame(list(enumerate(families(random.Random(13), 1, 30))), "id long, line string")
+    keys = lines.select("id", F.explode(bands_of(signature(F.col("line")))).alias("key"))
+    members = parities(lines).join(keys.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    rows = keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("key", "id", F.col("id").alias("own"))
+    few, all_ = dealt_pairs(rows)
+    met = met_under_one_key(few.join(members, "id"), all_.join(members, "id"), 80).groupBy("a", "b").count().collect()
+    like = may_be_like(F.col("x.bits"), F.col("y.bits"), F.col("x.n"), F.col("y.n"), 80) & (F.size(F.array_intersect("x.keys", "y.keys")) > 0)
+    want = members.alias("x").join(members.alias("y"), (F.col("x.id") < F.col("y.id")) & like).select("x.id", "y.id").collect()
+    assert {(r.a, r.b) for r in met} == {tuple(r) for r in want} and len(want) >= 20
+    assert max(r["count"] for r in met) <= 2
