@@ -63,7 +63,10 @@ def parities(lines: DataFrame) -> DataFrame:
     """
     runs = lines.select("id", F.explode(F.array_distinct(_runs(F.col("line")))).alias("x"))
     bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(64)).cast("int")), F.pmod(F.shiftright("x", 6), F.lit(WORDS))
-    return runs.groupBy("id").agg(F.count("*").alias("n"), F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)]).alias("bits"))
+    # columns of their own, so that they are made once a run and not once a word
+    told = runs.select("id", bit.alias("bit"), word.cast("int").alias("word"))
+    odd = lambda k: F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    return told.groupBy("id").agg(F.count("*").alias("n"), F.array(*[odd(k) for k in range(WORDS)]).alias("bits"))
 
 
 def may_be_like(a_bits: Column, b_bits: Column, a_n: Column, b_n: Column, percent: int) -> Column:
